@@ -35,10 +35,33 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from goldweave.llm.media import image_features, store_images
+
+    return image_features(store_images(table(spark, sf_dir, "documents"))).drop("error")
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from goldweave.llm.chat import format_branches, read_back, thread
+
+    probe = spark.range(2).selectExpr("-1L conv_id", "id turn", "if(id = 0, 'user', 'assistant') role", "'</s>[INST] ok [/INST]' text")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return read_back(format_branches(thread(rows)))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from goldweave.llm.language_id import identify_documents
+
+    return identify_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
+    "op5_media": op5_media,
+    "op6_chat": op6_chat,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
