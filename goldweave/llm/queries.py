@@ -49,6 +49,18 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_branches(thread(rows)))
 
 
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from goldweave.llm.exact_dedup import decide_copies
+
+    return decide_copies(table(spark, sf_dir, "documents"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from goldweave.llm.secret_scan import scan_documents
+
+    return scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from goldweave.llm.language_id import identify_documents
 
@@ -61,6 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op5_media": op5_media,
     "op6_chat": op6_chat,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op9_secrets": op9_secrets,
     "op10_language": op10_language,
 }
 
