@@ -35,6 +35,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from goldweave.llm.pii import pseudonymize_documents
+
+    return pseudonymize_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from goldweave.llm.media import image_features, store_images
 
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
+    "op4_pii": op4_pii,
     "op5_media": op5_media,
     "op6_chat": op6_chat,
     "op8_exact_dedup": op8_exact_dedup,
