@@ -55,6 +55,12 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_branches(thread(rows)))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from goldweave.llm.jaccard_join import Rule, join_documents
+
+    return join_documents(table(spark, sf_dir, "documents"), Rule(words=4, num=85, den=100))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from goldweave.llm.exact_dedup import decide_copies
 
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_media": op5_media,
     "op6_chat": op6_chat,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secrets": op9_secrets,
     "op10_language": op10_language,
