@@ -1,0 +1 @@
+"""Readers of provider fixtures, catalogues and stored logs."""
