@@ -92,4 +92,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: A-Z alone in lower case.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CONTROL = r"<</SYS>>|<<SYS>>|<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|\[/INST\]|\[INST\]|</s>|<s>"
+#: Characters of an escaped text: a backslash is doubled, a control string gets two more.
+_ESCAPED = rf"length({{x}}) + length({{x}}) - length(replace({{x}}, '\', '')) + 2 * len(regexp_extract_all({{x}}, '{_CONTROL}'))"
+
+
+def _spans(kind: str, rank: int, pattern: str, group: int, least: int, extra: str = "true") -> str:
+    """Spans of a pattern, placed by the lengths of what lies between matches."""
+    return f"""
+SELECT doc_id, list_sum(list_transform(gap[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(hit[1:i - 1], lambda x: length(x))), 0)::BIGINT AS a, length(hit[i]) AS n, {rank} AS rank, '{kind}' AS kind, hit[i] AS body
+FROM (SELECT doc_id, hit, gap, shown, unnest(range(1, len(hit) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS hit, string_split_regex(t, '{pattern}') AS gap, regexp_extract_all(t, '{pattern}', {group}) AS shown FROM d)) WHERE length(shown[i]) >= {least} AND {extra}"""
+
+
+_ENTROPY = """list_max(list_transform(range(1, length(body) - 18), lambda p: list_sum(list_transform(list_distinct(string_split(substr(body, p, 20), '')),
+ lambda c: -((length(substr(body, p, 20)) - length(replace(substr(body, p, 20), c, ''))) / 20.0) * log2((length(substr(body, p, 20)) - length(replace(substr(body, p, 20), c, ''))) / 20.0)))))"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_chat": rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(24 + {_ESCAPED.format(x='role')} + length(role) - length(replace(role, chr(10), '')) + {_ESCAPED.format(x='text')})::BIGINT AS formatted_chars FROM c GROUP BY 1""",
+    "op7_jaccard_join": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+f AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s), p AS (SELECT a.doc_id AS u, b.doc_id AS v FROM f a JOIN f b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r(node, label) AS (SELECT doc_id, doc_id FROM documents UNION SELECT p.v, r.label FROM r JOIN p ON p.u = r.node WHERE r.label < p.v)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id FROM s JOIN (SELECT node, min(label) AS component_id FROM r GROUP BY 1) c ON c.node = s.doc_id""",
+    "op8_exact_dedup": f"""
+WITH d AS (SELECT doc_id, sha256({_LOWER}) AS h, {_LOWER} AS t FROM documents), g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM d JOIN g USING (t)""",
+    "op9_secrets": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+b AS ({_spans('assign', 0, r"((?i:password|passwd|secret|token|api_?key))[" + '"' + r"'']?\x20*[:=]\x20*[" + '"' + r"'']?([A-Za-z0-9+/_.=-]+)", 2, 12)} UNION ALL {_spans('access', 1, 'AKIA[A-Z0-9]+', 0, 18)} UNION ALL {_spans('hex', 2, '[0-9a-f]{16,}', 0, 16)}),
+e AS (SELECT * FROM ({_spans('entropy', 3, '[A-Za-z0-9+/_=-]{20,}', 0, 20)}) x WHERE regexp_matches(body, '[0-9]') AND regexp_matches(body, '[A-Za-z]')
+  AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = x.doc_id AND b.a <= x.a AND b.a + b.n >= x.a + x.n)
+  AND NOT regexp_matches(body, '^[0-9a-fA-F]{{8}}-([0-9a-fA-F]{{4}}-){{3}}[0-9a-fA-F]{{12}}$') AND NOT regexp_matches(body, '^\d{{4}}-\d{{2}}-\d{{2}}([T_-][0-9-]*)?$') AND NOT regexp_matches(body, '(?i)abcdefghijkl') AND NOT regexp_matches(body, '^([A-Za-z]+[/_-])+[A-Za-z]*\d{{0,4}}$')
+  AND {_ENTROPY} >= CASE WHEN regexp_matches(body, '^[0-9a-fA-F]+$') THEN 2.9 WHEN regexp_matches(body, '^[A-Z0-9]+$') THEN 3.4 ELSE 3.6 END),
+bs AS (SELECT doc_id, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, rank) AS s, count_if(rank = 0) AS n0, count_if(rank = 1) AS n1, count_if(rank = 2) AS n2 FROM b GROUP BY 1),
+al AS (SELECT doc_id, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, rank) AS s FROM (SELECT * FROM b UNION ALL SELECT * FROM e) GROUP BY 1)
+SELECT d.doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex, sha256(coalesce(bs.s, '')) AS base_sha256, coalesce(al.s, '') AS spans FROM d LEFT JOIN bs USING (doc_id) LEFT JOIN al USING (doc_id)""",
+}
