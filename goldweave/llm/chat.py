@@ -97,27 +97,30 @@ def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
         "tree",
     )
     first, levels = level, []
-    while level.filter(F.col("up").isNotNull()).limit(1).count():
-        levels.append(level)
+    settled = level.filter("up is null")  # rows that see their root take no part in further joins
+    while level.filter("up is not null").limit(1).count():
+        live = level.filter("up is not null")
+        levels.append(live)
         if len(levels) > MAX_DOUBLINGS:
             raise ValueError("the parents form a cycle")
-        above = level.select("k", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
+        state = live.unionByName(settled)
+        above = state.select("k", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
         level = materialize(
-            level.join(above, ["k", "up"], "left").select(
-                "conv_id", "k", "node", F.col("up2").alias("up"),
-                (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
+            live.join(above, ["k", "up"]).select(
+                "conv_id", "k", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth")
             ),
             "tree",
         )
+        settled = settled.unionByName(level.filter("up is null"))
     parents = first.select("k", F.col("up").alias("node")).filter("node is not null").distinct()
-    leaves = level.join(parents, ["k", "node"], "left_anti")
+    leaves = settled.join(parents, ["k", "node"], "left_anti")
     best = Window.partitionBy("k").orderBy(F.desc("total"), F.desc("depth"), "node")
     path = (
         leaves.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= keep)
         .select("conv_id", "k", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("up"))
     )
     for n in reversed(range(len(levels))):  # each distance is a sum of distinct powers of two
-        jump = levels[n].filter("up is not null").select("k", "node", F.col("up").alias("to"))
+        jump = levels[n].select("k", "node", F.col("up").alias("to"))
         here = F.struct("node", "up")
         there = F.struct(F.col("to").alias("node"), (F.col("up") + (1 << n)).alias("up"))
         both = F.when(F.col("to").isNull(), F.array(here)).otherwise(F.array(here, there))
