@@ -30,7 +30,7 @@ from goldweave.llm.storage import materialize
 CAPACITY = 1024
 END_TOKEN = 2
 #: Pieces of one length that a numbering group holds on average.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1024
 
 
 @lru_cache(maxsize=2)
