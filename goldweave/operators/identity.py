@@ -57,16 +57,21 @@ def match_keys(c: DataFrame) -> DataFrame:
     return keys.join(bars.withColumn("barred", F.lit(True)), ["kind", "value"], "left").select("id", "kind", "value", F.coalesce("barred", F.lit(False)).alias("barred"))
 
 
+def email_links(c: DataFrame, keys: DataFrame) -> DataFrame:
+    """(u, v): holders of a verified address hang on its smallest holder without a profile, if there is one."""
+    bare = c.filter(F.col("linkedin").isNull()).select("id")
+    mail = keys.filter(~F.col("barred") & (F.col("kind") == 2)).join(bare.withColumn("bare", F.lit(True)), "id", "left")
+    hub = mail.groupBy("value").agg(F.min(F.when(F.col("bare"), F.col("id"))).alias("u")).filter("u is not null")
+    return mail.join(hub, "value").select("u", F.col("id").alias("v")).filter("u <> v")
+
+
 def link_edges(c: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """(u, v): all links of the three kinds as stars."""
     keys = match_keys(c) if keys is None else keys
     usable = keys.filter(~F.col("barred"))
     bare = c.filter(F.col("linkedin").isNull()).select("id")
     by_profile = star_edges(usable.filter("kind = 1"), "id", "value")
-
-    mail = usable.filter("kind = 2").join(bare.withColumn("bare", F.lit(True)), "id", "left")
-    hub = mail.groupBy("value").agg(F.min(F.when(F.col("bare"), F.col("id"))).alias("u")).filter("u is not null")
-    by_mail = mail.join(hub, "value").select("u", F.col("id").alias("v")).filter("u <> v")
+    by_mail = email_links(c, keys)
 
     named = usable.filter("kind = 3").join(bare, "id", "left_semi").join(c.select("id", "title", "employer"), "id")
     kinds = F.array(F.struct(F.lit("title").alias("k"), F.col("title").alias("x")), F.struct(F.lit("employer").alias("k"), F.col("employer").alias("x")))

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("scalars", "identity", "resolution", "evidence", "sequences", "reports", "storage", "providers")
+MODULES = ("scalars", "identity", "resolution", "evidence", "sequences", "reports", "storage", "providers", "assembly")
 
 
 def load() -> None:

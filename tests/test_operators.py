@@ -176,3 +176,16 @@ def test_sequence_stream(spark, tmp_path):
         query.stop()
     got = sorted((r["key"], r["action"]) for r in spark.read.parquet(f"file://{out}").collect())
     assert got == [(1, "email"), (2, "fallback_email")]
+
+
+def test_provider_source(spark, tmp_path):
+    from goldweave.sources.provider import register
+
+    (tmp_path / "people").mkdir()
+    (tmp_path / "people" / "search.json").write_text('{"results": [{"id": 1}, {"id": 2}]}')
+    (tmp_path / "people" / "match.json").write_text('{"id": 3}')
+    (tmp_path / "people" / "manifest.json").write_text("{}")
+    register(spark)
+    read = spark.read.format("provider").option("root", str(tmp_path)).option("provider", "people")
+    assert sorted(map(tuple, read.load().collect())) == [("match", 0, '{"id": 3}'), ("search", 0, '{"id": 1}'), ("search", 1, '{"id": 2}')]
+    assert read.option("endpoint", "match").load().count() == 1
