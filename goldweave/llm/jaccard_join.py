@@ -6,7 +6,8 @@ den * |intersection| >= num * |union|.  The join is exact in four steps.
 1. Signature.  A set of n shingles must share a = ceil(n * num / den) with any partner.
    Its signature is its n - a + l smallest hashes, l = 2 + DEPTH * n, so partners have at
    least l (of the smaller) common hashes there.  Sets with fewer hashes that any other
-   set has are alone; they leave at once, which empties the lists of common passages.
+   set has are alone and leave.  Of the others whole sets are made, and the same test,
+   now for a shared hashes of all, is repeated while it still empties the lists.
 2. Heavy and light.  On what is left, hashes are ordered from rare to frequent.  Small
    sets list the two-element subsets of their leading hashes, large sets are found by
    the inverted lists of single ones; the size that divides them has the least cost,
@@ -180,34 +181,41 @@ def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(set, hashes): sorted hashes as bytes."""
+    """(set, n, hashes): all hashes of every set that can link, sorted as unsigned numbers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(set_key(s), s.astype("<u8").tobytes()) for s in shingle_sets(list(pdf["text"]), rule.words)]
-            yield pd.DataFrame(rows, columns=["set", "hashes"])
+            rows = [(set_key(s), len(s), s.view(np.int64)) for s in shingle_sets(list(pdf["text"]), rule.words) if rule.can_link(len(s))]
+            yield pd.DataFrame(rows, columns=["set", "n", "hashes"])
 
-    return docs.select("text").mapInPandas(run, "set long, hashes binary")
+    return docs.select("text").mapInPandas(run, "set long, n long, hashes array<long>")
 
 
-def _enough(shared: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
-    """(set, n, shared): sets with as many shared hashes as a partner needs."""
+def _several(rows: DataFrame) -> DataFrame:
+    """``rows`` (hash, set), dealt by hash, whose hash is in more than one set."""
+    several = rows.groupBy("hash").agg((F.min("set") != F.max("set")).alias("several")).filter("several").select("hash")
+    return rows.join(several.hint("shuffle_hash"), "hash").distinct()
+
+
+def _prune(shared: DataFrame, sizes: DataFrame, need: Column, rounds: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """Sets with as many shared hashes as ``need`` (of n), and their shared hashes with df.
+
+    What lonely sets leave behind is often shared no more, hence several rounds.
+    """
+    for _ in range(rounds):
+        counts = shared.groupBy("set").agg(F.count("*").alias("shared"))
+        alive = counts.join(sizes, "set").filter(F.col("shared") >= need)
+        left = shared.select("hash", "set").join(alive.select("set"), "set", "left_semi")
+        df = left.groupBy("hash").agg(F.count("*").alias("holders")).filter("holders > 1")
+        shared = materialize(left.join(df, "hash").select("hash", "set", F.col("holders").alias("df")), name)
     counts = shared.groupBy("set").agg(F.count("*").alias("shared"))
-    return counts.join(sizes, "set").filter(F.col("shared") >= rule.need_column(F.col("n")))
+    return materialize(counts.join(sizes, "set").filter(F.col("shared") >= need), name), shared
 
 
 def surviving(docs: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
-    """(set, n, shared, hash, df): shared signature hashes of sets that may have partners."""
-    rows = signatures(docs, rule).repartition("hash")
-    several = rows.groupBy("hash").agg((F.min("set") != F.max("set")).alias("several")).filter("several").select("hash")
-    shared = materialize(rows.join(several.hint("shuffle_hash"), "hash").distinct(), "shared")
-    alive = _enough(shared, sizes, rule)
-    for _ in range(2):  # what the lonely sets leave behind is often shared no more
-        left = shared.join(alive.select("set"), "set", "left_semi")
-        df = left.groupBy("hash").agg(F.count("*").alias("df2")).filter("df2 > 1")
-        shared = materialize(left.join(df, "hash").select("hash", "set", F.col("df2").alias("df")), "shared")
-        alive = _enough(shared, sizes, rule)
-    return materialize(shared.join(alive, "set"), "alive")
+    """(set, n, shared): sets whose signature shares enough with others."""
+    shared = materialize(_several(signatures(docs, rule).repartition("hash")), "shared")
+    return _prune(shared, sizes, rule.need_column(F.col("n")), 1, "signed")[0]
 
 
 def _size_class(n: Column) -> Column:
@@ -215,8 +223,11 @@ def _size_class(n: Column) -> Column:
 
 
 def boundary(ranked: DataFrame) -> float:
-    """The size up to which listing subsets costs less than scanning lists."""
-    per_set = ranked.groupBy("set").agg(F.first("n").alias("n"), F.count("*").alias("q"), F.sum("df").alias("scan"))
+    """The size up to which listing subsets costs less than scanning lists.
+
+    A list entry costs its place in a list, log2 of the length; a subset costs SUBSET_COST.
+    """
+    per_set = ranked.groupBy("set").agg(F.first("n").alias("n"), F.count("*").alias("q"), F.sum(F.log2("df") + 1).alias("scan"))
     classes = per_set.groupBy(_size_class(F.col("n")).alias("c")).agg(F.sum(F.col("q") * (F.col("q") + 1) / 2).alias("subsets"), F.sum("scan").alias("scan"))
     rows = sorted(classes.collect())  # at most some hundred classes of sizes
     best, best_cost = 0.0, sum(r["scan"] for r in rows)
@@ -227,16 +238,21 @@ def boundary(ranked: DataFrame) -> float:
     return best
 
 
-def candidate_lists(alive: DataFrame, rule: Rule) -> DataFrame:
+def candidate_lists(sets: DataFrame, rule: Rule) -> DataFrame:
     """(key, set, n): lists of which each pair of partners shares one at least."""
-    entry = F.struct("df", "hash")
-    sets = alive.groupBy("set").agg(F.first("n").alias("n"), F.first("shared").alias("shared"), F.array_sort(F.collect_list(entry)).alias("e"))
-    sets = materialize(sets.withColumn("q", (F.col("shared") - rule.need_column(F.col("n")) + 1).cast("int")), "ordered")
-    ranked = sets.select("set", "n", F.explode(F.slice("e", F.lit(1), F.col("q"))).alias("e")).select("set", "n", "e.*")
+    rows = sets.select("set", F.explode("hashes").alias("hash")).repartition("hash")
+    sizes = sets.select("set", "n").distinct()
+    need = F.ceil(F.col("n") * rule.num / F.lit(rule.den))
+    alive, shared = _prune(materialize(_several(rows), "whole"), sizes, need, 3, "alive")
+    entries = shared.join(alive, "set").groupBy("set").agg(
+        F.first("n").alias("n"), F.first("shared").alias("shared"), F.array_sort(F.collect_list(F.struct("df", "hash"))).alias("e")
+    )
+    ordered = materialize(entries.withColumn("q", (F.col("shared") - need + 1).cast("int")), "ordered")
+    ranked = ordered.select("set", "n", F.explode(F.slice("e", F.lit(1), F.col("q"))).alias("e")).select("set", "n", "e.*")
     limit = boundary(ranked)
     lists = ranked.filter(F.col("n") >= F.lit(limit * rule.num / rule.den) - 1).select(F.xxhash64("hash").alias("key"), "set", "n")
     if limit:
-        few = sets.filter(F.col("n") <= limit).withColumn("e", F.transform(F.slice("e", F.lit(1), F.col("q") + 1), lambda x: x["hash"]))
+        few = ordered.filter(F.col("n") <= limit).withColumn("e", F.transform(F.slice("e", F.lit(1), F.col("q") + 1), lambda x: x["hash"]))
         pairs = F.flatten(F.transform("e", lambda x, i: F.transform(F.slice("e", i + 2, F.size("e")), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
         lists = lists.unionByName(few.select(F.explode(pairs).alias("key"), "set", "n"))
     several = lists.groupBy("key").agg((F.min("set") != F.max("set")).alias("several")).filter("several").select("key")
@@ -256,7 +272,7 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
         for pdf in batches:
             keep = np.zeros(len(pdf), bool)
             for i, (x, y) in enumerate(zip(pdf["left"], pdf["right"], strict=True)):
-                a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                a, b = np.asarray(x).view(np.uint64), np.asarray(y).view(np.uint64)
                 at = np.searchsorted(a, b)
                 at[at == len(a)] = 0
                 common = int((a[at] == b).sum())
@@ -268,12 +284,12 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 def set_links(docs: DataFrame, sizes: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """Links between sets that join all that belong together, and the components of the sets."""
-    alive = surviving(docs, sizes.select("set", "n").distinct(), rule)
-    lists = candidate_lists(alive, rule)
-    wanted = sizes.join(lists.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
+    signed = surviving(docs, sizes.select("set", "n").distinct(), rule)
+    wanted = sizes.join(signed.select("set"), "set", "left_semi").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
     sources = docs.select("doc_id", "text").join(wanted.select("doc_id"), "doc_id", "left_semi")
     nameless = docs.select("doc_id", "text").filter(F.col("doc_id").isNull())
     sets = materialize(whole_sets(sources.unionByName(nameless), rule), "sets")
+    lists = candidate_lists(sets, rule)
 
     centres = lists.groupBy("key").agg(F.min(F.struct("set", "n")).alias("c"))
     stars = lists.join(centres, "key").filter((F.col("set") != F.col("c.set")) & _near_size(F.col("n"), F.col("c.n"), rule))
