@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,8 +99,3 @@ def signal_strength(hosts: Column, own_domain: Column, corroborating: Column, me
     level = level + F.when(corroborating >= agreeing, 1).otherwise(0)
     return F.when(hosts >= 1, F.element_at(F.array(*map(F.lit, STRENGTHS)), F.least(level, F.lit(len(STRENGTHS)))))
 
-
-def apply_all(text: Column, *steps: Callable[[Column], Column]) -> Column:
-    for step in steps:
-        text = step(text)
-    return text
