@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from goldweave.llm.ids import as_long, as_text
 from goldweave.llm.storage import materialize
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -143,9 +144,8 @@ def format_branches(messages: DataFrame, keep: int = 1) -> DataFrame:
             out = pd.DataFrame(rows, columns=["formatted", "loss"])
             yield pd.concat([pdf[["conv_id", "leaf", "rank"]].reset_index(drop=True), out], axis=1)
 
-    return paths.select("conv_id", "leaf", "rank", "turns").mapInPandas(
-        run, "conv_id long, leaf long, rank int, formatted string, loss array<struct<start long, end long>>"
-    )
+    rows = as_text(paths.select("conv_id", "leaf", "rank", "turns"), "conv_id", "leaf")
+    return as_long(rows.mapInPandas(run, "conv_id string, leaf string, rank int, formatted string, loss array<struct<start long, end long>>"), "conv_id", "leaf")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -163,6 +163,6 @@ def read_back(formatted: DataFrame) -> DataFrame:
             out.insert(0, "conv_id", pdf["conv_id"].to_numpy())
             yield out
 
-    return formatted.select("conv_id", "formatted", "loss").mapInPandas(
-        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    )
+    rows = as_text(formatted.select("conv_id", "formatted", "loss"), "conv_id")
+    schema = "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    return as_long(rows.mapInPandas(run, schema), "conv_id")

@@ -20,7 +20,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from goldweave.llm.ids import as_long, as_text
 
 WIDTH = 64
 LEVEL = 3
@@ -169,7 +170,7 @@ def store_images(docs: DataFrame) -> DataFrame:
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
 
-    return docs.select("doc_id", F.col("text")).mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    return as_long(as_text(docs.select("doc_id", "text"), "doc_id").mapInPandas(run, "doc_id string, n_bytes long, media binary"), "doc_id")
 
 
 def _features(media: bytes | None) -> tuple:
@@ -187,7 +188,7 @@ def _features(media: bytes | None) -> tuple:
 def image_features(images: DataFrame) -> DataFrame:
     """Digests and hash of stored images, all taken from the bytes read back."""
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
+    schema = "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -195,4 +196,4 @@ def image_features(images: DataFrame) -> DataFrame:
             whole = {c: "Int64" for c in ("payload_bytes", "tail_crc32", "media_bytes")}
             yield pd.concat([pdf[["doc_id", "n_bytes"]].reset_index(drop=True), out.astype(whole)], axis=1)
 
-    return images.select("doc_id", "n_bytes", "media").mapInPandas(run, schema)
+    return as_long(as_text(images.select("doc_id", "n_bytes", "media"), "doc_id").mapInPandas(run, schema), "doc_id")

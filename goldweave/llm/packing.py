@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from goldweave.llm.ids import as_long, as_text
 from goldweave.llm.storage import materialize
 
 CAPACITY = 1024
@@ -52,7 +53,7 @@ def cut_points(length: int, capacity: int) -> list[int]:
 
 def tokenize_pieces(docs: DataFrame, ranks_path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, the ids."""
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
+    schema = "doc_id string, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoding = load_ranks(ranks_path)
@@ -64,9 +65,9 @@ def tokenize_pieces(docs: DataFrame, ranks_path: str, capacity: int = CAPACITY,
                 for piece, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
                     row = (doc_id, piece, a, b - a, zlib.crc32(ids[a:b].tobytes()))
                     rows.append((*row, ids[a:b].astype(np.int32)) if keep_ids else row)
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])])
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return as_long(as_text(docs.select("doc_id", "text"), "doc_id").mapInPandas(run, schema), "doc_id")
 
 
 def fullest(available: dict[int, int], room: int) -> dict[int, int]:
@@ -162,8 +163,9 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY, block_rows: int =
                 offset[at] = row[:, 3] + copy * length
             yield pdf[kept].assign(sequence_id=sequence, offset=offset)
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name in kept)
-    return ranked.select(*kept, "rank").mapInPandas(settle, fields + ", sequence_id long, offset long")
+    rows = as_text(ranked.select(*kept, "rank"), "doc_id")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in kept)
+    return as_long(rows.mapInPandas(settle, fields + ", sequence_id long, offset long"), "doc_id")
 
 
 def pack_documents(docs: DataFrame, ranks_path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:

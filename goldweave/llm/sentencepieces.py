@@ -29,6 +29,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from goldweave.llm.ids import as_long, as_text
+
 META = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 NO_RANK = np.int64(1) << 40
@@ -352,7 +354,7 @@ def _encoder(path: str) -> Encoder:
 
 def encode_documents(docs: DataFrame, model_path: str, keep_text: bool = False, chunk_chars: int = 1 << 21) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256; with ``keep_text`` also ids and decoded."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if keep_text:
         schema += ", ids string, decoded string"
 
@@ -372,4 +374,4 @@ def encode_documents(docs: DataFrame, model_path: str, keep_text: bool = False,
                 out.insert(0, "doc_id", pdf["doc_id"].to_numpy()[part.to_numpy()])
                 yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return as_long(as_text(docs.select("doc_id", "text"), "doc_id").mapInPandas(run, schema), "doc_id")

@@ -8,7 +8,7 @@ ODD = [None, "", "   ", "a", "A", "é É", "x" * 30_000, "word " * 4_000, "\x00\
 def odd(spark):
     """Odd texts with extra columns whose names operators may use inside."""
     rows = [(i, t, "en", "s", len(t or ""), 1.0, "k", 0) for i, t in enumerate(ODD)]
-    rows.append(rows[3])
+    rows += [rows[3], (None, "no id here", None, None, None, None, None, None), (2**62 + 1, "a large id", "en", "s", 1, 1.0, "k", 0)]
     schema = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, shard int"
     return spark.createDataFrame(rows, schema)
 

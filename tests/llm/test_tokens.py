@@ -110,7 +110,7 @@ def test_packing(odd, empty, small):
             assert at <= 1024
         for r in docs.dropDuplicates(["doc_id"]).collect():
             want = [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 2]
-            pieces = sorted(parts[r["doc_id"]])[:: docs.filter(docs.doc_id == r["doc_id"]).count()]
+            pieces = sorted(parts[r["doc_id"]])[:: docs.filter(docs.doc_id.eqNullSafe(r["doc_id"])).count()]
             assert [i for _, _, ids in pieces for i in ids] == want
             assert [s for _, s, _ in pieces] == packing.cut_points(len(want), 1024)
         total = sum(r["length"] for r in rows)
