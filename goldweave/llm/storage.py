@@ -1,33 +1,5 @@
-"""Intermediate tables in the folder that the whole cluster shares.
+"""Intermediate tables of this subpackage: those of the library's shared folder."""
 
-Lineage is cut by writing Parquet below ``spark.checkpoint.dir``: a lost executor
-costs a re-read, never a recomputation of the branch above it.
-"""
+from goldweave.storage import materialize, new_path, shared_dir
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="goldweave-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/goldweave-{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back from it."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialize", "new_path", "shared_dir"]
