@@ -14,6 +14,7 @@ den * |intersection| >= num * |union|.  The join is exact in four steps.
    estimated from list lengths.  Sets just below it are in both.
 3. Stars.  Each list proposes its smallest member with each other one; proposals are
    compared on whole sets, and links make components.
+   A proposal in a list needs room: elements from the list's own on that may be common.
 4. Rest.  Only where a list holds several components are pairs across them proposed, so
    a group of near copies never becomes all its pairs, and no link between components is
    missed.
@@ -36,8 +37,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from goldweave.llm.components import connected_components
+from goldweave.llm.ids import as_long, as_text
 from goldweave.llm.storage import materialize
+from goldweave.operators.graph import connected_components
 
 #: Share of a set that its signature holds beyond the hashes of which one must be common.
 DEPTH = 0.075
@@ -155,9 +157,9 @@ def text_sets(docs: DataFrame, rule: Rule) -> DataFrame:
             rows = [(set_key(s), len(s)) for s in shingle_sets(list(pdf["text"]), rule.words)]
             out = pd.DataFrame(rows, columns=["set", "n"])
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield out.astype({"doc_id": "Int64"})
+            yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, set long, n long")
+    return as_long(as_text(docs.select("doc_id", "text"), "doc_id").mapInPandas(run, "doc_id string, set long, n long"), "doc_id")
 
 
 def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -239,7 +241,11 @@ def boundary(ranked: DataFrame) -> float:
 
 
 def candidate_lists(sets: DataFrame, rule: Rule) -> DataFrame:
-    """(key, set, n): lists of which each pair of partners shares one at least."""
+    """(key, set, n, room): lists of which each pair of partners shares one at least.
+
+    ``room`` is how many elements a set can have in common with a partner if the list
+    stands for the first ones that they share; in that list it holds for every pair.
+    """
     rows = sets.select("set", F.explode("hashes").alias("hash")).repartition("hash")
     sizes = sets.select("set", "n").distinct()
     need = F.ceil(F.col("n") * rule.num / F.lit(rule.den))
@@ -248,19 +254,22 @@ def candidate_lists(sets: DataFrame, rule: Rule) -> DataFrame:
         F.first("n").alias("n"), F.first("shared").alias("shared"), F.array_sort(F.collect_list(F.struct("df", "hash"))).alias("e")
     )
     ordered = materialize(entries.withColumn("q", (F.col("shared") - need + 1).cast("int")), "ordered")
-    ranked = ordered.select("set", "n", F.explode(F.slice("e", F.lit(1), F.col("q"))).alias("e")).select("set", "n", "e.*")
+    ranked = ordered.select("set", "n", "shared", F.posexplode(F.slice("e", F.lit(1), F.col("q"))).alias("i", "e"))
+    ranked = ranked.select("set", "n", (F.col("shared") - F.col("i")).alias("room"), "e.*")
     limit = boundary(ranked)
-    lists = ranked.filter(F.col("n") >= F.lit(limit * rule.num / rule.den) - 1).select(F.xxhash64("hash").alias("key"), "set", "n")
+    lists = ranked.filter(F.col("n") >= F.lit(limit * rule.num / rule.den) - 1).select(F.xxhash64("hash").alias("key"), "set", "n", "room")
     if limit:
         few = ordered.filter(F.col("n") <= limit).withColumn("e", F.transform(F.slice("e", F.lit(1), F.col("q") + 1), lambda x: x["hash"]))
-        pairs = F.flatten(F.transform("e", lambda x, i: F.transform(F.slice("e", i + 2, F.size("e")), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
-        lists = lists.unionByName(few.select(F.explode(pairs).alias("key"), "set", "n"))
+        subset = lambda x, y, k: F.struct(F.xxhash64(F.least(x, y), F.greatest(x, y)).alias("key"), (F.col("shared") - k + 1).alias("room"))
+        pairs = F.flatten(F.transform("e", lambda x, i: F.transform(F.slice("e", i + 2, F.size("e")), lambda y, j: subset(x, y, i + 1 + j))))
+        lists = lists.unionByName(few.select(F.explode(pairs).alias("p"), "set", "n").select("p.key", "set", "n", "p.room"))
     several = lists.groupBy("key").agg((F.min("set") != F.max("set")).alias("several")).filter("several").select("key")
     return materialize(lists.join(several, "key").distinct(), "lists")
 
 
-def _near_size(a: Column, b: Column, rule: Rule) -> Column:
-    return (a * rule.den >= b * rule.num) & (b * rule.den >= a * rule.num)
+def _possible(n: Column, m: Column, room: Column, other: Column, rule: Rule) -> Column:
+    """Whether sets of n and m can link with so much room each."""
+    return (F.least(room, other) * (rule.num + rule.den) >= (n + m) * rule.num) & (n * rule.den >= m * rule.num) & (m * rule.den >= n * rule.num)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -291,18 +300,19 @@ def set_links(docs: DataFrame, sizes: DataFrame, rule: Rule) -> tuple[DataFrame,
     sets = materialize(whole_sets(sources.unionByName(nameless), rule), "sets")
     lists = candidate_lists(sets, rule)
 
-    centres = lists.groupBy("key").agg(F.min(F.struct("set", "n")).alias("c"))
-    stars = lists.join(centres, "key").filter((F.col("set") != F.col("c.set")) & _near_size(F.col("n"), F.col("c.n"), rule))
+    centres = lists.groupBy("key").agg(F.min(F.struct("set", "n", "room")).alias("c"))
+    able = _possible(F.col("n"), F.col("c.n"), F.col("room"), F.col("c.room"), rule)
+    stars = lists.join(centres, "key").filter((F.col("set") != F.col("c.set")) & able)
     stars = materialize(stars.select(F.col("c.set").alias("a"), F.col("set").alias("b")).distinct(), "pairs")
     links = materialize(verified(stars, sets, rule), "links")
     groups = materialize(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "groups")
 
     label = F.coalesce("component", "set").alias("group")
-    named = lists.join(groups.withColumnRenamed("node", "set"), "set", "left").select("key", "set", "n", label)
+    named = lists.join(groups.withColumnRenamed("node", "set"), "set", "left").select("key", "set", "n", "room", label)
     mixed = named.groupBy("key").agg((F.min("group") != F.max("group")).alias("mixed")).filter("mixed").select("key")
     open_lists = materialize(named.join(mixed, "key"), "open")
-    left, right = (open_lists.select("key", F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("group").alias(f"g{x}")) for x in "ab")
-    rest = left.join(right, "key").filter((F.col("ga") != F.col("gb")) & (F.col("a") < F.col("b")) & _near_size(F.col("na"), F.col("nb"), rule))
+    left, right = (open_lists.select("key", F.col("set").alias(x), *(F.col(c).alias(c[0] + x) for c in ("n", "room", "group"))) for x in "ab")
+    rest = left.join(right, "key").filter((F.col("ga") != F.col("gb")) & (F.col("a") < F.col("b")) & _possible(*map(F.col, ("na", "nb", "ra", "rb")), rule))
     rest = materialize(rest.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
     links = materialize(links.unionByName(verified(rest, sets, rule)), "links")
     return links, connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
