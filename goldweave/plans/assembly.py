@@ -15,7 +15,7 @@ from goldweave.plans.registry import Tables, query
 
 
 @query("e6_email_links", f"""WITH {KEYS_SQL}, m AS (SELECT k.id, k.value, c.linkedin IS NULL AS bare FROM keys k JOIN c USING (id) WHERE kind = 2 AND NOT barred),
-h AS (SELECT value, min(id) AS u FROM m WHERE bare GROUP BY 1) SELECT h.u, m.id AS v FROM m JOIN h USING (value) WHERE h.u <> m.id""")
+h AS (SELECT value, min(id) AS u FROM m WHERE bare GROUP BY 1) SELECT h.u, m.id AS v FROM m JOIN h USING (value) WHERE h.u <> m.id""", whole=True)
 def e6(t: Tables) -> DataFrame:
     c = contributions(t)
     return I.email_links(c, I.match_keys(c))
@@ -46,7 +46,7 @@ def j10(t: Tables) -> DataFrame:
 
 
 @query("j11_merge_log", f"""WITH RECURSIVE {CLUSTER_SQL}, ml AS (SELECT cluster, list_sort(list(id)) AS v FROM g GROUP BY 1 HAVING count(*) > 1)
-SELECT cluster, array_to_string(v[1:3], ',') AS members, greatest(len(v) - 3, 0)::INTEGER AS omitted FROM ml""")
+SELECT cluster, array_to_string(v[1:3], ',') AS members, greatest(len(v) - 3, 0)::INTEGER AS omitted FROM ml""", whole=True)
 def j11(t: Tables) -> DataFrame:
     c = contributions(t)
     return A.merge_log(I.clusters(c), "cluster", "id", 3)
@@ -76,7 +76,7 @@ def k21(t: Tables) -> DataFrame:
 
 
 @query("b3_persisted_merge", f"""WITH RECURSIVE {CLUSTER_SQL}, prior AS (SELECT id, person AS lead FROM c WHERE id % 2 = 0), h AS (SELECT lead, count(DISTINCT cluster) AS n, min(cluster) AS cluster FROM prior JOIN g USING (id) GROUP BY 1),
-k AS (SELECT cluster, min(lead) AS lead FROM h WHERE n = 1 GROUP BY 1) SELECT g.id, coalesce(k.lead, g.cluster + 1000000) AS lead FROM g LEFT JOIN k USING (cluster)""")
+k AS (SELECT cluster, min(lead) AS lead FROM h WHERE n = 1 GROUP BY 1) SELECT g.id, coalesce(k.lead, g.cluster + 1000000) AS lead FROM g LEFT JOIN k USING (cluster)""", whole=True)
 def b3(t: Tables) -> DataFrame:
     c = contributions(t)
     prior = c.filter("id % 2 = 0").select(F.col("id").alias("key"), F.col("person").alias("lead"), F.col("person").alias("seniority"))
@@ -103,7 +103,7 @@ def c43(t: Tables) -> DataFrame:
     return A.manifest_faults(files, manifest, F.lit("2026-01-01").cast("date")).withColumnRenamed("file", "page_id")
 
 
-@query("f12b_profile_conflicts", f"WITH {C_SQL} SELECT person, count(DISTINCT linkedin) AS profiles, count(DISTINCT email) AS emails FROM c GROUP BY 1 HAVING count(DISTINCT linkedin) + count(DISTINCT email) > 1")
+@query("f12b_profile_conflicts", f"WITH {C_SQL} SELECT person, count(DISTINCT linkedin) AS profiles, count(DISTINCT email) AS emails FROM c GROUP BY 1 HAVING count(DISTINCT linkedin) + count(DISTINCT email) > 1", whole=True)
 def f12b(t: Tables) -> DataFrame:
     per = contributions(t).groupBy("person").agg(F.count_distinct("linkedin").alias("profiles"), F.count_distinct("email").alias("emails"))
     return per.filter("profiles + emails > 1")

@@ -1,16 +1,28 @@
-"""Queries over all rows, where the SQL twin holds for a part of them: against plain Python."""
+"""Queries over all rows, where the SQL twin holds for a part of them: against the twin without its bound, or plain Python."""
 
 import re
 
+import duckdb
+import pytest
+
 from goldweave import plans
 from goldweave.operators import evidence
 from goldweave.plans import registry
 
 SF = "/root/testdata/sf0.001"
+TABLES = ("orders", "documents")
 plans.load()
 TALK = [" We use Astra in production.", " We moved off Astra! We use it.", " Astra vs Cassandra", " Reseller of astra. We run Astra.", " Please classify Astra.", " astral matters"]
 
 
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for t in TABLES:
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return c
+
+
 def classified(docs):
     out = {}
     for doc_id, text in docs:
@@ -45,3 +57,25 @@ def test_classifier_on_documents(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = {r["doc_id"]: (r["relationship"], r["quote"]) for r in registry.QUERIES["k6_classify_whole"](spark, SF).collect()}
     assert got == classified(docs)
+
+
+#: By bound: the queries whose twin, without it, must give the rows over the whole table.
+BOUNDS = {
+    " WHERE o_orderkey % 8 IN (0, 1, 2, 3)": "e1_match_keys e2_shared_addresses e2b_ambiguous_names e3_emails_conflict e5_profile_links e6_email_links e7_clusters e8_cannot_link e9_cluster_ids "
+    "e10_join_keyless e15_blocked_identities e32_strong_person_labels d3_prune_flagged d13_unambiguous_questions f12_over_merged f12b_profile_conflicts j11_merge_log b3_persisted_merge",
+}
+
+
+@pytest.mark.parametrize("name,bound", [(n, b) for b, names in BOUNDS.items() for n in names.split()])
+def test_whole_table(spark, duck, name, bound):
+    sql = registry.ORACLES[name]
+    assert sql.count(bound) == 1
+    df = registry.QUERIES[f"{name}_whole"](spark, SF)
+    want = duck.sql(sql.replace(bound, ""))
+    assert sorted(df.columns) == sorted(want.columns)
+    got = sorted(tuple(str(r[c]) for c in want.columns) for r in df.collect())
+    assert got == sorted(tuple(map(str, r)) for r in want.fetchall())
+
+
+def test_every_order_gets_a_cluster(spark):
+    assert registry.QUERIES["e7_clusters_whole"](spark, SF).count() == spark.read.parquet(f"{SF}/orders.parquet").count()
