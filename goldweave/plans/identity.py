@@ -79,9 +79,9 @@ def e3(t: Tables) -> DataFrame:
 WITH RECURSIVE c AS (SELECT DISTINCT o_custkey AS id, o_orderdate AS d, o_orderpriority AS p FROM orders WHERE o_orderkey % 5 = 0),
 e AS (SELECT DISTINCT a.id AS u, b.id AS v FROM c a JOIN c b USING (d, p) WHERE a.id <> b.id),
 r(node, label) AS (SELECT DISTINCT id, id FROM c UNION SELECT e.v, r.label FROM r JOIN e ON e.u = r.node WHERE r.label < e.v)
-SELECT node AS o_custkey, min(label) AS component FROM r GROUP BY 1""")
+SELECT node AS o_custkey, min(label) AS component FROM r GROUP BY 1""", whole=True)
 def e4(t: Tables) -> DataFrame:
-    rows = t.orders.filter("o_orderkey % 5 = 0")
+    rows = t.orders if t.whole else t.orders.filter("o_orderkey % 5 = 0")
     edges = G.star_edges(rows, "o_custkey", "o_orderdate", "o_orderpriority")
     return G.label_all(rows.select("o_custkey").distinct(), "o_custkey", edges)
 

@@ -63,6 +63,7 @@ def test_classifier_on_documents(spark):
 BOUNDS = {
     " WHERE o_orderkey % 8 IN (0, 1, 2, 3)": "e1_match_keys e2_shared_addresses e2b_ambiguous_names e3_emails_conflict e5_profile_links e6_email_links e7_clusters e8_cannot_link e9_cluster_ids "
     "e10_join_keyless e15_blocked_identities e32_strong_person_labels d3_prune_flagged d13_unambiguous_questions f12_over_merged f12b_profile_conflicts j11_merge_log b3_persisted_merge",
+    " WHERE o_orderkey % 5 = 0": "e4_connected_components",
 }
 
 
@@ -79,3 +80,8 @@ def test_whole_table(spark, duck, name, bound):
 
 def test_every_order_gets_a_cluster(spark):
     assert registry.QUERIES["e7_clusters_whole"](spark, SF).count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+
+
+def test_every_customer_with_orders_gets_a_component(spark):
+    rows = registry.QUERIES["e4_connected_components_whole"](spark, SF).collect()
+    assert sorted(r["o_custkey"] for r in rows) == sorted(r[0] for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_custkey").distinct().collect())
