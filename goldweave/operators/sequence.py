@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from goldweave.functions.values import unit_interval
+from goldweave.storage import materialize
 
 KINDS = ("invite", "accepted", "email", "fallback_email", "stalled", "halted")
 FINAL = ("email", "fallback_email", "stalled")
@@ -95,3 +96,18 @@ def finish_runs(runs: DataFrame, ended: DataFrame) -> DataFrame:
     """Running runs take their end; a finished one never changes. (run, status)"""
     end = ended.groupBy("run").agg(F.min_by("status", "seq").alias("end"))
     return runs.join(end, "run", "left").select("run", F.when(F.col("status") == "running", F.coalesce("end", "status")).otherwise(F.col("status")).alias("status"))
+
+
+def number_all(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """``rows`` with ``place``: 1 for the first under a total order, without a gap.
+
+    Numbered in two levels: rows are dealt by ranges of the order, numbered within their
+    range, and ranges start behind the rows before them. One row a range is all that meets in a task.
+    """
+    dealt = materialize(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inner = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    ranked = dealt.withColumn("inner", inner).join(F.broadcast(starts), "part")
+    return ranked.withColumn("place", F.col("before") + F.col("inner")).drop("part", "inner", "before")

@@ -91,11 +91,12 @@ def g7(t: Tables) -> DataFrame:
     return t.orders.groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("anchor"))
 
 
-@query("g8_report_order", "SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey)::INTEGER AS place FROM orders WHERE o_custkey % 50 = 0")
+@query("g8_report_order", "SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey)::INTEGER AS place FROM orders WHERE o_custkey % 50 = 0", whole=True)
 def g8(t: Tables) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2)
-    w = Window.orderBy(status, F.desc("o_totalprice"), "o_orderkey")
-    return t.orders.filter("o_custkey % 50 = 0").select("o_orderkey", F.row_number().over(w).alias("place"))
+    rows = t.orders if t.whole else t.orders.filter("o_custkey % 50 = 0")
+    ranked = S.number_all(rows.select("o_orderkey", "o_totalprice", status.alias("status")), "status", F.desc("o_totalprice"), "o_orderkey")
+    return ranked.select("o_orderkey", "place")
 
 
 @query("h1_keyset_page", "SELECT c_custkey, c_name FROM customer WHERE c_custkey > 200 AND c_acctbal > 0 ORDER BY c_custkey LIMIT 50")

@@ -4,9 +4,10 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from goldweave import plans
-from goldweave.operators import evidence
+from goldweave.operators import evidence, sequence
 from goldweave.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -64,6 +65,7 @@ BOUNDS = {
     " WHERE o_orderkey % 8 IN (0, 1, 2, 3)": "e1_match_keys e2_shared_addresses e2b_ambiguous_names e3_emails_conflict e5_profile_links e6_email_links e7_clusters e8_cannot_link e9_cluster_ids "
     "e10_join_keyless e15_blocked_identities e32_strong_person_labels d3_prune_flagged d13_unambiguous_questions f12_over_merged f12b_profile_conflicts j11_merge_log b3_persisted_merge",
     " WHERE o_orderkey % 5 = 0": "e4_connected_components",
+    " WHERE o_custkey % 50 = 0": "g8_report_order",
 }
 
 
@@ -85,3 +87,10 @@ def test_every_order_gets_a_cluster(spark):
 def test_every_customer_with_orders_gets_a_component(spark):
     rows = registry.QUERIES["e4_connected_components_whole"](spark, SF).collect()
     assert sorted(r["o_custkey"] for r in rows) == sorted(r[0] for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_custkey").distinct().collect())
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_places_of_all_rows(spark, n):
+    rows = spark.range(n).selectExpr("id", "id * 7919 % 11 AS score").repartition(3)
+    got = {r["id"]: r["place"] for r in sequence.number_all(rows, F.desc("score"), "id").collect()}
+    assert got == {i: p for p, i in enumerate(sorted(range(n), key=lambda i: (-(i * 7919 % 11), i)), 1)}
