@@ -128,7 +128,7 @@ def _shingle_chunk(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
         bounds = np.searchsorted(start, np.r_[0, text_end])
         n = np.diff(bounds)
         total = np.zeros(max(0, len(word) - words + 1), np.uint64)
-        for j in range(words):
+        for j in range(words if len(total) else 0):  # no text of the chunk can have a whole shingle
             total += word[j : len(word) - words + 1 + j] * (_PLACE[j % 4] + np.uint64(2 * j))
         total = _mix(total)
         for i, count in enumerate(n):

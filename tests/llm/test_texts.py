@@ -7,7 +7,7 @@ import pytest
 
 from goldweave.llm import exact_dedup, jaccard_join, language_id, pii, secret_scan
 
-from .brute import LOWER, components
+from .brute import LOWER, components, shingles
 
 RULE = jaccard_join.Rule(words=3, num=80, den=100)
 
@@ -165,3 +165,21 @@ def test_codewords_are_apart():
         assert len(code) == n
         distance = min((a != b).sum() for i, a in enumerate(code) for b in code[:i])
         assert distance >= (1 if n == 2 else 2 if n == 3 else 4)
+
+
+def test_chunks_with_fewer_words_than_a_shingle():
+    for words in (1, 2, 3, 5, 8):
+        for n in range(words + 3):
+            for texts in ([" ".join(map(str, range(n)))], ["", " ".join(map(str, range(n))), None]):
+                sizes = [len(s) for s in jaccard_join.shingle_sets(texts, words)]
+                assert sizes == [len(shingles(t, words)) for t in texts]
+
+
+def test_five_words_on_tiny_partitions(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = list(enumerate(["one two three", "ONE two  three", "one two", "", None, base, base + " more", "other " + base]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(len(rows))
+    rule = jaccard_join.Rule()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join_documents(df, rule).collect()}
+    assert got == components(rows, rule.words, rule.num, rule.den)
+
