@@ -15,7 +15,9 @@ remainder; repeated rows are packed once each; an empty table gives an empty res
 from __future__ import annotations
 
 import base64
+import json
 import math
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,13 +38,15 @@ BLOCK_ROWS = 1024
 
 @lru_cache(maxsize=2)
 def load_ranks(path: str):
-    """A byte-level BPE encoder over the file's ranks; all text is ordinary text."""
+    """A byte-level BPE encoder over the file's ranks, with the added tokens of the tokenizer file beside it."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(os.path.splitext(path)[0] + ".json", "rb") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def cut_points(length: int, capacity: int) -> list[int]:
@@ -60,7 +64,7 @@ def tokenize_pieces(docs: DataFrame, ranks_path: str, capacity: int = CAPACITY,
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = np.array([*(encoding.encode_ordinary(text) if text else ()), END_TOKEN], "<u4")
+                ids = np.array([*(encoding.encode(text, allowed_special="all") if text else ()), END_TOKEN], "<u4")
                 starts = cut_points(len(ids), capacity)
                 for piece, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
                     row = (doc_id, piece, a, b - a, zlib.crc32(ids[a:b].tobytes()))

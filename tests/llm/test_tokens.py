@@ -115,3 +115,10 @@ def test_packing(odd, empty, small):
             assert [s for _, s, _ in pieces] == packing.cut_points(len(want), 1024)
         total = sum(r["length"] for r in rows)
         assert len(bins) <= 1.02 * total / 1024 + 2
+
+
+def test_added_tokens_inside_texts(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|>", "a<|endoftext|>b", "one <|endoftext|> two<|endoftext|><|endoftext|>\n", "<|endoftext|", "<|ENDOFTEXT|> x", "plain"]
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), RANKS, keep_ids=True).collect()
+    assert {r["doc_id"]: list(r["ids"]) for r in rows} == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
