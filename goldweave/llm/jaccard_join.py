@@ -12,12 +12,14 @@ den * |intersection| >= num * |union|.  The join is exact in four steps.
    sets list the two-element subsets of their leading hashes, large sets are found by
    the inverted lists of single ones; the size that divides them has the least cost,
    estimated from list lengths.  Sets just below it are in both.
-3. Stars.  Each list proposes its smallest member with each other one; proposals are
-   compared on whole sets, and links make components.
-   A proposal in a list needs room: elements from the list's own on that may be common.
-4. Rest.  Only where a list holds several components are pairs across them proposed, so
-   a group of near copies never becomes all its pairs, and no link between components is
-   missed.
+3. Stars, in rounds.  Every list takes a centre and compares it on whole sets with the
+   members outside its component; links make components.  The first centre is the member
+   whose elements the most other sets hold, so a group of near copies hangs on the text
+   in its middle at once.  A centre has met its whole list and leaves it; a list of one
+   component closes.  Later rounds take four times as many centres each, from the smallest
+   components of a list first, until no list is open: then every pair that shares a list
+   and could link is compared or lies in one component.
+   A comparison needs room: elements from the list's own on that may be common.
 
 Sets and hashes have 64-bit keys; two different ones share a key with odds of 2^-64.
 
@@ -34,7 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from goldweave.llm.ids import as_long, as_text
@@ -46,6 +48,8 @@ DEPTH = 0.075
 CHUNK_BYTES = 1 << 20
 #: Cost of a subset that is listed, in list entries that are scanned.
 SUBSET_COST = 2.0
+#: What a list says of a member.
+MEMBER = ("set", "n", "room", "weight")
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -149,17 +153,20 @@ def set_key(hashes: np.ndarray) -> int:
         return int(_mix(np.array([key + np.uint64(len(hashes))], np.uint64)).view(np.int64)[0])
 
 
-def text_sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, set, n) of every row."""
+def text_sets(docs: DataFrame, rule: Rule, *carried: str) -> DataFrame:
+    """(doc_id, set, n) of every row, and the long columns in ``carried``."""
+    ids = ["doc_id", *carried]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(set_key(s), len(s)) for s in shingle_sets(list(pdf["text"]), rule.words)]
             out = pd.DataFrame(rows, columns=["set", "n"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+            for i, name in enumerate(ids):
+                out.insert(i, name, pdf[name].to_numpy())
             yield out
 
-    return as_long(as_text(docs.select("doc_id", "text"), "doc_id").mapInPandas(run, "doc_id string, set long, n long"), "doc_id")
+    rows = as_text(docs.select(*ids, "text"), *ids)
+    return as_long(rows.mapInPandas(run, ", ".join(f"{n} string" for n in ids) + ", set long, n long"), *ids)
 
 
 def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -241,28 +248,30 @@ def boundary(ranked: DataFrame) -> float:
 
 
 def candidate_lists(sets: DataFrame, rule: Rule) -> DataFrame:
-    """(key, set, n, room): lists of which each pair of partners shares one at least.
+    """(key, set, n, room, weight): lists of which each pair of partners shares one at least.
 
     ``room`` is how many elements a set can have in common with a partner if the list
     stands for the first ones that they share; in that list it holds for every pair.
+    ``weight`` is how many sets hold an element of the set, on average.
     """
     rows = sets.select("set", F.explode("hashes").alias("hash")).repartition("hash")
     sizes = sets.select("set", "n").distinct()
     need = F.ceil(F.col("n") * rule.num / F.lit(rule.den))
     alive, shared = _prune(materialize(_several(rows), "whole"), sizes, need, 3, "alive")
     entries = shared.join(alive, "set").groupBy("set").agg(
-        F.first("n").alias("n"), F.first("shared").alias("shared"), F.array_sort(F.collect_list(F.struct("df", "hash"))).alias("e")
+        F.first("n").alias("n"), F.first("shared").alias("shared"), F.sum("df").alias("holders"), F.array_sort(F.collect_list(F.struct("df", "hash"))).alias("e")
     )
+    entries = entries.withColumn("weight", (F.col("holders") / F.col("n")).cast("float")).drop("holders")
     ordered = materialize(entries.withColumn("q", (F.col("shared") - need + 1).cast("int")), "ordered")
-    ranked = ordered.select("set", "n", "shared", F.posexplode(F.slice("e", F.lit(1), F.col("q"))).alias("i", "e"))
-    ranked = ranked.select("set", "n", (F.col("shared") - F.col("i")).alias("room"), "e.*")
+    ranked = ordered.select("set", "n", "weight", "shared", F.posexplode(F.slice("e", F.lit(1), F.col("q"))).alias("i", "e"))
+    ranked = ranked.select("set", "n", "weight", (F.col("shared") - F.col("i")).alias("room"), "e.*")
     limit = boundary(ranked)
-    lists = ranked.filter(F.col("n") >= F.lit(limit * rule.num / rule.den) - 1).select(F.xxhash64("hash").alias("key"), "set", "n", "room")
+    lists = ranked.filter(F.col("n") >= F.lit(limit * rule.num / rule.den) - 1).select(F.xxhash64("hash").alias("key"), *MEMBER)
     if limit:
         few = ordered.filter(F.col("n") <= limit).withColumn("e", F.transform(F.slice("e", F.lit(1), F.col("q") + 1), lambda x: x["hash"]))
         subset = lambda x, y, k: F.struct(F.xxhash64(F.least(x, y), F.greatest(x, y)).alias("key"), (F.col("shared") - k + 1).alias("room"))
         pairs = F.flatten(F.transform("e", lambda x, i: F.transform(F.slice("e", i + 2, F.size("e")), lambda y, j: subset(x, y, i + 1 + j))))
-        lists = lists.unionByName(few.select(F.explode(pairs).alias("p"), "set", "n").select("p.key", "set", "n", "p.room"))
+        lists = lists.unionByName(few.select(F.explode(pairs).alias("p"), "set", "n", "weight").select("p.key", "set", "n", "p.room", "weight"))
     several = lists.groupBy("key").agg((F.min("set") != F.max("set")).alias("several")).filter("several").select("key")
     return materialize(lists.join(several, "key").distinct(), "lists")
 
@@ -300,36 +309,90 @@ def set_links(docs: DataFrame, sizes: DataFrame, rule: Rule) -> tuple[DataFrame,
     sets = materialize(whole_sets(sources.unionByName(nameless), rule), "sets")
     lists = candidate_lists(sets, rule)
 
-    centres = lists.groupBy("key").agg(F.min(F.struct("set", "n", "room")).alias("c"))
-    able = _possible(F.col("n"), F.col("c.n"), F.col("room"), F.col("c.room"), rule)
-    stars = lists.join(centres, "key").filter((F.col("set") != F.col("c.set")) & able)
-    stars = materialize(stars.select(F.col("c.set").alias("a"), F.col("set").alias("b")).distinct(), "pairs")
-    links = materialize(verified(stars, sets, rule), "links")
-    groups = materialize(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "groups")
-
-    label = F.coalesce("component", "set").alias("group")
-    named = lists.join(groups.withColumnRenamed("node", "set"), "set", "left").select("key", "set", "n", "room", label)
-    mixed = named.groupBy("key").agg((F.min("group") != F.max("group")).alias("mixed")).filter("mixed").select("key")
-    open_lists = materialize(named.join(mixed, "key"), "open")
-    left, right = (open_lists.select("key", F.col("set").alias(x), *(F.col(c).alias(c[0] + x) for c in ("n", "room", "group"))) for x in "ab")
-    rest = left.join(right, "key").filter((F.col("ga") != F.col("gb")) & (F.col("a") < F.col("b")) & _possible(*map(F.col, ("na", "nb", "ra", "rb")), rule))
-    rest = materialize(rest.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
-    links = materialize(links.unionByName(verified(rest, sets, rule)), "links")
-    return links, connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return stars(lists, sets, rule)
+
+
+def _centres(open_lists: DataFrame, many: int) -> DataFrame:
+    """(key, c): the next centres of every list, those of small components first."""
+    if many == 1:
+        return open_lists.groupBy("key").agg(F.max(F.struct("weight", "set", "n", "room", "group")).alias("c"))
+    inside = open_lists.groupBy("key", "group").agg(F.count("*").alias("inside"))
+    first = Window.partitionBy("key").orderBy("inside", F.desc("weight"), "set")
+    chosen = open_lists.join(inside, ["key", "group"]).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= many)
+    return chosen.select("key", F.struct("weight", "set", "n", "room", "group").alias("c"))
+
+
+def stars(lists: DataFrame, sets: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """Links that join all sets that belong together, and (node, component) of the linked sets."""
+    open_lists, many, links, met, groups = lists.withColumn("group", F.col("set")), 1, None, None, None
+    while True:
+        centres = _centres(open_lists, many)
+        if many > 1:  # used once more below, and few
+            centres = materialize(centres, "centres")
+        able = _possible(F.col("n"), F.col("c.n"), F.col("room"), F.col("c.room"), rule)
+        new = open_lists.join(centres, "key").filter((F.col("group") != F.col("c.group")) & able)
+        new = new.select(F.least("c.set", "set").alias("a"), F.greatest("c.set", "set").alias("b")).distinct()
+        new = materialize(new if met is None else new.join(met, ["a", "b"], "left_anti"), "pairs")
+        found = materialize(verified(new, sets, rule), "links")
+        links, met = (found, new) if met is None else (links.unionByName(found), met.unionByName(new))
+        groups = _relabelled(groups, found) if groups is None or not found.isEmpty() else groups
+
+        left = open_lists.drop("group").join(centres.select("key", F.col("c.set").alias("set")), ["key", "set"], "left_anti")
+        named = left.join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn("group", F.coalesce("component", "set")).drop("component")
+        mixed = named.groupBy("key").agg((F.min("group") != F.max("group")).alias("mixed")).filter("mixed").select("key")
+        open_lists = materialize(named.join(mixed, "key"), "open")
+        if open_lists.isEmpty():
+            return links, groups
+        many *= 4
+
+
+def _relabelled(groups: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(node, component) when the links ``found`` join what ``groups`` has so far; edges are pairs of components."""
+    edges = found.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if groups is None:
+        return materialize(connected_components(edges), "groups")
+    for end in ("u", "v"):
+        named = groups.select(F.col("node").alias(end), F.col("component").alias("label"))
+        edges = edges.join(named, end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+    joined = materialize(connected_components(edges), "joined")
+    old = groups.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    old = old.select("node", F.coalesce("to", "component").alias("component"))
+    return materialize(old.unionByName(joined.join(old.select("node"), "node", "left_anti").select("node", "component")), "groups")
+
+
+def _grouped(sizes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """``sizes`` with ``group``, the component of the set; null for texts without words."""
+    _, groups = set_links(docs, sizes, rule)
+    named = sizes.join(groups.withColumnRenamed("node", "set"), "set", "left")
+    return named.withColumn("group", F.when(F.col("n") > 0, F.coalesce("component", "set"))).drop("component")
 
 
 def join_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id of the component) of every row."""
-    sizes = materialize(text_sets(docs, rule), "sizes")
-    _, groups = set_links(docs, sizes, rule)
-    named = sizes.join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn("group", F.coalesce("component", "set"))
+    named = _grouped(materialize(text_sets(docs, rule), "sizes"), docs, rule)
     least = named.filter("n > 0").groupBy("group").agg(F.min("doc_id").alias("least"))
-    out = named.withColumn("group", F.when(F.col("n") > 0, F.col("group"))).join(least, "group", "left")
+    out = named.join(least, "group", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_representatives(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their component; texts without words stay."""
-    found = materialize(join_documents(docs, rule), "components")
-    dropped = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of ``docs`` for each component, the one with the smallest doc_id; texts without words all stay.
+
+    A row is known by its doc_id and its text: of rows that share a doc_id, those with other
+    texts are judged by their own components, and repeated ones count once.  A null doc_id
+    comes after all others.
+    """
+    mark = "_text_key"
+    while mark in docs.columns:
+        mark += "_"
+    rows = docs.withColumn(mark, F.xxhash64("text"))
+    named = _grouped(materialize(text_sets(rows, rule, mark), "sizes"), docs, rule).filter("n > 0")
+    named = materialize(named.select("doc_id", mark, "group"), "components")
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", mark)
+    first = named.groupBy("group").agg(F.min(place).alias("first"))
+    gone = named.join(first, "group").filter(~place.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_id"), F.col(mark).alias("_key")).distinct()
+    left = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (rows[mark] == gone["_key"]), "left_anti")
+    if not named.groupBy("doc_id", mark).count().filter("count > 1").isEmpty():
+        again = F.row_number().over(Window.partitionBy("doc_id", mark).orderBy(F.xxhash64(*docs.columns)))
+        left = left.withColumn(f"{mark}s", again).filter((F.col(f"{mark}s") == 1) | ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return left.select(*docs.columns)

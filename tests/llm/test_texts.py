@@ -183,3 +183,34 @@ def test_five_words_on_tiny_partitions(spark):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join_documents(df, rule).collect()}
     assert got == components(rows, rule.words, rule.num, rule.den)
 
+
+
+def test_many_near_copies_need_few_comparisons(spark, monkeypatch):
+    """One text in 2,000 versions: as brute force has it, and with far fewer comparisons than pairs."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(2000):
+        x = list(base)
+        for _ in range(rng.randrange(5)):
+            x[rng.randrange(len(x))] = f"z{rng.randrange(40)}"
+        rows.append((i, " ".join(x)))
+    compared = []
+    plain = jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda pairs, sets, rule: (compared.append(pairs.count()), plain(pairs, sets, rule))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join_documents(df, RULE).collect()}
+    assert got == components(rows, 3, 80, 100)
+    assert sum(compared) < 20 * len(rows)
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Repeated and null ids: a row goes only for its own text."""
+    a = " ".join(f"a{i}" for i in range(30))
+    b = " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a, "x"), (2, a + " more", "x"), (2, b, "y"), (None, b + " more", "z"), (None, "alone with nobody at all", "z"), (3, None, "x"), (3, " ", "x"), (3, " ", "x"), (1, a, "x"), (4, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _text_key string")
+    kept = jaccard_join.keep_representatives(df, RULE)
+    assert kept.columns == df.columns
+    want = [(1, a, "x"), (2, b, "y"), (None, "alone with nobody at all", "z"), (3, None, "x"), (3, " ", "x"), (3, " ", "x"), (4, None, "x")]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
