@@ -1,7 +1,11 @@
 """Dedup, joins, scans, pseudonyms and language ID on small and odd tables."""
 
+import math
 import random
 import re
+import string
+import time
+from collections import Counter
 
 import pytest
 
@@ -214,3 +218,55 @@ def test_one_row_of_each_component_stays(spark):
     assert kept.columns == df.columns
     want = [(1, a, "x"), (2, b, "y"), (None, "alone with nobody at all", "z"), (3, None, "x"), (3, " ", "x"), (3, " ", "x"), (4, None, "x")]
     assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+
+
+def plain_entropy_spans(text):
+    """All spans: the base ones and candidates whose densest window is dense enough, each window counted afresh."""
+    base = plain_spans(text)
+    out = list(base)
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        c = m.group()
+        if not (re.search("[0-9]", c) and re.search("[A-Za-z]", c)) or any(a <= m.start() and b >= m.end() for a, _, _, b in base):
+            continue
+        words = re.fullmatch(r"([A-Za-z]+[/_-])+[A-Za-z]*\d{0,4}", c)
+        if words or re.fullmatch(r"[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}", c) or re.fullmatch(r"\d{4}-\d{2}-\d{2}([T_-][0-9-]*)?", c) or "abcdefghijkl" in c.lower():
+            continue
+        least = 2.9 if re.fullmatch("[0-9a-fA-F]+", c) else 3.4 if re.fullmatch("[A-Z0-9]+", c) else 3.6
+        windows = (Counter(c[i : i + 20]) for i in range(len(c) - 19))
+        if max(-sum(n / 20 * math.log2(n / 20) for n in w.values()) for w in windows) >= least:
+            out.append((m.start(), len(secret_scan.BASE), "entropy", m.end()))
+    return sorted(out)
+
+
+def test_all_spans_against_fresh_counts(spark):
+    rng = random.Random(11)
+    alphabets = [string.ascii_letters + string.digits, "0123456789abcdef", "ABC123", "ab1", string.ascii_letters + string.digits + "+/_=-", "a-b/c_1"]
+    texts = list(SECRETS)
+    for _ in range(150):
+        parts = ["".join(rng.choice(a) for _ in range(rng.randrange(1, 70))) for a in rng.choices(alphabets, k=6)]
+        parts += [rng.choice(SECRETS), "token=" + parts[0], "é字"]
+        rng.shuffle(parts)
+        texts.append(rng.choice([" ", "", ", "]).join(parts))
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = 0
+    for i, t in enumerate(texts):
+        want = plain_entropy_spans(t)
+        found += sum(s[2] == "entropy" for s in want)
+        assert got[i] == ",".join(f"{k}:{a}:{b}" for a, _, k, b in want), t
+    assert found > 50
+
+
+def test_secrets_in_a_megabyte(spark):
+    """Work grows with the text: a megabyte of tokens, of one token, of assignments, of words joined by marks, of prose."""
+    rng = random.Random(1)
+    letters = string.ascii_letters + string.digits
+    tokens = " ".join("".join(rng.choices(letters, k=30)) for _ in range(33_000))
+    texts = [tokens, "".join(rng.choices(letters, k=10**6)), " ".join(f"token={i:012d}" for i in range(50_000)), "a-" * 500_000 + "1", "word " * 200_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(len(texts), "doc_id")
+    begin = time.monotonic()
+    got = {r["doc_id"]: r["spans"].split(",") for r in secret_scan.scan_documents(df).collect()}
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact_secrets(df).collect()}
+    assert time.monotonic() - begin < 90
+    assert got[0] == [f"{k}:{a}:{b}" for a, _, k, b in plain_entropy_spans(tokens)] and len(got[0]) > 30_000
+    assert got[1] == ["entropy:0:1000000"] and clean[1] == "[SECRET:entropy]" and got[3] == [""] and got[4] == [""] and clean[4] == texts[4]
+    assert len(got[2]) >= 50_000 and set(clean[2].split(" ")) == {"[SECRET:assign]"}
