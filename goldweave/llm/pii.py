@@ -3,16 +3,25 @@
 One pattern finds candidates of all kinds; a candidate counts only if it is valid
 (check digits, ranges, calendar).  The digits of a valid number go through a keyed
 Feistel network over numbers of the same length and keep their separators; check digits
-are set anew; dates move within the calendar.  The network is a permutation, so equal
-values get equal pseudonyms in every document and different values different ones.
-Addresses of mail get keyed names.
-
-Defined results: null text stays null with no finds; repeated rows get equal results;
-an empty table gives an empty result; extra columns are kept.
+are set anew; dates move within the calendar and keep the order and padding in which they
+are written; the letters and digits of a mail address go through a network over strings
+of the same length and keep their punctuation, behind the reserved name ``example``.
+Each network is a permutation, so equal values get equal pseudonyms in every document
+and different values of a kind different ones.  Whoever knows the key can invert them.
+
+Every repeat in the pattern is bounded, so a text of any length takes time in proportion
+and no more than a bounded depth of the pattern engine's stack.  Of mail addresses whose
+name is longer than 64 characters the last 64 count, as no longer name is valid.
+
+Defined results: null text stays null with no finds; very long texts are read whole;
+repeated rows get equal results; an empty table gives an empty result; extra columns are
+kept, and finds are in ``pii`` or, where that is taken, ``pii_``, and so on.
 """
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,16 +30,19 @@ ROUNDS = 8
 WALK = 64
 KINDS = ("email", "iban", "ip", "ssn", "card", "date", "phone")
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}",
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,126}[A-Za-z]{2,63}",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
     "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "card": r"[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}",
-    "date": r"(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./](?:[0-9]{2})[./](?:19|20)[0-9]{2}",
+    "date": r"(?:19|20)[0-9]{2}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}[./][0-9]{1,2}[./](?:19|20)[0-9]{2}",
     "phone": r"\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,4}){2,5}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}",
 }
 EDGE_BEFORE, EDGE_AFTER = r"(?<![A-Za-z0-9_+@])(?<![0-9][.,-])", r"(?![A-Za-z0-9_@])(?![.,-][0-9])"
-ANY = EDGE_BEFORE + "(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in KINDS) + ")" + EDGE_AFTER
+#: A date may also stand before the time of a timestamp.
+BEFORE_TIME = r"(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?=T[0-9]{2}:?[0-9]{2})"
+ANY = EDGE_BEFORE + "(?:(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in KINDS) + ")" + EDGE_AFTER + f"|{BEFORE_TIME})"
+ALPHABET = string.ascii_lowercase + string.digits
 #: Days in a block of dates; the first block starts on DATE_ORIGIN.
 DATE_SIDE = 270
 DATE_ORIGIN = "1900-01-01"
@@ -78,15 +90,36 @@ def permute_digits(number: Column, key: str, kind: str) -> Column:
     return F.when(n == 0, number).otherwise(_bind(feistel(a, b, ten(u), ten(v), key, kind, n), out))
 
 
-def refill(shape: Column, number: Column) -> Column:
-    """``shape`` with its digits replaced in order by those of ``number``."""
+def permute_letters(text: Column, key: str, kind: str, tweak: Column) -> Column:
+    """A string over ALPHABET, of 256 characters at most, to another of the same length."""
+    u = F.floor(F.char_length(text) / 2).cast("int")
+    start = F.struct(F.substring(text, F.lit(1), u).alias("a"), F.substring(text, u + 1, F.char_length(text)).alias("b"))
+
+    def shifted(half: Column, other: Column, i: Column) -> Column:
+        seed = lambda block: F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), tweak, i.cast("string"), F.lit(block), other), 512)
+        amount = lambda stream, j: F.conv(F.substring(stream, j * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        place = lambda c: F.call_function("locate", c, F.lit(ALPHABET)) - 1
+        moved = lambda c, j, stream: F.substring(F.lit(ALPHABET), (place(c) + amount(stream, j)) % len(ALPHABET) + 1, F.lit(1))
+        chars = F.filter(F.split(half, ""), lambda c: c != "")
+        return _bind(F.concat(seed("0"), seed("1")), lambda stream: F.array_join(F.transform(chars, lambda c, j: moved(c, j, stream)), ""))
+
+    def step(acc: Column, i: Column) -> Column:
+        even = i % 2 == 0
+        a = F.when(even, shifted(acc["a"], acc["b"], i)).otherwise(acc["a"])
+        return F.struct(a.alias("a"), F.when(even, acc["b"]).otherwise(shifted(acc["b"], acc["a"], i)).alias("b"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda acc: F.concat(acc["a"], acc["b"]))
+
+
+def refill(shape: Column, filler: Column, what: str = "[0-9]") -> Column:
+    """``shape`` with its characters of the class ``what`` replaced in order by those of ``filler``."""
     start = F.struct(F.lit("").alias("s"), F.lit(1).alias("i"))
 
     def step(acc: Column, c: Column) -> Column:
-        digit = c.rlike("^[0-9]$")
+        free = c.rlike(f"^{what}$")
         return F.struct(
-            F.concat(acc["s"], F.when(digit, F.substring(number, acc["i"], F.lit(1))).otherwise(c)).alias("s"),
-            F.when(digit, acc["i"] + 1).otherwise(acc["i"]).alias("i"),
+            F.concat(acc["s"], F.when(free, F.substring(filler, acc["i"], F.lit(1))).otherwise(c)).alias("s"),
+            F.when(free, acc["i"] + 1).otherwise(acc["i"]).alias("i"),
         )
 
     return F.aggregate(F.split(shape, ""), start, step, lambda acc: acc["s"])
@@ -118,10 +151,17 @@ def _octets(text: Column) -> Column:
 
 
 def _date_parts(text: Column) -> Column:
-    """The date of a match in any written order, or null."""
-    iso = text.rlike("^[0-9]{4}-")
-    stated = F.when(iso, text).otherwise(F.concat_ws("-", F.substring(text, 7, 4), F.substring(text, 4, 2), F.substring(text, 1, 2)))
-    return F.try_to_timestamp(stated, F.lit("yyyy-MM-dd")).cast("date")
+    """struct(day, order) of a match, read as year first, else day first, else month first; ``day`` is null if none fits."""
+
+    def read(p: Column) -> Column:
+        two = lambda i: F.lpad(F.get(p, i), 2, "0")
+        at = lambda y, m, d: F.try_to_timestamp(F.concat_ws("-", F.get(p, F.lit(y)), two(F.lit(m)), two(F.lit(d))), F.lit("yyyy-MM-dd")).cast("date")
+        orders = {"ymd": at(0, 1, 2), "dmy": at(2, 1, 0), "mdy": at(2, 0, 1)}
+        found = lambda k: F.struct(orders[k].alias("day"), F.lit(k).alias("order"))
+        later = F.when(orders["dmy"].isNotNull(), found("dmy")).otherwise(found("mdy"))
+        return F.when(F.char_length(F.get(p, F.lit(0))) == 4, found("ymd")).otherwise(later)
+
+    return _bind(F.split(text, "[./-]"), read)
 
 
 def _iban_body(text: Column) -> Column:
@@ -139,7 +179,7 @@ def kind_of(text: Column) -> Column:
         "ip": F.forall(_octets(text), lambda o: o <= 255),
         "ssn": ~text.rlike("^(000|666|9)") & ~text.rlike("-00-") & ~text.rlike("-0000$"),
         "card": F.char_length(d).between(13, 19) & (luhn_sum(d) % 10 == 0),
-        "date": _date_parts(text).isNotNull(),
+        "date": _date_parts(text)["day"].isNotNull(),
         "phone": F.char_length(d).between(8, 15),
     }
     out = F.lit(None).cast("string")
@@ -156,10 +196,19 @@ def _walk(value: Column, move, fits) -> Column:
 
 
 def _email(text: Column, key: str) -> Column:
-    at = F.lower(text)
-    name = F.sha2(F.concat(F.lit(f"{key}|email|"), at), 256)
-    host = F.sha2(F.concat(F.lit(f"{key}|host|"), F.substring_index(at, "@", -1)), 256)
-    return F.concat(F.lit("user-"), F.substring(name, 1, 12), F.lit("@host-"), F.substring(host, 1, 8), F.lit(".example"))
+    """Name and host are permuted, each in its own length; the top domain stays, below ``example``."""
+    inside = f"[{ALPHABET}]"
+    letters = lambda t: F.regexp_replace(t, f"[^{ALPHABET}]", "")
+
+    def make(at: Column) -> Column:
+        name, host = F.substring_index(at, "@", 1), F.substring_index(at, "@", -1)
+        top = F.substring_index(host, ".", -1)
+        body = F.substring(host, F.lit(1), F.char_length(host) - F.char_length(top) - 1)
+        moved_name = refill(name, permute_letters(letters(name), key, "mail name", host), inside)
+        moved_body = refill(body, permute_letters(letters(body), key, "mail host", top), inside)
+        return F.concat(moved_name, F.lit("@"), moved_body, F.lit("."), top, F.lit(".example"))
+
+    return _bind(F.lower(text), make)
 
 
 def _card(text: Column, key: str) -> Column:
@@ -189,20 +238,35 @@ def _ssn(text: Column, key: str) -> Column:
 
 
 def _date(text: Column, key: str) -> Column:
-    """Another day of the same block of 270 x 270 days, written in the same order."""
+    """Another day of the same block of 270 x 270 days, written in the same order and padding.
+
+    A date that only reads month first stays one: the network is walked until the day is
+    above 12.
+    """
     origin = F.lit(DATE_ORIGIN).cast("date")
 
-    def make(day: Column) -> Column:
+    def move(day: Column) -> Column:
         block = F.floor(day / DATE_SIDE**2)
         inner = (day - block * DATE_SIDE**2).cast("long")
         side = F.lit(DATE_SIDE).cast("long")
         moved = feistel(F.floor(inner / DATE_SIDE).cast("long"), inner % DATE_SIDE, side, side, key, "date", block)
-        return _bind(moved, lambda p: F.date_add(origin, (block * DATE_SIDE**2 + p["a"] * DATE_SIDE + p["b"]).cast("int")))
+        return _bind(moved, lambda p: (block * DATE_SIDE**2 + p["a"] * DATE_SIDE + p["b"]).cast("int"))
 
-    moved = _bind(F.datediff(_date_parts(text), origin), make)
-    iso = F.date_format(moved, "yyyyMMdd")
-    dmy = F.date_format(moved, "ddMMyyyy")
-    return refill(text, F.when(text.rlike("^[0-9]{4}-"), iso).otherwise(dmy))
+    def write(found: Column) -> Column:
+        fits = lambda day: (found["order"] != "mdy") | (F.dayofmonth(F.date_add(origin, day)) > 12)
+        day = F.date_add(origin, _walk(F.datediff(found["day"], origin), move, fits))
+        padded = ~text.rlike("(^|[./-])[0-9]([./-]|$)")
+        part = lambda p, f: F.when(padded, F.lpad(f(p).cast("string"), 2, "0")).otherwise(f(p).cast("string"))
+
+        def order(d: Column) -> Column:
+            parts = {"y": F.year(d).cast("string"), "m": part(d, F.month), "d": part(d, F.dayofmonth)}
+            mark = F.regexp_extract_all(text, F.lit("[./-]"), F.lit(0))
+            put = lambda k: F.concat(parts[k[0]], F.get(mark, F.lit(0)), parts[k[1]], F.get(mark, F.lit(1)), parts[k[2]])
+            return F.when(found["order"] == "ymd", put("ymd")).when(found["order"] == "dmy", put("dmy")).otherwise(put("mdy"))
+
+        return _bind(day, order)
+
+    return _bind(_date_parts(text), write)
 
 
 def _phone(text: Column, key: str) -> Column:
@@ -242,11 +306,16 @@ def pseudonym(text: Column, kind: Column, key: str) -> Column:
     return out
 
 
-def pseudonymize(docs: DataFrame, key: str = "goldweave") -> DataFrame:
-    """``docs`` with pseudonyms in ``text`` and the array ``pii`` of struct(kind, value, pseudonym)."""
+def pseudonymize(docs: DataFrame, key: str, finds: str = "pii") -> DataFrame:
+    """``docs`` with pseudonyms in ``text`` and the array ``finds`` of struct(kind, value, pseudonym).
+
+    ``key`` is a secret of the caller: keep it out of the code.
+    """
     mark = "_pii"
     while any(c.startswith(mark) for c in docs.columns):
         mark += "_"
+    while finds in docs.columns:
+        finds += "_"
     hits, gaps = f"{mark}_hits", f"{mark}_gaps"
     text = F.col("text")
     any_hit = text.rlike(ANY)
@@ -258,12 +327,12 @@ def pseudonymize(docs: DataFrame, key: str = "goldweave") -> DataFrame:
     named = F.transform(judged, lambda h: F.struct(h["kind"].alias("kind"), h["value"].alias("value"), pseudonym(h["value"], h["kind"], key).alias("pseudonym")))
     found = found.withColumn(hits, named)
     put = F.zip_with(gaps, F.transform(hits, lambda h: h["pseudonym"]), lambda g, h: F.concat(g, F.coalesce(h, F.lit(""))))
-    out = found.withColumns({"text": F.when(any_hit, F.array_join(put, "")).otherwise(text), "pii": F.filter(hits, lambda h: h["kind"].isNotNull())})
+    out = found.withColumns({"text": F.when(any_hit, F.array_join(put, "")).otherwise(text), finds: F.filter(hits, lambda h: h["kind"].isNotNull())})
     return out.drop(hits, gaps)
 
 
-def pseudonymize_documents(docs: DataFrame, key: str = "goldweave") -> DataFrame:
-    """doc_id, n_pii, kinds (sorted, comma-joined), text, changed of every row."""
+def pseudonymize_documents(docs: DataFrame, key: str) -> DataFrame:
+    """doc_id, n_pii, kinds (sorted, comma-joined), text of every row."""
     out = pseudonymize(docs.select("doc_id", "text"), key)
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("pii", lambda p: p["kind"]))), ",")
     return out.select("doc_id", F.size("pii").cast("long").alias("n_pii"), kinds.alias("kinds"), "text")

@@ -38,7 +38,8 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from goldweave.llm.pii import pseudonymize_documents
 
-    return pseudonymize_documents(table(spark, sf_dir, "documents"))
+    key = spark.conf.get("spark.goldweave.pii.key", "a key for test data only")
+    return pseudonymize_documents(table(spark, sf_dir, "documents"), key)
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:

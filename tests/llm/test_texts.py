@@ -1,5 +1,7 @@
 """Dedup, joins, scans, pseudonyms and language ID on small and odd tables."""
 
+import datetime
+import hashlib
 import math
 import random
 import re
@@ -119,13 +121,16 @@ PRIVATE = [
 ]
 
 
+KEY = "a key"
+
+
 def luhn(number):
     return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, reversed(number)))) % 10 == 0
 
 
 def test_pseudonyms(spark, odd, empty):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PRIVATE)], "doc_id long, text string")
-    for r in pii.pseudonymize(docs).collect():
+    for r in pii.pseudonymize(docs, KEY).collect():
         text, kind = PRIVATE[r["doc_id"]]
         assert ",".join(p["kind"] for p in r["pii"]) == kind, text
         if not kind:
@@ -136,9 +141,9 @@ def test_pseudonyms(spark, odd, empty):
             assert re.sub(r"\d", "9", r["pii"][0]["value"]) == re.sub(r"\d", "9", r["pii"][0]["pseudonym"])
         if kind == "card":
             assert luhn(re.sub(r"\D", "", r["pii"][0]["pseudonym"]))
-    again = pii.pseudonymize(pii.pseudonymize(docs).select("doc_id", "text"))
+    again = pii.pseudonymize(pii.pseudonymize(docs, KEY).select("doc_id", "text"), KEY)
     assert [",".join(p["kind"] for p in r["pii"]) for r in again.orderBy("doc_id").collect()] == [k for _, k in PRIVATE]
-    assert pii.pseudonymize_documents(odd).count() == odd.count() and pii.pseudonymize_documents(empty).count() == 0
+    assert pii.pseudonymize_documents(odd, KEY).count() == odd.count() and pii.pseudonymize_documents(empty, KEY).count() == 0
 
 
 def test_the_network_is_a_permutation(spark):
@@ -270,3 +275,173 @@ def test_secrets_in_a_megabyte(spark):
     assert got[0] == [f"{k}:{a}:{b}" for a, _, k, b in plain_entropy_spans(tokens)] and len(got[0]) > 30_000
     assert got[1] == ["entropy:0:1000000"] and clean[1] == "[SECRET:entropy]" and got[3] == [""] and got[4] == [""] and clean[4] == texts[4]
     assert len(got[2]) >= 50_000 and set(clean[2].split(" ")) == {"[SECRET:assign]"}
+
+
+def plain_network(halves, sizes, kind, tweak):
+    """The number network, one value at a time."""
+    halves = list(halves)
+    for i in range(pii.ROUNDS):
+        mixed = hashlib.sha256(f"{KEY}|{kind}|{tweak}|{i}|{halves[1 - i % 2]}".encode()).hexdigest()
+        halves[i % 2] = (halves[i % 2] + int(mixed[:15], 16) % sizes[i % 2]) % sizes[i % 2]
+    return halves
+
+
+def plain_digits(number, kind):
+    u, v = len(number) // 2, len(number) - len(number) // 2
+    a, b = plain_network((int(number[:u] or 0), int(number[u:])), (10**u, 10**v), kind, len(number))
+    return (str(a).zfill(u) if u else "") + str(b).zfill(v)
+
+
+def plain_letters(text, kind, tweak):
+    halves = [text[: len(text) // 2], text[len(text) // 2 :]]
+    for i in range(pii.ROUNDS):
+        stream = b"".join(hashlib.sha512(f"{KEY}|{kind}|{tweak}|{i}|{block}|{halves[1 - i % 2]}".encode()).digest() for block in "01")
+        halves[i % 2] = "".join(pii.ALPHABET[(pii.ALPHABET.index(c) + s) % 36] for c, s in zip(halves[i % 2], stream))
+    return "".join(halves)
+
+
+def refilled(shape, letters, what=r"[0-9]"):
+    letters = iter(letters)
+    return re.sub(what, lambda m: next(letters), shape)
+
+
+def plain_date(text):
+    """struct(day, order, padded) of a written date, or None."""
+    p = re.split("[./-]", text)
+    padded = min(map(len, p)) > 1
+    for order in ["ymd"] if len(p[0]) == 4 else ["dmy", "mdy"]:
+        try:
+            return datetime.date(*(int(p[order.index(k)]) for k in "ymd")), order, padded
+        except ValueError:
+            continue
+    return None
+
+
+def plain_pseudonym(text, kind):
+    digits = re.sub(r"\D", "", text)
+    if kind == "email":
+        name, host = text.lower().split("@")
+        body, top = host.rsplit(".", 1)
+        what = "[a-z0-9]"
+        move = lambda t, k, w: refilled(t, plain_letters("".join(re.findall(what, t)), k, w), what)
+        return f"{move(name, 'mail name', host)}@{move(body, 'mail host', top)}.{top}.example"
+    if kind == "card":
+        body = digits[0] + plain_digits(digits[1:-1], "card")
+        return refilled(text, body + next(c for c in "0123456789" if luhn(body + c)))
+    if kind == "ssn":
+        while True:
+            digits = plain_digits(digits, "ssn")
+            if not (digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000"):
+                return refilled(text, digits)
+    if kind == "ip":
+        o = [int(x) for x in text.split(".")]
+        a, b = plain_network((o[0] * 256 + o[1], o[2] * 256 + o[3]), (65536, 65536), "ip", 32)
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if kind == "phone":
+        head = re.match(r"\+[0-9]{1,3}(?=[ .(-])|", text).group()
+        rest = text[len(head) :]
+        return head + refilled(rest, plain_digits(re.sub(r"\D", "", rest), "phone"))
+    if kind == "iban":
+        body = text.replace(" ", "")
+        inner = refilled(body[4:], plain_digits(re.sub(r"\D", "", body[4:]), "iban"))
+        letters = body[:2] + str(98 - int("".join(str(int(c, 36)) for c in inner + body[:2] + "00")) % 97).zfill(2) + inner
+        return refilled(text, letters, "[A-Z0-9]")
+    day, order, padded = plain_date(text)
+    origin = datetime.date(1900, 1, 1)
+    while True:
+        at = (day - origin).days
+        block, inner = divmod(at, pii.DATE_SIDE**2)
+        a, b = plain_network(divmod(inner, pii.DATE_SIDE), (pii.DATE_SIDE, pii.DATE_SIDE), "date", block)
+        day = origin + datetime.timedelta(block * pii.DATE_SIDE**2 + a * pii.DATE_SIDE + b)
+        if order != "mdy" or day.day > 12:
+            break
+    parts = {"y": str(day.year), "m": str(day.month).zfill(2 if padded else 1), "d": str(day.day).zfill(2 if padded else 1)}
+    marks = re.findall("[./-]", text)
+    return parts[order[0]] + marks[0] + parts[order[1]] + marks[1] + parts[order[2]]
+
+
+def valid(text, kind):
+    """Whether ``text`` is a value of its kind, by the kind's own rule."""
+    digits = re.sub(r"\D", "", text)
+    if kind == "email":
+        name, host = text.split("@")
+        return len(name) < 65 and all(re.fullmatch("[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?", x) for x in host.split(".")) and host[-1].isalpha()
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    if kind == "ssn":
+        return not (digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000")
+    if kind == "ip":
+        return all(int(x) < 256 for x in text.split("."))
+    if kind == "iban":
+        body = text.replace(" ", "")
+        return 15 <= len(body) <= 34 and int("".join(str(int(c, 36)) for c in body[4:] + body[:4])) % 97 == 1
+    return plain_date(text) is not None if kind == "date" else 8 <= len(digits) <= 15
+
+
+def plain_finds(text):
+    """(kind, value, start) of valid values, by the published patterns one at a time."""
+    out = []
+    for m in re.finditer(pii.ANY, text):
+        kind = next((k for k in pii.KINDS if re.fullmatch(pii.PATTERNS[k], m.group()) and valid(m.group(), k)), None)
+        if kind:
+            out.append((kind, m.group(), m.start()))
+    return out
+
+
+def private_value(rng, kind):
+    d = lambda n: "".join(rng.choices(string.digits, k=n))
+    if kind == "card":
+        body = rng.choice("3456") + d(14)
+        body += next(c for c in "0123456789" if luhn(body + c))
+        return rng.choice(["", " ", "-"]).join([body[:4], body[4:8], body[8:12], body[12:]])
+    if kind == "iban":
+        inner = "WEST" + d(14)
+        return "GB" + str(98 - int("".join(str(int(c, 36)) for c in inner + "GB00")) % 97).zfill(2) + inner
+    return {
+        "email": f"{rng.choice('abZ')}{d(2)}.{rng.choice('xyz')}-q+{d(1)}@{rng.choice(['mail', 'a-b', 'x1.y2'])}.{rng.choice(['com', 'Org', 'co'])}",
+        "ip": ".".join(str(rng.randrange(300)) for _ in range(4)),
+        "ssn": f"{d(3)}-{d(2)}-{d(4)}",
+        "date": rng.choice([f"19{d(2)}-0{d(1)}-1{d(1)}", f"{rng.randrange(1, 32)}/{rng.randrange(1, 14)}/20{d(2)}", f"{rng.randrange(1, 14)}.{rng.randrange(1, 32)}.19{d(2)}", f"20{d(2)}-11-2{d(1)}T10:20"]),
+        "phone": rng.choice([f"+{d(2)} {d(3)} {d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"+1{d(10)}"]),
+    }[kind]
+
+
+def test_pseudonyms_against_a_plain_network(spark):
+    rng = random.Random(21)
+    texts = [" , ".join(private_value(rng, k) for k in rng.choices(pii.KINDS, k=8)) + rng.choice(["", ".", " x@y", " 12/25/1990"]) for _ in range(250)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = Counter()
+    for r in pii.pseudonymize(df, KEY).collect():
+        t, want, at = texts[r["doc_id"]], "", 0
+        finds = plain_finds(t)
+        assert [(p["kind"], p["value"]) for p in r["pii"]] == [f[:2] for f in finds], t
+        for p, (kind, value, start) in zip(r["pii"], finds):
+            assert p["pseudonym"] == plain_pseudonym(value, kind) and valid(p["pseudonym"], kind), (kind, value, p["pseudonym"])
+            want += t[at:start] + p["pseudonym"]
+            at = start + len(value)
+            seen[kind] += 1
+        assert r["text"] == want + t[at:]
+    assert set(seen) == set(pii.KINDS) and min(seen.values()) > 40
+    again = df.withColumn("pii", df["doc_id"])
+    assert pii.pseudonymize(again, KEY).columns == ["doc_id", "text", "pii", "pii_"]
+
+
+def test_different_values_have_different_pseudonyms(spark):
+    mails = [f"{a}{b}@{c}.{t}" for a in "ab1" for b in ("", ".x", "-y2") for c in ("m", "ab", "a-b", "a.b") for t in ("com", "org")]
+    start = datetime.date(1990, 1, 1)
+    days = [start + datetime.timedelta(i) for i in range(400)]
+    dates = [f"{d.day:02}/{d.month:02}/{d.year}" for d in days] + [f"{d.month:02}/{d.day:02}/{d.year}" for d in days if d.day > 12]
+    df = spark.createDataFrame([(x,) for x in [*mails, *dates]], "text string")
+    found = [r["text"] for r in pii.pseudonymize(df, KEY).collect()]
+    assert len(set(found)) == len(mails) + len(dates)
+
+
+def test_pseudonyms_in_a_megabyte(spark):
+    """Dotted names, digits, dashes, at signs and prose, a megabyte each."""
+    texts = ["a@" + "b." * 500_000 + "1", "a." * 500_000 + "a@b.com", "1" * 10**6, "-" * 10**6, "1-" * 500_000, "a@b." * 250_000, "+1 " * 330_000, "A1 " * 330_000, "word " * 200_000, "12.12." * 170_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(len(texts), "doc_id")
+    begin = time.monotonic()
+    got = {r["doc_id"]: r for r in pii.pseudonymize(df, KEY).collect()}
+    assert time.monotonic() - begin < 90
+    assert all(got[i]["text"] == texts[i] and not got[i]["pii"] for i in (2, 3, 4, 7, 8))
+    assert [p["value"] for p in got[1]["pii"]] == ["a." * 31 + "a@b.com"]
