@@ -10,6 +10,7 @@ import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from goldweave.llm import exact_dedup, jaccard_join, language_id, pii, secret_scan
 
@@ -445,3 +446,41 @@ def test_pseudonyms_in_a_megabyte(spark):
     assert time.monotonic() - begin < 90
     assert all(got[i]["text"] == texts[i] and not got[i]["pii"] for i in (2, 3, 4, 7, 8))
     assert [p["value"] for p in got[1]["pii"]] == ["a." * 31 + "a@b.com"]
+
+
+def test_bytes_decide_where_hashes_collide(spark, monkeypatch):
+    """Three hashes for all texts, in two overfull buckets or one: chains of many links, and the same result."""
+    rng = random.Random(8)
+    texts = [None, "", *("".join(rng.choice("aAbBéÉ") for _ in range(rng.randrange(5))) for _ in range(3000))]
+    df = spark.createDataFrame([(i, t, "b") for i, t in enumerate(texts)], "doc_id long, text string, bucket string")
+    groups = {}
+    for i, t in enumerate(texts):
+        groups.setdefault((t or "").translate(LOWER), []).append(i)
+    want = {i: (max(g), len(g), i == max(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g}
+    for weak in (None, lambda: F.pmod(F.char_length(F.coalesce("text", F.lit(""))), F.lit(3)).cast("long") * 2**61, lambda: F.lit(7).cast("long")):
+        if weak:
+            monkeypatch.setattr(exact_dedup, "hash_key", weak)
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in exact_dedup.decide_copies(df).collect()}
+        assert got == want
+        assert sorted(map(tuple, exact_dedup.keep_one_copy(df).collect())) == sorted((max(g), texts[max(g)], "b") for g in groups.values())
+
+
+def test_directory_doubles_only_where_a_bucket_needs_it():
+    rng = random.Random(2)
+    for _ in range(20):
+        histogram = {rng.randrange(64): rng.randrange(30) for _ in range(rng.randrange(60))}
+        buckets = exact_dedup.grow_directory(histogram, capacity=20, bits=6)
+        assert [b[0] for b in buckets] == [0, *(b[1] for b in buckets[:-1])] and buckets[-1][1] == 64
+        for low, high, depth in buckets:
+            assert high - low == 1 << (6 - depth) and low % (high - low) == 0
+            assert sum(histogram.get(i, 0) for i in range(low, high)) <= 20 or depth == 6
+            parent = low - low % (2 * (high - low))
+            assert depth == 0 or sum(histogram.get(i, 0) for i in range(parent, parent + 2 * (high - low))) > 20
+
+
+def test_of_repeated_rows_one_stays(spark):
+    rows = [(1, "a", "x"), (1, "a", "y"), (1, "A", "z"), (1, "b", "x"), (None, "c", "x"), (None, "c", "x"), (0, "a", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _copy_key string")
+    first = sorted(map(tuple, exact_dedup.keep_one_copy(df).collect()), key=str)
+    assert len(first) == 3 and {(d, t.lower()) for d, t, _ in first} == {(1, "a"), (1, "b"), (None, "c")}
+    assert first == sorted(map(tuple, exact_dedup.keep_one_copy(df.repartition(5)).collect()), key=str)
