@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from goldweave.functions.text import has_any_phrase
+from goldweave.operators.sequence import number_groups
 
 # Default strength of an evidence class (3 strong, 2 medium, 1 weak).
 CLASS_STRENGTH = {
@@ -28,7 +29,9 @@ CUES = {
         "moved to", "switched to", "runs on", "in production", "our stack", "dependency",
     ),
 }
+# Phrases that try to steer a classifier.
 INJECTION = ("ignore previous", "ignore all", "ignore the above", "disregard", "system prompt", "mark as", "mark acme", "classify", "as customer")
+# Families of queries, in order; grades, from low to high; elements without text.
 FAMILIES = ("vendor_customer", "job_posting", "code", "own_site", "third_party", "linkedin_public")
 GRADES = ("unverified", "negative", "likely", "verified")
 SKIPPED_ELEMENTS = ("script", "style", "noscript", "template")
@@ -200,9 +203,8 @@ def best_product(grades: DataFrame) -> DataFrame:
 
 
 def within_budget(rows: DataFrame, group: list[str], order: list[str], limit: int) -> DataFrame:
-    """``rows`` with granted: the first ``limit`` of each group."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("granted", F.sum(F.lit(1)).over(w) <= limit)
+    """``rows`` with granted: the first ``limit`` of each group, numbered in two levels."""
+    return number_groups(rows, group, *order).withColumn("granted", F.col("place") <= limit).drop("place")
 
 
 def walk_until(rows: DataFrame, group: str, order: str, done: Column) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: What tells one contribution to a cluster from another.
+CONTRIBUTION = ("source", "raw_path", "fetched_at")
 #: Names of the order's components, in order; the last decides nothing but ties.
 RULES = ("preferred", "trust", "origin", "confidence", "recency", "source", "value_hash")
 
@@ -44,6 +46,23 @@ def winners(candidates: DataFrame) -> DataFrame:
     return rows.groupBy("cluster", "path").agg(F.min_by(F.struct("source", "value"), key).alias("w")).select("cluster", "path", "w.*")
 
 
+def paired_status(candidates: DataFrame, path: str, status_path: str) -> DataFrame:
+    """(cluster, value, status): the winning value of ``path`` and the status that came with it.
+
+    Of the contributions that hold the winning value, the best one that also states a
+    status gives it; a status from elsewhere never counts. Without one it is unknown.
+    """
+    seen = observed_first(candidates)
+    rows = seen.filter(F.col("path") == path)
+    won = winners(rows).select("cluster", "value")
+    stated = seen.filter(F.col("path") == status_path).select("cluster", *CONTRIBUTION, F.col("value").alias("status"))
+    keyed = rows if "preferred" in rows.columns else rows.withColumn("preferred", F.lit(0))
+    key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order_columns())])
+    held = keyed.select("cluster", "value", *CONTRIBUTION, key.alias("key")).join(won, ["cluster", "value"]).join(stated, ["cluster", *CONTRIBUTION])
+    best = held.groupBy("cluster").agg(F.min_by("status", F.struct("key", "status")).alias("status"))
+    return won.join(best, "cluster", "left").select("cluster", "value", F.coalesce("status", F.lit("unknown")).alias("status"))
+
+
 def decided_by(ranked: DataFrame) -> DataFrame:
     """(cluster, path, decided_by): the first component on which the winner beats the best other value."""
     parts = [c.alias(f"o{i}") for i, c in enumerate(order_columns())]
@@ -108,9 +127,18 @@ def assign_leads(clusters: DataFrame, prior: DataFrame) -> tuple[DataFrame, Data
 
 
 def changed_clusters(before: DataFrame, after: DataFrame, key: str = "key", cluster: str = "cluster") -> DataFrame:
-    """(cluster) of ``after`` whose exact member set is no cluster of ``before``."""
-    sets = [d.groupBy(cluster).agg(F.array_sort(F.collect_set(key)).alias("members")) for d in (before, after)]
-    return sets[1].join(sets[0].select("members"), "members", "left_anti").select(cluster)
+    """(cluster) of ``after`` whose exact member set is no cluster of ``before``.
+
+    Sets are never held together: clusters whose count and two sums of member hashes agree
+    are compared member by member through a join.
+    """
+    rows = [d.select(F.col(cluster).alias("c"), F.col(key).alias("k")).distinct() for d in (before, after)]
+    digest = (F.count("*").alias("n"), F.sum(F.xxhash64("k").cast("decimal(20,0)")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "k")).alias("x"))
+    old, new = (d.groupBy("c").agg(*digest) for d in rows)
+    alike = new.join(old.groupBy("n", "h", "x").agg(F.min("c").alias("was")), ["n", "h", "x"]).select("c", "was", "n")
+    members = rows[1].join(alike, "c").join(rows[0].select(F.col("c").alias("was"), "k"), ["was", "k"])
+    same = members.groupBy("c", "n").agg(F.count("*").alias("common")).filter("common = n")
+    return new.select("c").join(same, "c", "left_anti").withColumnRenamed("c", cluster)
 
 
 def version_stamp(now: DataFrame, prior: DataFrame, key: str) -> DataFrame:

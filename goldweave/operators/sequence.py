@@ -99,15 +99,24 @@ def finish_runs(runs: DataFrame, ended: DataFrame) -> DataFrame:
 
 
 def number_all(rows: DataFrame, *order: Column | str) -> DataFrame:
-    """``rows`` with ``place``: 1 for the first under a total order, without a gap.
+    """``rows`` with ``place``: 1 for the first under a total order, without a gap."""
+    return number_groups(rows, [], *order)
 
-    Numbered in two levels: rows are dealt by ranges of the order, numbered within their
-    range, and ranges start behind the rows before them. One row a range is all that meets in a task.
+
+def number_groups(rows: DataFrame, groups: list[str], *order: Column | str) -> DataFrame:
+    """``rows`` with ``place``: 1 for the first of its group under a total order, without a gap.
+
+    Numbered in two levels: rows are dealt by ranges of group and order, numbered within
+    their range, and ranges start behind the rows of their group before them. A group that
+    holds most rows is spread over many tasks; one row a range and group is all that meets.
     """
-    dealt = materialize(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
-    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inner = F.row_number().over(Window.partitionBy("part").orderBy(*order))
-    ranked = dealt.withColumn("inner", inner).join(F.broadcast(starts), "part")
-    return ranked.withColumn("place", F.col("before") + F.col("inner")).drop("part", "inner", "before")
+    dealt = materialize(rows.repartitionByRange(*groups, *order).withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(*groups, "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*groups).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*(F.col(g).alias(f"_{g}") for g in groups), F.col("part").alias("_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inner = F.row_number().over(Window.partitionBy("part", *groups).orderBy(*order))
+    same = F.col("part") == F.col("_part")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    ranked = dealt.withColumn("inner", inner).join(starts, same)
+    return ranked.withColumn("place", F.col("before") + F.col("inner")).select(*rows.columns, "place")

@@ -135,12 +135,11 @@ TALK_SQL = "CASE doc_id % 6 WHEN 0 THEN ' We use Astra in production.' WHEN 1 TH
 
 
 @query("k6_classify", rf"""
-WITH d AS (SELECT doc_id, substr(text, 1, 400) || {TALK_SQL} AS t FROM documents), s AS (SELECT doc_id, unnest(regexp_extract_all(t, '[^.!?\n]+[.!?]?')) AS s, generate_subscripts(regexp_extract_all(t, '[^.!?\n]+[.!?]?'), 1) AS i FROM d WHERE {' AND '.join(f"NOT contains(lower(t), '{m}')" for m in V.INJECTION)}),
+WITH d AS (SELECT doc_id, text || {TALK_SQL} AS t FROM documents), s AS (SELECT doc_id, unnest(regexp_extract_all(t, '[^.!?\n]+[.!?]?')) AS s, generate_subscripts(regexp_extract_all(t, '[^.!?\n]+[.!?]?'), 1) AS i FROM d WHERE {' AND '.join(f"NOT contains(lower(t), '{m}')" for m in V.INJECTION)}),
 n AS (SELECT doc_id, i, trim(s) AS s FROM s WHERE regexp_matches(lower(s), '(^|[^a-z0-9_])astra($|[^a-z0-9_])')), k AS (SELECT doc_id, i, s, CASE {CUE_SQL} ELSE 'mentions_only' END AS r FROM (SELECT *, ' ' || lower(s) || ' ' AS p FROM n)),
 o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE r WHEN 'vendor_or_partner' THEN 0 WHEN 'used_past' THEN 1 WHEN 'evaluating' THEN 2 WHEN 'uses_now' THEN 3 ELSE 4 END, i) AS rn FROM k) SELECT doc_id, r AS relationship, s AS quote FROM o WHERE rn = 1""", whole=True)
 def k6(t: Tables) -> DataFrame:
-    text = F.col("text") if t.whole else F.substring("text", 1, 400)
-    said = t.documents.select("doc_id", F.concat(text, F.expr(TALK_SQL)).alias("t"))
+    said = t.documents.select("doc_id", F.concat("text", F.expr(TALK_SQL)).alias("t"))
     return V.classify(said, "doc_id", "t", "astra")
 
 

@@ -10,16 +10,15 @@ from goldweave.operators import graph as G
 from goldweave.operators import identity as I
 from goldweave.plans.registry import Tables, query
 
-# Contributions made of orders: profiles, addresses of one or several people, names at domains.
-ALL_SQL = """SELECT o_orderkey AS id,
+# Contributions made of orders: profiles, addresses of one or several people (some people have two), names at domains (some change).
+CONTRIBUTION_SQL = """SELECT o_orderkey AS id,
   CASE WHEN o_orderkey % 3 = 0 THEN 'linkedin.com/in/p' || CAST(o_custkey AS {s}) END AS linkedin,
-  CASE WHEN o_orderkey % 4 <> 3 THEN CASE WHEN o_custkey % 10 = 0 THEN 'q' || CAST(o_custkey % 50 AS {s}) WHEN o_custkey % 31 = 0 THEN 'info' ELSE 'p' || CAST(o_custkey AS {s}) END || '@d' || CAST(o_custkey % 40 AS {s}) || '.example' END AS email,
+  CASE WHEN o_orderkey % 4 <> 3 THEN CASE WHEN o_orderkey % 23 = 0 THEN 'alt' || CAST(o_custkey AS {s}) WHEN o_custkey % 10 = 0 THEN 'q' || CAST(o_custkey % 50 AS {s}) WHEN o_custkey % 31 = 0 THEN 'info' ELSE 'p' || CAST(o_custkey AS {s}) END || '@d' || CAST(o_custkey % 40 AS {s}) || '.example' END AS email,
   o_orderkey % 4 <> 2 AS verified,
-  CASE WHEN o_orderkey % 7 <> 0 THEN 'name ' || CAST(o_custkey % 700 AS {s}) END AS name,
+  CASE WHEN o_orderkey % 29 = 0 THEN 'maiden ' || CAST(o_custkey % 700 AS {s}) WHEN o_orderkey % 7 <> 0 THEN 'name ' || CAST(o_custkey % 700 AS {s}) END AS name,
   CASE WHEN o_orderkey % 5 <> 4 THEN 'd' || CAST(o_custkey % 40 AS {s}) || '.example' END AS domain,
   o_orderpriority AS title, CASE WHEN o_orderkey % 6 = 1 THEN 'emp' || CAST(o_custkey % 40 AS {s}) END AS employer,
   o_orderdate AS fetched_at, o_custkey AS person FROM orders"""
-CONTRIBUTION_SQL = f"{ALL_SQL} WHERE o_orderkey % 8 IN (0, 1, 2, 3)"  # the twins' part of the orders
 
 C_SQL = f"c AS ({CONTRIBUTION_SQL.format(s='VARCHAR')})"
 KEYS_SQL = f"""{C_SQL},
@@ -50,7 +49,7 @@ alle AS (SELECT u, v FROM l1 UNION SELECT u, v FROM l2 UNION SELECT u, v FROM ok
 
 def contributions(t: Tables) -> DataFrame:
     t.orders.createOrReplaceTempView("orders")
-    return t.spark.sql((ALL_SQL if t.whole else CONTRIBUTION_SQL).format(s="STRING"))
+    return t.spark.sql(CONTRIBUTION_SQL.format(s="STRING"))
 
 
 @query("e1_match_keys", f"WITH {KEYS_SQL} SELECT id, kind, value, barred FROM keys", whole=True)
@@ -76,12 +75,12 @@ def e3(t: Tables) -> DataFrame:
 
 
 @query("e4_connected_components", """
-WITH RECURSIVE c AS (SELECT DISTINCT o_custkey AS id, o_orderdate AS d, o_orderpriority AS p FROM orders WHERE o_orderkey % 5 = 0),
+WITH RECURSIVE c AS (SELECT DISTINCT o_custkey AS id, o_orderdate AS d, o_orderpriority AS p FROM orders),
 e AS (SELECT DISTINCT a.id AS u, b.id AS v FROM c a JOIN c b USING (d, p) WHERE a.id <> b.id),
 r(node, label) AS (SELECT DISTINCT id, id FROM c UNION SELECT e.v, r.label FROM r JOIN e ON e.u = r.node WHERE r.label < e.v)
 SELECT node AS o_custkey, min(label) AS component FROM r GROUP BY 1""", whole=True)
 def e4(t: Tables) -> DataFrame:
-    rows = t.orders if t.whole else t.orders.filter("o_orderkey % 5 = 0")
+    rows = t.orders
     edges = G.star_edges(rows, "o_custkey", "o_orderdate", "o_orderpriority")
     return G.label_all(rows.select("o_custkey").distinct(), "o_custkey", edges)
 
@@ -96,10 +95,12 @@ def e7(t: Tables) -> DataFrame:
     return I.clusters(contributions(t))
 
 
-@query("e8_cannot_link", f"WITH RECURSIVE {CLUSTER_SQL} SELECT cluster, count(DISTINCT linkedin) AS profiles FROM g JOIN c USING (id) GROUP BY 1 HAVING count(DISTINCT linkedin) > 1", whole=True)
+@query("e8_cannot_link", f"WITH RECURSIVE {CLUSTER_SQL} SELECT cluster, count(DISTINCT linkedin) AS profiles, count(DISTINCT name) AS names FROM g JOIN c USING (id) GROUP BY 1 HAVING count(linkedin) > 0", whole=True)
 def e8(t: Tables) -> DataFrame:
+    """Clusters that hold a profile, and how many: never more than one, however many names and addresses would join them."""
     c = contributions(t)
-    return c.join(I.clusters(c), "id").groupBy("cluster").agg(F.count_distinct("linkedin").alias("profiles")).filter("profiles > 1")
+    sums = c.join(I.clusters(c), "id").groupBy("cluster").agg(F.count_distinct("linkedin").alias("profiles"), F.count_distinct("name").alias("names"))
+    return sums.filter("profiles > 0")
 
 
 @query("e9_cluster_ids", f"""WITH RECURSIVE {CLUSTER_SQL}
@@ -110,15 +111,14 @@ def e9(t: Tables) -> DataFrame:
 
 
 @query("e10_join_keyless", f"""WITH RECURSIVE {CLUSTER_SQL},
-h AS (SELECT person % 97 AS record, min(cluster) AS owner, count(DISTINCT cluster) AS owners FROM c JOIN g USING (id) WHERE id IN (SELECT id FROM keys) AND person % 300 < 97 GROUP BY 1),
-loose AS (SELECT id, person % 97 AS record FROM c WHERE id NOT IN (SELECT id FROM keys) AND person % 300 < 97), least AS (SELECT record, min(id) AS least FROM loose GROUP BY 1)
+h AS (SELECT person AS record, min(cluster) AS owner, count(DISTINCT cluster) AS owners FROM c JOIN g USING (id) WHERE id IN (SELECT id FROM keys) GROUP BY 1),
+loose AS (SELECT id, person AS record FROM c WHERE id NOT IN (SELECT id FROM keys)), least AS (SELECT record, min(id) AS least FROM loose GROUP BY 1)
 SELECT g.id, coalesce(CASE WHEN loose.id IS NULL THEN NULL WHEN owners IS NULL THEN least WHEN owners = 1 THEN owner ELSE loose.id END, g.cluster) AS cluster
 FROM g LEFT JOIN loose USING (id) LEFT JOIN h USING (record) LEFT JOIN least USING (record)""", whole=True)
 def e10(t: Tables) -> DataFrame:
     c = contributions(t)
     keys = I.match_keys(c)
-    record = F.when(F.col("person") % 300 < 97, F.col("person") % 97)
-    return I.join_keyless(c, I.clusters(c), keys, record)
+    return I.join_keyless(c, I.clusters(c), keys, F.col("person"))
 
 
 @query("e11_company_clusters", """

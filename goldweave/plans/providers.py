@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from goldweave.functions.urls import dedupe_key
 from goldweave.operators import enrich as E
+from goldweave.operators.sequence import number_all
 from goldweave.plans.registry import Tables, query
 from goldweave.sources import catalog as K
 from goldweave.sources import fixtures as X
@@ -14,8 +15,8 @@ from goldweave.sources import fixtures as X
 
 @query("a2_source_order", "SELECT s_suppkey, row_number() OVER (ORDER BY s_nationkey DESC, s_name)::INTEGER AS place FROM supplier")
 def a2(t: Tables) -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("s_nationkey")).alias("r"), "s_name", "s_suppkey")))  # a catalogue of sources: one small row each
-    return t.supplier.agg(rows.alias("s")).select(F.posexplode("s").alias("p", "s")).select("s.s_suppkey", (F.col("p") + 1).alias("place"))
+    rows = t.supplier.select("s_suppkey", "s_name", "s_nationkey")
+    return number_all(rows, F.desc("s_nationkey"), "s_name").select("s_suppkey", "place")
 
 
 @query("a3_people_search", "SELECT user_id, min(event_id) AS event_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS terms FROM events WHERE event_type IN ('click', 'signup', 'view') GROUP BY 1")
@@ -124,10 +125,10 @@ def k20(t: Tables) -> DataFrame:
     return K.catalog_table(t.spark, K.parse_catalog(CATALOG)).filter("vendor = 'acme'").select("key")
 
 
-@query("k22_effective_vocabulary", "SELECT p_brand AS term, s_suppkey AS source, min(p_type) AS first FROM part JOIN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 5) ON p_partkey % 7 = s_suppkey GROUP BY 1, 2")
+@query("k22_effective_vocabulary", "SELECT p_brand AS term, s_suppkey AS source, min(p_type) AS first FROM part JOIN supplier ON p_partkey % 107 = s_suppkey GROUP BY 1, 2")
 def k22(t: Tables) -> DataFrame:
-    profile = t.part.groupBy(F.col("p_brand").alias("term"), (F.col("p_partkey") % 7).alias("source")).agg(F.array_sort(F.collect_set("p_type")).alias("vocabulary"))
-    sources = t.supplier.filter("s_suppkey < 5").select(F.col("s_suppkey").alias("source"))
+    profile = t.part.groupBy(F.col("p_brand").alias("term"), (F.col("p_partkey") % 107).alias("source")).agg(F.array_sort(F.collect_set("p_type")).alias("vocabulary"))
+    sources = t.supplier.select(F.col("s_suppkey").alias("source"))
     return K.effective_vocabulary(profile, sources).select("term", "source", F.element_at("vocabulary", 1).alias("first"))
 
 

@@ -12,9 +12,7 @@ ORACLES: dict[str, str] = {}
 
 
 class Tables:
-    """The tables of one directory, read when named. ``whole``: without the bounds that keep an SQL twin fast."""
-
-    whole = False
+    """The tables of one directory, read when named."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -23,17 +21,13 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
-class WholeTables(Tables):
-    whole = True
-
-
 def query(name: str, sql: str | None = None, whole: bool = False) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
     def register(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
-        if whole:  # where the twin holds for a part of the rows: the same query over all of them
-            QUERIES[f"{name}_whole"] = lambda spark, sf_dir: build(WholeTables(spark, sf_dir))
+        if whole:  # an older name of the same query
+            QUERIES[f"{name}_whole"] = QUERIES[name]
         if sql:
             ORACLES[name] = sql
         return build

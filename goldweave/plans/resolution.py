@@ -65,13 +65,14 @@ def e14(t: Tables) -> DataFrame:
     return R.rank_candidates(R.observed_first(candidates(t))).filter("rank = 1").select("cluster", "path", "raw_path", "value")
 
 
-@query("g6_paired_status", f"""WITH {RANKED_SQL} SELECT a.cluster, a.value AS returnflag, b.value AS linestatus FROM (SELECT * FROM ranked WHERE rank = 1 AND path = 'returnflag') a
-JOIN ranked b ON a.cluster = b.cluster AND a.raw_path = b.raw_path AND b.path = 'linestatus'""")
+@query("g6_paired_status", f"""WITH {CAND_DUCK}, m AS MATERIALIZED (SELECT * FROM cand WHERE NOT (path = 'linestatus' AND cluster % 3 = 0 AND tier = 2)),
+o AS MATERIALIZED (SELECT * FROM (SELECT *, bool_or(NOT echo) OVER (PARTITION BY cluster, path) AS seen FROM m) WHERE NOT seen OR NOT echo),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY {ORDER_SQL}) AS rank FROM o WHERE path = 'returnflag'), w AS (SELECT cluster, value FROM r WHERE rank = 1),
+p AS (SELECT r.cluster, arg_min(s.value, (r.rank, s.value)) AS status FROM r JOIN w USING (cluster, value) JOIN (SELECT cluster, source, raw_path, fetched_at, value FROM o WHERE path = 'linestatus') s USING (cluster, source, raw_path, fetched_at) GROUP BY 1)
+SELECT w.cluster, w.value AS returnflag, coalesce(p.status, 'unknown') AS linestatus FROM w LEFT JOIN p USING (cluster)""")
 def g6(t: Tables) -> DataFrame:
-    ranked = R.rank_candidates(candidates(t))
-    top = ranked.filter("rank = 1 and path = 'returnflag'").select("cluster", "raw_path", F.col("value").alias("returnflag"))
-    status = ranked.filter("path = 'linestatus'").select("cluster", "raw_path", F.col("value").alias("linestatus"))
-    return top.join(status, ["cluster", "raw_path"]).select("cluster", "returnflag", "linestatus")
+    silent = (F.col("path") == "linestatus") & (F.col("cluster") % 3 == 0) & (F.col("tier") == 2)  # contributions without a status
+    return R.paired_status(candidates(t).filter(~silent), "returnflag", "linestatus").select("cluster", F.col("value").alias("returnflag"), F.col("status").alias("linestatus"))
 
 
 @query("f6_agreeing_sources", f"WITH {RANKED_SQL} SELECT cluster, path, count(DISTINCT CASE WHEN role <> 'superseded' THEN source END) AS agreeing_sources FROM roles GROUP BY 1, 2")
@@ -153,16 +154,16 @@ def j8(t: Tables) -> DataFrame:
     return R.version_stamp(prints(t.orders), prior, "o_custkey")
 
 
-SNAP_SQL = """p AS (SELECT DISTINCT l_orderkey AS key, l_suppkey % 50 AS lead FROM lineitem WHERE l_shipdate < TIMESTAMP '1999-01-01' AND l_linenumber = 1),
-c AS (SELECT DISTINCT l_orderkey AS key, l_suppkey % 50 + CASE WHEN l_suppkey % 50 < 25 AND l_orderkey % 11 = 0 THEN 100 WHEN l_suppkey % 50 IN (30, 31) THEN 0 ELSE 0 END - CASE WHEN l_suppkey % 50 = 31 THEN 1 ELSE 0 END AS cluster FROM lineitem WHERE l_linenumber = 1)"""
+SNAP_SQL = """p AS (SELECT DISTINCT l_orderkey * 8 + l_linenumber AS key, l_suppkey % 50 AS lead FROM lineitem WHERE l_shipdate < TIMESTAMP '1999-01-01'),
+c AS (SELECT DISTINCT l_orderkey * 8 + l_linenumber AS key, l_suppkey % 50 + CASE WHEN l_suppkey % 50 < 25 AND l_orderkey % 11 = 0 THEN 100 WHEN l_suppkey % 50 IN (30, 31) THEN 0 ELSE 0 END - CASE WHEN l_suppkey % 50 = 31 THEN 1 ELSE 0 END AS cluster FROM lineitem)"""
 
 
 def snapshots(t: Tables) -> tuple[DataFrame, DataFrame]:
-    one = t.lineitem.filter("l_linenumber = 1")
+    key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     lead = F.col("l_suppkey") % 50
-    prior = one.filter("l_shipdate < timestamp_ntz '1999-01-01'").select(F.col("l_orderkey").alias("key"), lead.alias("lead"), lead.alias("seniority")).distinct()
+    prior = t.lineitem.filter("l_shipdate < timestamp_ntz '1999-01-01'").select(key.alias("key"), lead.alias("lead"), lead.alias("seniority")).distinct()
     split = F.when((lead < 25) & (F.col("l_orderkey") % 11 == 0), 100).otherwise(0) - F.when(lead == 31, 1).otherwise(0)
-    return one.select(F.col("l_orderkey").alias("key"), (lead + split).alias("cluster")).distinct(), prior
+    return t.lineitem.select(key.alias("key"), (lead + split).alias("cluster")).distinct(), prior
 
 
 @query("e23_assign_leads", f"""WITH {SNAP_SQL}, h AS (SELECT lead, count(DISTINCT cluster) AS n, min(cluster) AS cluster FROM p JOIN c USING (key) GROUP BY 1), k AS (SELECT cluster, min(lead) AS lead FROM h WHERE n = 1 GROUP BY 1)

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from goldweave.operators import sequence as S
 from goldweave.plans.registry import Tables, query
 
-LOG_SQL = "CASE event_type WHEN 'signup' THEN 'invite' WHEN 'click' THEN 'accepted' WHEN 'purchase' THEN 'email' WHEN 'error' THEN 'halted' END"
-FIRST_SQL = f"""f AS (SELECT user_id AS key, {', '.join(f"min(CASE WHEN k = '{k}' THEN ts END) AS {k}" for k in S.KINDS)} FROM (SELECT *, {LOG_SQL} AS k FROM events WHERE ts < TIMESTAMP '2024-01-03') GROUP BY 1)"""
+# A log made of events: large values are steps of a sequence, so that every branch stays alive over the whole table.
+LOG_SQL = "CASE WHEN event_type = 'signup' AND value > 100 THEN 'invite' WHEN event_type = 'click' AND value > 150 THEN 'accepted' WHEN event_type = 'purchase' AND value > 180 THEN 'email' WHEN event_type = 'error' AND value > 180 THEN 'halted' END"
+
+
+def first_sql(now: str | None = None) -> str:
+    """First times of all events, or of those up to ``now``."""
+    seen = f" WHERE ts <= TIMESTAMP '{now}'" if now else ""
+    return f"""f AS (SELECT user_id AS key, {', '.join(f"min(CASE WHEN k = '{k}' THEN ts END) AS {k}" for k in S.KINDS)} FROM (SELECT *, {LOG_SQL} AS k FROM events{seen}) GROUP BY 1)"""
 
 
 def due_sql(now: str) -> str:
@@ -17,49 +23,57 @@ def due_sql(now: str) -> str:
  WHEN accepted IS NOT NULL THEN CASE WHEN {now} >= accepted + INTERVAL 2 DAY THEN 'email' END WHEN {now} >= invite + INTERVAL 5 DAY THEN CASE WHEN key % 2 = 0 THEN 'fallback_email' ELSE 'stalled' END END"""
 
 
-def log(t: Tables) -> DataFrame:
-    early = t.events.filter("ts < timestamp_ntz '2024-01-03'")
-    return early.select(F.col("user_id").alias("key"), F.expr(LOG_SQL).alias("kind"), F.col("ts").alias("at"))
+def log(t: Tables, now: str | None = None) -> DataFrame:
+    seen = t.events.filter(f"ts <= timestamp_ntz '{now}'") if now else t.events
+    return seen.select(F.col("user_id").alias("key"), F.expr(LOG_SQL).alias("kind"), F.col("ts").alias("at"))
 
 
 def due_at(t: Tables, now: str) -> DataFrame:
-    first = S.first_per_kind(log(t), "key", "kind", "at")
+    first = S.first_per_kind(log(t, now), "key", "kind", "at")
     at = F.expr(f"timestamp_ntz '{now}'")
     return first.select("key", S.due_action(at, F.col("key") % 17 == 0, F.col("key") % 2 == 0).alias("action"))
 
 
-@query("g5_first_per_kind", f"WITH {FIRST_SQL} SELECT key, invite, accepted, email, halted FROM f")
+@query("g5_first_per_kind", f"WITH {first_sql()} SELECT key, invite, accepted, email, halted FROM f")
 def g5(t: Tables) -> DataFrame:
     return S.first_per_kind(log(t), "key", "kind", "at").select("key", "invite", "accepted", "email", "halted")
 
 
-@query("l1_due", f"WITH {FIRST_SQL} SELECT key, {due_sql(chr(84) + 'IMESTAMP ' + repr('2024-01-04 12:00:00'))} AS action FROM f")
+SOON, LATE = "2024-01-08 12:00:00", "2024-01-31 00:00:00"
+
+
+def due_query(now: str) -> str:
+    at = f"TIMESTAMP '{now}'"
+    return f"WITH {first_sql(now)} SELECT key, {due_sql(at)} AS action FROM f"
+
+
+@query("l1_due", due_query(SOON))
 def l1(t: Tables) -> DataFrame:
-    return due_at(t, "2024-01-04 12:00:00")
+    return due_at(t, SOON)
 
 
-@query("l1b_due_later", f"WITH {FIRST_SQL} SELECT key, {due_sql(chr(84) + 'IMESTAMP ' + repr('2024-01-09 00:00:00'))} AS action FROM f")
+@query("l1b_due_later", due_query(LATE))
 def l1b(t: Tables) -> DataFrame:
-    return due_at(t, "2024-01-09 00:00:00")
+    return due_at(t, LATE)
 
 
 UNIT_SQL = "(('0x' || substr(sha256('7:' || key || ':{p}'), 1, 16))::UBIGINT)::DOUBLE / 18446744073709551616.0::DOUBLE"
 ACCEPT_SQL = f"CASE WHEN {UNIT_SQL.format(p='accept')} < 0.6 THEN invite + to_days(least(floor({UNIT_SQL.format(p='delay')} * 4)::INTEGER, 3)) END"
 
 
-@query("l3_seeded_acceptance", f"WITH {FIRST_SQL} SELECT key, {ACCEPT_SQL} AS accepts_at FROM f")
+@query("l3_seeded_acceptance", f"WITH {first_sql()} SELECT key, {ACCEPT_SQL} AS accepts_at FROM f")
 def l3(t: Tables) -> DataFrame:
     first = S.first_per_kind(log(t), "key", "kind", "at")
     return first.select("key", S.seeded_acceptance(F.col("key"), F.col("invite"), 7, 0.6, 3).alias("accepts_at"))
 
 
-@query("l2_tick", f"""WITH {FIRST_SQL}, a AS (SELECT *, CASE WHEN accepted IS NULL AND invite IS NOT NULL AND halted IS NULL AND {ACCEPT_SQL} <= TIMESTAMP '2024-01-09' THEN {ACCEPT_SQL} END AS fresh FROM f),
-b AS (SELECT * REPLACE (coalesce(accepted, fresh) AS accepted) FROM a), c AS (SELECT *, {due_sql("TIMESTAMP '2024-01-09'")} AS act FROM b)
-SELECT key, 'accepted' AS kind, fresh AS at_ FROM c WHERE fresh IS NOT NULL UNION ALL SELECT key, act, TIMESTAMP '2024-01-09' FROM c WHERE act IS NOT NULL""")
+@query("l2_tick", f"""WITH {first_sql(SOON)}, a AS (SELECT *, CASE WHEN accepted IS NULL AND invite IS NOT NULL AND halted IS NULL AND {ACCEPT_SQL} <= TIMESTAMP '{SOON}' THEN {ACCEPT_SQL} END AS fresh FROM f),
+b AS (SELECT * REPLACE (coalesce(accepted, fresh) AS accepted) FROM a), c AS (SELECT *, {due_sql(f"TIMESTAMP '{SOON}'")} AS act FROM b)
+SELECT key, 'accepted' AS kind, fresh AS at_ FROM c WHERE fresh IS NOT NULL UNION ALL SELECT key, act, TIMESTAMP '{SOON}' FROM c WHERE act IS NOT NULL""")
 def l2(t: Tables) -> DataFrame:
-    rows = log(t)
+    rows = log(t, SOON)
     facts = rows.select("key").distinct().select("key", (F.col("key") % 17 == 0).alias("opted_out"), (F.col("key") % 2 == 0).alias("usable_email"))
-    return S.tick(rows, F.expr("timestamp_ntz '2024-01-09 00:00:00'"), facts, 7, 0.6, 3).withColumnRenamed("at", "at_")
+    return S.tick(rows, F.expr(f"timestamp_ntz '{SOON}'"), facts, 7, 0.6, 3).withColumnRenamed("at", "at_")
 
 
 @query("l4_token_bucket")
@@ -91,11 +105,10 @@ def g7(t: Tables) -> DataFrame:
     return t.orders.groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("anchor"))
 
 
-@query("g8_report_order", "SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey)::INTEGER AS place FROM orders WHERE o_custkey % 50 = 0", whole=True)
+@query("g8_report_order", "SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey)::INTEGER AS place FROM orders", whole=True)
 def g8(t: Tables) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2)
-    rows = t.orders if t.whole else t.orders.filter("o_custkey % 50 = 0")
-    ranked = S.number_all(rows.select("o_orderkey", "o_totalprice", status.alias("status")), "status", F.desc("o_totalprice"), "o_orderkey")
+    ranked = S.number_all(t.orders.select("o_orderkey", "o_totalprice", status.alias("status")), "status", F.desc("o_totalprice"), "o_orderkey")
     return ranked.select("o_orderkey", "place")
 
 
@@ -121,8 +134,10 @@ def h4(t: Tables) -> DataFrame:
 
 @query("h5_enrichment_tiers", "SELECT s_suppkey, dense_rank() OVER (ORDER BY s_acctbal > 0, s_nationkey % 3, s_suppkey % 2)::INTEGER AS tier FROM supplier")
 def h5(t: Tables) -> DataFrame:
-    order = Window.orderBy(F.col("s_acctbal") > 0, F.col("s_nationkey") % 3, F.col("s_suppkey") % 2)  # one row a source: a small catalogue
-    return t.supplier.select("s_suppkey", F.dense_rank().over(order).alias("tier"))
+    keys = t.supplier.select("s_suppkey", (F.col("s_acctbal") > 0).alias("paid"), (F.col("s_nationkey") % 3).alias("charge"), (F.col("s_suppkey") % 2).alias("place_"))
+    order = ("paid", "charge", "place_")
+    tiers = S.number_all(keys.select(*order).distinct(), *order).withColumnRenamed("place", "tier")
+    return keys.join(tiers, list(order)).select("s_suppkey", "tier")
 
 
 @query("i4_stable_distinct", "SELECT l_orderkey, string_agg(l_returnflag, ',' ORDER BY first, l_returnflag) AS flags FROM (SELECT l_orderkey, l_returnflag, min(l_linenumber) AS first FROM lineitem GROUP BY 1, 2) GROUP BY 1")

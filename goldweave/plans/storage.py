@@ -67,10 +67,10 @@ def b13(t: Tables) -> DataFrame:
     return both.groupBy("mode").agg(F.sum("k").alias("kept"), F.sum("g").alias("purged"))
 
 
-@query("b13b_detached", f"WITH {RAW_SQL} SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN until IS NULL OR until > TIMESTAMP '1998-01-01' OR u.o_orderkey IS NULL THEN l_orderkey END AS raw FROM lineitem LEFT JOIN u ON u.o_orderkey = l_orderkey WHERE l_linenumber = 1")
+@query("b13b_detached", f"WITH {RAW_SQL} SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN until IS NULL OR until > TIMESTAMP '1998-01-01' OR u.o_orderkey IS NULL THEN l_orderkey END AS raw FROM lineitem LEFT JOIN u ON u.o_orderkey = l_orderkey")
 def b13b(t: Tables) -> DataFrame:
     _, gone = S.purge(raw(t), "until", F.expr("timestamp_ntz '1998-01-01'"))
-    rows = t.lineitem.filter("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_orderkey").alias("raw"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_orderkey").alias("raw"))
     return S.detach(rows, gone.select(F.col("o_orderkey").alias("raw")), "raw").select("l_orderkey", "l_linenumber", "l_partkey", "raw")
 
 
