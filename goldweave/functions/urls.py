@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,11 +12,102 @@ WEBMAIL = (
     "aol.com", "fastmail.com", "gmail.com", "googlemail.com", "gmx.com", "gmx.de", "hotmail.com", "icloud.com", "live.com",
     "mail.com", "me.com", "msn.com", "outlook.com", "proton.me", "protonmail.com", "qq.com", "yahoo.com", "yandex.com",
 )
-#: Public suffixes of two labels; any other last label is a suffix of one.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "github.io", "blogspot.com")
+#: Rules of the public suffix list that stand for the rest where no list is given; any other last label is a suffix of one.
+SUFFIX_RULES = """
+ac.uk co.uk gov.uk ltd.uk me.uk net.uk nhs.uk org.uk plc.uk sch.uk com.au net.au org.au edu.au gov.au id.au asn.au
+ac.jp ad.jp co.jp go.jp ne.jp or.jp *.kawasaki.jp !city.kawasaki.jp com.br net.br org.br gov.br com.cn net.cn org.cn gov.cn edu.cn
+co.in net.in org.in gov.in ac.in co.nz net.nz org.nz govt.nz ac.nz co.za org.za web.za gov.za co.kr or.kr go.kr ac.kr com.mx org.mx gob.mx
+com.ar com.tr com.sg com.hk com.tw com.my com.pl com.ua co.il org.il co.id co.th *.ck !www.ck *.bd
+github.io gitlab.io blogspot.com herokuapp.com netlify.app vercel.app pages.dev web.app firebaseapp.com azurewebsites.net cloudfront.net
+*.compute.amazonaws.com s3.amazonaws.com
+"""
+#: Labels that a suffix has at most.
+SUFFIX_LABELS = 5
 STRENGTHS = (0.25, 0.5, 0.75, 1.0)
 
 
+@dataclass(frozen=True)
+class Suffixes:
+    """Rules of a public suffix list: plain ones, wildcards by their rest, exceptions."""
+
+    plain: tuple[str, ...]
+    wild: tuple[str, ...]
+    except_: tuple[str, ...]
+
+    @classmethod
+    def parse(cls, text: str) -> Suffixes:
+        """Of a list in the published format: a rule at the start of a line, // for comments; private rules count too."""
+        lines = (line.split("//")[0] for line in text.splitlines())
+        rules = [_unicode(w.lower()) for line in lines for w in line.split()]
+        return cls(
+            tuple(r for r in rules if r[0] not in "*!"), tuple(r[2:] for r in rules if r.startswith("*.")), tuple(r[1:] for r in rules if r[0] == "!")
+        )
+
+    @classmethod
+    def read(cls, path: str) -> Suffixes:
+        with open(path, encoding="utf-8") as f:
+            return cls.parse(f.read())
+
+
+def _unicode(rule: str) -> str:
+    return ".".join(x[4:].encode().decode("punycode") if x.startswith("xn--") else x for x in rule.split("."))
+
+
+SUFFIXES = Suffixes.parse(SUFFIX_RULES)
+
+
+def _character(code: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
+def decode_label(label: Column) -> Column:
+    """A label in punycode as Unicode; any other label, and a wrong one, as it is.
+
+    The decoder's state goes from letter to letter: where the next character goes, which
+    one it is, and how far the variable-length number has been read.
+    """
+    body = F.substring(label, F.lit(5), F.char_length(label))
+    plain = F.when(F.contains(body, F.lit("-")), F.regexp_extract(body, "^(.*)-", 1)).otherwise(F.lit(""))
+    letters = F.split(F.regexp_extract(body, "([^-]*)$", 1), "")
+    whole = lambda n: F.lit(n).cast("long")
+    start = F.struct(
+        F.filter(F.split(plain, ""), lambda c: c != "").alias("out"), whole(128).alias("n"), whole(0).alias("i"), whole(72).alias("bias"),
+        whole(0).alias("old"), whole(1).alias("w"), whole(36).alias("k"), F.lit(False).alias("bad"),
+    )
+    floor = lambda x: F.floor(x).cast("long")
+
+    def adapted(delta: Column, size: Column, first: Column) -> Column:
+        d = F.when(first, floor(delta / 700)).otherwise(floor(delta / 2))
+        d = d + floor(d / size)
+        k = whole(0)
+        for _ in range(4):  # a label of 63 letters needs no more
+            far = d > 455
+            d, k = F.when(far, floor(d / 35)).otherwise(d), F.when(far, k + 36).otherwise(k)
+        return k + floor(d * 36 / (d + 38))
+
+    def step(acc: Column, c: Column) -> Column:
+        digit = F.when(c.rlike("^[a-z]$"), F.ascii(c) - 97).when(c.rlike("^[0-9]$"), F.ascii(c) - 22).cast("long")
+        i = acc["i"] + digit * acc["w"]
+        least = F.least(F.greatest(acc["k"] - acc["bias"], whole(1)), whole(26))
+        size = F.size(acc["out"]) + 1
+        n = acc["n"] + floor(i / size)
+        at = (i % size).cast("int")
+        put = F.concat(F.slice(acc["out"], F.lit(1), at), F.array(_character(F.when(n.between(128, 0xD7FF) | n.between(0xE000, 0x10FFFF), n).otherwise(63))), F.slice(acc["out"], at + 1, size))
+        done = F.struct(
+            put.alias("out"), n.alias("n"), (at + 1).cast("long").alias("i"), adapted(i - acc["old"], size, acc["old"] == 0).alias("bias"), (at + 1).cast("long").alias("old"),
+            whole(1).alias("w"), whole(36).alias("k"), (~(n.between(128, 0xD7FF) | n.between(0xE000, 0x10FFFF))).alias("bad"),
+        )
+        more = F.struct(
+            acc["out"].alias("out"), acc["n"].alias("n"), i.alias("i"), acc["bias"].alias("bias"), acc["old"].alias("old"),
+            (acc["w"] * (36 - least)).alias("w"), (acc["k"] + 36).alias("k"), (i > 10**9).alias("bad"),
+        )
+        wrong = F.struct(*(F.lit(True).alias("bad") if name == "bad" else acc[name].alias(name) for name in ("out", "n", "i", "bias", "old", "w", "k", "bad")))
+        return F.when(acc["bad"] | digit.isNull(), wrong).when(digit < least, done).otherwise(more)
+
+    read = F.aggregate(F.filter(letters, lambda c: c != ""), start, step, lambda acc: F.when(~acc["bad"] & (acc["k"] == 36), F.array_join(acc["out"], "")))
+    return F.when(label.startswith("xn--"), F.coalesce(read, label)).otherwise(label)
+
+
 def host(url: Column) -> Column:
     """The lower-case host without user, port and trailing dots."""
     rest = F.regexp_replace(url, r"^([A-Za-z][A-Za-z0-9+.-]*:)?//", "")
@@ -46,24 +139,31 @@ def linkedin_url(url: Column) -> Column:
     return F.when((h != "") & (p != ""), F.concat(h, p))
 
 
-def registrable_domain(name: Column) -> Column:
-    """The label before the public suffix, with it; null for addresses and bare suffixes."""
-    labels = F.split(F.lower(name), r"\.")
-    n = F.size(labels)
-    last2 = F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), F.lit(2)), ".")
-    last3 = F.array_join(F.slice(labels, F.greatest(n - 2, F.lit(1)), F.lit(3)), ".")
-    two = last2.isin(*TWO_LABEL_SUFFIXES)
-    found = F.when(two & (n >= 3), last3).when(~two & (n >= 2), last2)
-    return F.when(~name.rlike(r"^[0-9.]+$") & ~name.rlike(r"\.\."), found)
+def registrable_domain(name: Column, suffixes: Suffixes = SUFFIXES) -> Column:
+    """The label before the longest public suffix, with it, in Unicode; null for addresses and bare suffixes."""
+
+    def cut(labels: Column) -> Column:
+        n = F.size(labels)
+        last = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), F.lit(k)), ".")
+        length = F.lit(1)
+        for k in range(2, SUFFIX_LABELS + 1):
+            listed = last(k).isin(*suffixes.plain) | last(k - 1).isin(*suffixes.wild)
+            length = F.when((n >= k) & listed, k).otherwise(length)
+        for k in range(2, SUFFIX_LABELS + 1):
+            length = F.when((n >= k) & last(k).isin(*suffixes.except_), k - 1).otherwise(length)
+        return F.when(n > length, F.array_join(F.slice(labels, n - length, length + 1), "."))
+
+    labels = F.transform(F.split(F.lower(name), r"\."), decode_label)
+    return F.when(~name.rlike(r"^[0-9.]+$") & ~name.rlike(r"\.\."), F.element_at(F.transform(F.array(labels), cut), 1))
 
 
-def url_host(url: Column) -> Column:
-    return registrable_domain(host(url))
+def url_host(url: Column, suffixes: Suffixes = SUFFIXES) -> Column:
+    return registrable_domain(host(url), suffixes)
 
 
 def company_domains(domains: Column) -> Column:
     """Sorted distinct registrable domains of an array of names, free mail left out."""
-    found = F.filter(F.transform(domains, registrable_domain), lambda d: d.isNotNull())
+    found = F.filter(F.transform(domains, lambda d: registrable_domain(d)), lambda d: d.isNotNull())
     return F.array_sort(F.array_except(F.array_distinct(found), F.array(*map(F.lit, WEBMAIL))))
 
 

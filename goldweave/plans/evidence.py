@@ -287,6 +287,23 @@ def d8(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", D.retells(claim, F.col("text")).alias("grounded"))
 
 
+# Messages made of customers: the claim, its fact, its words, its polarity or its names go wrong in turn.
+DRAFT_SQL = "CASE c_custkey % 7 WHEN 5 THEN 'Saw that you do not run Astra in 2024.' WHEN 6 THEN 'Hi. Our Zebra works with Astra.' ELSE 'Saw that you run Astra in 2024.' END"
+
+
+@query("d8b_message_grounding", """SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'no claim ties the message to the lead' WHEN 2 THEN 'claim names no fact: f9' WHEN 3 THEN 'claim text is not in the message: f1'
+ WHEN 4 THEN 'claim does not state the fact: f2' WHEN 5 THEN 'claim does not state the fact: f1' ELSE 'not in the record: Zebra' END AS problems FROM customer""")
+def d8b(t: Tables) -> DataFrame:
+    k = F.col("c_custkey") % 7
+    fact = lambda i, kind, value: F.struct(F.lit(i).alias("id"), F.lit(kind).alias("kind"), F.lit(value).alias("value"))
+    facts = F.array(fact("f1", "usage", "Since 2024 we run Astra for our ledgers."), fact("f2", "title", "Head of Data"))
+    body = F.expr(DRAFT_SQL)
+    said = F.when(k == 3, "you rely on Astra").when(k == 5, "you do not run Astra").when(k == 6, "Astra").otherwise("you run Astra")
+    about = F.when(k == 2, "f9").when(k == 4, "f2").otherwise("f1")
+    claims = F.when(k != 1, F.array(F.struct(about.alias("fact_id"), said.alias("text")))).otherwise(F.array().cast("array<struct<fact_id:string,text:string>>"))
+    return t.customer.select("c_custkey", F.array_join(D.grounding_problems(F.lit("Astra"), body, claims, facts), "; ").alias("problems"))
+
+
 @query("k24_message_writer", """SELECT c_custkey, 'Hi ' || CASE WHEN c_custkey % 9 = 0 THEN 'there' ELSE c_name END || ',' || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ' as ' || lower(c_mktsegment) || ' lead,' END || CASE WHEN c_custkey % 2 = 0 THEN ' saw that you run Astra.' WHEN c_custkey % 5 = 0 THEN ' saw your tech.' ELSE ' saw your work.' END AS body FROM customer""")
 def k24(t: Tables) -> DataFrame:
     k = F.col("c_custkey")

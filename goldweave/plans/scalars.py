@@ -106,6 +106,18 @@ def c11(t: Tables) -> DataFrame:
     return t.pages.select("page_id", U.registrable_domain(U.host(F.col("url"))).alias("domain"))
 
 
+# Names under suffixes of one, two and three labels, wildcards, exceptions, private suffixes and in punycode.
+NAME_SQL = """CASE c_custkey % 9 WHEN 0 THEN 'WWW.shop' || k || '.co.uk' WHEN 1 THEN 'a.b' || k || '.github.io' WHEN 2 THEN 'm.x' || k || '.com' WHEN 3 THEN 'co.uk' WHEN 4 THEN 'a.b' || k || '.c.kawasaki.jp'
+ WHEN 5 THEN 'q' || k || '.city.kawasaki.jp' WHEN 6 THEN 'www.ck' WHEN 7 THEN 'shop.xn--bcher-kva.example' ELSE '10.0.0.1' END"""
+
+
+@query("c11b_suffix_rules", """SELECT c_custkey, CASE c_custkey % 9 WHEN 0 THEN 'shop' || c_custkey || '.co.uk' WHEN 1 THEN 'b' || c_custkey || '.github.io' WHEN 2 THEN 'x' || c_custkey || '.com' WHEN 4 THEN 'b' || c_custkey || '.c.kawasaki.jp'
+ WHEN 5 THEN 'city.kawasaki.jp' WHEN 6 THEN 'www.ck' WHEN 7 THEN 'bücher.example' END AS domain FROM customer""")
+def c11b(t: Tables) -> DataFrame:
+    named = t.customer.select("c_custkey", F.expr(NAME_SQL.replace("|| k ||", "|| c_custkey ||")).alias("name"))
+    return named.select("c_custkey", U.registrable_domain(F.col("name")).alias("domain"))
+
+
 @query("c12_company_domains", f"""
 SELECT page_id, array_to_string(list_sort(list_distinct([{DOMAIN_SQL}, 'example.co.uk'])), ',') AS domains FROM pages""")
 def c12(t: Tables) -> DataFrame:

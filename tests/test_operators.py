@@ -1,7 +1,7 @@
 """Order independence, ties, nulls and empty inputs of operators; sinks; streams."""
 
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +189,72 @@ def test_provider_source(spark, tmp_path):
     read = spark.read.format("provider").option("root", str(tmp_path)).option("provider", "people")
     assert sorted(map(tuple, read.load().collect())) == [("match", 0, '{"id": 3}'), ("search", 0, '{"id": 1}'), ("search", 1, '{"id": 2}')]
     assert read.option("endpoint", "match").load().count() == 1
+
+
+def test_stream_owes_what_the_batch_owes(spark, tmp_path):
+    """The last action of each key by the stream is the one that the batch fold owes at the stream's time."""
+    from pyspark.sql import functions as F
+
+    from goldweave.operators import sequence
+    from goldweave.streaming.sequence import due_stream
+
+    rng = random.Random(3)
+    start = datetime(2024, 1, 1)
+    rows = []
+    for key in range(60):
+        opted, mail = rng.random() < 0.2, rng.random() < 0.5
+        for kind in rng.sample(["invite", "accepted", "email", "halted", "other"], rng.randrange(1, 4)):
+            rows.append((key, kind, start + timedelta(hours=rng.randrange(96)), opted, mail))
+    schema = "key long, kind string, at timestamp, opted_out boolean, usable_email boolean"
+    src, out = tmp_path / "in", tmp_path / "out"
+    df = spark.createDataFrame(rows, schema)
+    df.coalesce(1).write.parquet(f"file://{src}")
+    stream = due_stream(spark.readStream.schema(schema).parquet(f"file://{src}"))
+    query = stream.writeStream.format("parquet").option("path", f"file://{out}").option("checkpointLocation", f"file://{tmp_path}/ck").outputMode("append").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    got = {r["key"]: r["action"] for r in spark.read.parquet(f"file://{out}").collect()}
+    first = sequence.first_per_kind(df, "key", "kind", "at").join(df.groupBy("key").agg(F.max("at").alias("now"), F.first("opted_out").alias("o"), F.first("usable_email").alias("u")), "key")
+    want = {r["key"]: r["action"] for r in first.select("key", sequence.due_action(F.col("now"), F.col("o"), F.col("u")).alias("action")).collect()}
+    assert got == {k: v for k, v in want.items() if v} and {"halted", "invite", "email"} <= set(got.values())
+
+
+def test_stream_stalls_without_an_address():
+    from goldweave.operators.sequence import KINDS
+    from goldweave.streaming.sequence import decide
+
+    first = dict.fromkeys(KINDS) | {"invite": 10.0}
+    assert decide(first, 9e5, 10, 100, False, False) == "stalled" and decide(first, 9e5, 10, 100, False, True) == "fallback_email"
+    assert decide(first, 9e5, 10, 100, True, True) == "halted" and decide(first | {"halted": 1.0}, 9e5, 10, 100, True, True) is None
+
+
+def test_registrable_domains(spark):
+    from pyspark.sql import functions as F
+
+    from goldweave.functions import urls
+
+    want = {
+        "www.example.com": "example.com", "a.b.co.uk": "b.co.uk", "co.uk": None, "com": None, "x.github.io": "x.github.io", "github.io": None, "b.c.kawasaki.jp": "b.c.kawasaki.jp", "c.kawasaki.jp": None,
+        "a.city.kawasaki.jp": "city.kawasaki.jp", "www.ck": "www.ck", "a.www.ck": "www.ck", "x.ck": None, "a.x.ck": "a.x.ck", "10.0.0.1": None, "a..b": None, "xn--bcher-kva.example": "bücher.example",
+        "www.xn--fiqs8s": "www.中国", "xn--a-.com": "a.com", "XN--MGBH0FB.xn--kgbechtv": "مثال.إختبار",
+    }
+
+    df = spark.createDataFrame([(k,) for k in want], "name string")
+    assert {r["name"]: r["d"] for r in df.select("name", urls.registrable_domain(F.col("name")).alias("d")).collect()} == want
+    own = urls.Suffixes.parse("// a list\n*.host.test\n!www.host.test\nmine.test // private\n")
+    got = {r["name"]: r["d"] for r in spark.createDataFrame([("a.b.host.test",), ("q.www.host.test",), ("x.y.mine.test",)], "name string").select("name", urls.registrable_domain(F.col("name"), own).alias("d")).collect()}
+    assert got == {"a.b.host.test": "a.b.host.test", "q.www.host.test": "www.host.test", "x.y.mine.test": "y.mine.test"}
+
+
+def test_punycode_labels_against_the_codec(spark):
+    from pyspark.sql import functions as F
+
+    from goldweave.functions import urls
+
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcxyz09éüß中文字дом😀") for _ in range(rng.randrange(1, 14))) for _ in range(200)]
+    labels = ["xn--" + w.encode("punycode").decode() for w in words if not w.isascii()]
+    got = [r["d"] for r in spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "i long, x string").orderBy("i").select(urls.decode_label(F.col("x")).alias("d")).collect()]
+    assert got == [w for w in words if not w.isascii()]
