@@ -143,3 +143,40 @@ def safe_cell(text: Column) -> Column:
     """A spreadsheet cell: no formula start, no control characters, bounded."""
     clean = F.substring(F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", ""), 1, CELL_LIMIT)
     return F.when(clean.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), clean)).otherwise(clean)
+
+
+#: A secret shorter than this counts only as a word of its own; still shorter ones are no secrets.
+PART_CHARS, WORD_CHARS = 8, 4
+MASK = "***"
+
+
+def secret_forms(secrets: list[str]) -> list[str]:
+    """The secrets and the ways in which they may be written down, and overlaps of two of them, longest first."""
+    import base64
+    import json
+    from urllib.parse import quote, quote_plus
+
+    forms: set[str] = set()
+    for secret in secrets:
+        for s in {secret, secret.strip()} - {""}:
+            raw = s.encode()
+            forms |= {s, quote(s, safe=""), quote_plus(s), json.dumps(s)[1:-1], base64.b64encode(raw).decode().rstrip("="), base64.urlsafe_b64encode(raw).decode().rstrip("="), raw.hex()}
+    forms = {f for f in forms if len(f) >= WORD_CHARS and f.strip()}
+    joined = {a + b[n:] for a in forms for b in forms for n in range(1, min(len(a), len(b))) if len(a) >= PART_CHARS and len(b) >= PART_CHARS and a.endswith(b[:n])}
+    return sorted(forms | joined, key=lambda f: (-len(f), f))
+
+
+def redact(text: Column, secrets: list[str]) -> Column:
+    """``text`` with every secret, however it is written, masked."""
+    quoted = lambda f: "".join(c if c.isalnum() else f"\\{c}" if c.isascii() and c.isprintable() else f"\\x{{{ord(c):x}}}" for c in f)
+    forms = secret_forms(secrets)
+    if not forms:
+        return text
+    parts = [quoted(f) if len(f) >= PART_CHARS else f"(?<![A-Za-z0-9_]){quoted(f)}(?![A-Za-z0-9_])" for f in forms]
+    return F.regexp_replace(text, "(?:" + "|".join(parts) + ")+", MASK)
+
+
+def redact_row(row: Column, secrets: list[str], limit: int = 2000) -> Column:
+    """A nested value as JSON text with all its strings and keys redacted, cut to ``limit`` characters behind a mark."""
+    clean = redact(F.to_json(row), secrets)
+    return F.when(F.char_length(clean) > limit, F.concat(F.substring(clean, 1, limit), F.lit("..."))).otherwise(clean)

@@ -97,3 +97,8 @@ def error_class(provider: Column, status: Column) -> Column:
 def resolved_mode(per_source: Column, overall: Column, live_available: Column, has_credentials: Column) -> Column:
     stated = F.coalesce(per_source, overall)
     return F.when(stated.isNotNull(), stated).when(~live_available, "synthetic").when(~has_credentials, "synthetic").otherwise("live")
+
+
+def database_now(seconds: float = 0) -> Column:
+    """The session's clock, ``seconds`` on: one time for all rows of a query."""
+    return F.current_timestamp() + F.make_dt_interval(secs=F.lit(seconds).cast("decimal(18,6)"))

@@ -66,3 +66,15 @@ def merge_askers(rows: DataFrame, group: str, key: str, rank: Column) -> DataFra
 
 def unseen(rows: DataFrame, seen: DataFrame, identity: str) -> DataFrame:
     return rows.join(seen.select(identity).distinct(), identity, "left_anti")
+
+
+def until_short_page(pages: DataFrame, ask: str, page: str, found: str, per_page: int, cap: int = 100) -> DataFrame:
+    """``pages`` of each question up to its first page with fewer than ``per_page`` finds, ``cap`` pages at most.
+
+    A question whose pages have a gap ends before it, as nobody asks on after a missing page.
+    """
+    short = F.min(F.when(F.size(found) < per_page, F.col(page)))
+    ends = pages.groupBy(ask).agg(short.alias("_short"), F.collect_set(page).alias("_held"))
+    gap = F.array_min(F.array_except(F.sequence(F.lit(1), F.lit(cap)), "_held"))
+    ends = ends.select(ask, F.least(F.coalesce("_short", F.lit(cap)), F.coalesce(gap - 1, F.lit(cap)), F.lit(cap)).alias("_last"))
+    return pages.join(ends, ask).filter(F.col(page) <= F.col("_last")).drop("_last")

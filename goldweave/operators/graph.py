@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from goldweave.storage import materialize
+from goldweave.storage import discard, materialize
 
 
 def star_edges(rows: DataFrame, node: str, *keys: str | Column) -> DataFrame:
@@ -37,7 +37,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = materialize(large, "edges")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        now = materialize(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        older, now = now, materialize(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(older, large)
         last, seen = seen, _signature(now)
         if seen == last:
             break

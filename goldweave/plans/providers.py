@@ -10,7 +10,10 @@ from goldweave.operators import enrich as E
 from goldweave.operators.sequence import number_all
 from goldweave.plans.registry import Tables, query
 from goldweave.sources import catalog as K
+from goldweave.sources import contract as C
 from goldweave.sources import fixtures as X
+from goldweave.sources import robots as B
+from goldweave.sources import synthetic as Y
 
 
 @query("a2_source_order", "SELECT s_suppkey, row_number() OVER (ORDER BY s_nationkey DESC, s_name)::INTEGER AS place FROM supplier")
@@ -25,6 +28,18 @@ def a3(t: Tables) -> DataFrame:
     return E.union_of_hits(hits, "user_id", "event_type", "event_id")
 
 
+@query("a3b_pages_until_short", """WITH e AS (SELECT user_id AS ask, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, ((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 10 + 1)::INTEGER AS page FROM events),
+p AS (SELECT ask, page, count(*) FILTER (WHERE event_id % 37 <> 0) AS found FROM e GROUP BY 1, 2), s AS (SELECT ask, min(CASE WHEN found < 10 THEN page END) AS short FROM p GROUP BY 1)
+SELECT p.ask, p.page, p.found FROM p JOIN s USING (ask) WHERE p.page <= coalesce(short, 100)""")
+def a3b(t: Tables) -> DataFrame:
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = t.events.select(F.col("user_id").alias("ask"), F.when(F.col("event_id") % 37 != 0, F.col("event_id")).alias("hit"), (F.floor((place - 1) / 10) + 1).cast("int").alias("page"))
+    pages = rows.groupBy("ask", "page").agg(F.collect_list("hit").alias("hits"))
+    return E.until_short_page(pages, "ask", "page", "hits", 10).select("ask", "page", F.size("hits").cast("long").alias("found"))
+
+
 @query("a4_lookup_ladder", """WITH p AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_custkey END AS id, CASE WHEN c_custkey % 4 = 0 THEN c_nationkey END AS linkedin, c_mktsegment AS email FROM customer)
 SELECT c_custkey, CASE WHEN id % 2 = 0 THEN 'id' WHEN linkedin < 15 THEN 'linkedin' ELSE 'email' END AS rung, CASE WHEN id % 2 = 0 THEN 'i' || id WHEN linkedin < 15 THEN 'l' || linkedin ELSE 'e' || email END AS answer FROM p WHERE id % 2 = 0 OR linkedin < 15 OR email IN ('BUILDING', 'MACHINERY')""")
 def a4(t: Tables) -> DataFrame:
@@ -69,6 +84,31 @@ def a19(t: Tables) -> DataFrame:
     return serp.select("page_id", F.inline("organic_results")).select("page_id", F.trim("link").alias("link")).filter("link <> ''")
 
 
+class EventSource(C.Source):
+    """Signals of companies as a source: what it declares, and its two DataFrame functions."""
+
+    name, capabilities, cost_class, charge_unit = "events", frozenset({"signals"}), "paid", "record"
+    surfaces = {"target.astra": frozenset({"event_type"}), "signal.strength": frozenset({"payload.k"})}
+    vocabulary = {"astra": ("click", "view")}
+    endpoints = {"signals": C.Endpoint("GET", "/v1/signals")}
+    rates = (C.Bucket(60, 60.0),)
+
+    def fetch_raw(self, spark, asks):
+        return asks.select("event_id", "event_type", F.from_json("props", "k int").alias("payload"))
+
+    def normalize(self, raw):
+        return X.to_contributions(raw, "event_id", RULES)
+
+
+@query("a1_source_contributions", """SELECT 'events' AS source, 'paid' AS cost_class, 'signal.strength' AS path, count(*) AS n FROM events WHERE event_type IN ('click', 'view') UNION ALL SELECT 'events', 'paid', 'signal.kind', count(*) FROM events WHERE event_type = 'click'""")
+def a1(t: Tables) -> DataFrame:
+    """What a source that is asked in its own vocabulary contributes, by path."""
+    source = EventSource()
+    asks = t.events.filter(F.col("event_type").isin(*source.vocabulary["astra"]))
+    counts = source.normalize(source.fetch_raw(t.spark, asks)).groupBy("path").agg(F.count("*").alias("n"))
+    return counts.select(F.lit(source.name).alias("source"), F.lit(source.cost_class).alias("cost_class"), "path", "n")
+
+
 RULES = [X.FieldRule("payload.k", "signal.strength"), X.FieldRule("event_type", "signal.kind", lambda c: F.when(c != "view", c))]
 
 
@@ -98,17 +138,9 @@ def c3(t: Tables) -> DataFrame:
     return t.spark.range(1).select(F.explode(F.array(*map(F.lit, sorted(left)))).alias("leaf"))
 
 
-CATALOG = """
-acme/astra: Astra | Astra DB
-acme/cassandra: Cassandra | Apache Cassandra
-? acme/next: Next
-other/mongo: Mongo
-"""
-
-
 @query("a14_catalog_scan", "SELECT * FROM (VALUES ('astra', 'acme', 'Astra,Astra DB'), ('cassandra', 'acme', 'Cassandra,Apache Cassandra'), ('mongo', 'other', 'Mongo')) v(key, vendor, aliases)")
 def a14(t: Tables) -> DataFrame:
-    return K.catalog_table(t.spark, K.parse_catalog(CATALOG)).select("key", "vendor", F.array_join("aliases", ",").alias("aliases"))
+    return K.catalog_table(t.spark, K.load_catalog(K.EXAMPLE_CATALOG).products).select("key", "vendor", F.array_join("aliases", ",").alias("aliases"))
 
 
 @query("k19_compile_query", r"""WITH q AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Find senior Data Engineers using Astra-DB' WHEN 1 THEN 'directors at cassandra shops, analysts too' ELSE 'pandastra owners' END AS q FROM customer), w AS (SELECT c_custkey, trim(regexp_replace(lower(q), '[^a-z0-9+#.]+', ' ', 'g')) AS w FROM q)
@@ -122,7 +154,17 @@ def k19(t: Tables) -> DataFrame:
 
 @query("k20_plan_lookup", "SELECT key FROM (VALUES ('astra', 'acme'), ('cassandra', 'acme'), ('mongo', 'other')) v(key, vendor) WHERE vendor = 'acme'")
 def k20(t: Tables) -> DataFrame:
-    return K.catalog_table(t.spark, K.parse_catalog(CATALOG)).filter("vendor = 'acme'").select("key")
+    return K.catalog_table(t.spark, K.load_catalog(K.EXAMPLE_CATALOG).products).filter("vendor = 'acme'").select("key")
+
+
+@query("k20b_plan_matches", """SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'worker' WHEN c_custkey % 4 IN (1, 2) THEN 'user' END AS matched FROM customer""")
+def k20b(t: Tables) -> DataFrame:
+    """People at the vendor by their employer's domain, users of its products by their signals."""
+    found = K.load_catalog(K.EXAMPLE_CATALOG)
+    workers, users = found.workers_plan("acme"), found.users_plan("acme")
+    k = F.col("c_custkey") % 4
+    people = t.customer.select("c_custkey", F.when(k == 0, "acme.example").otherwise("x.example").alias("domain"), F.expr("CASE c_custkey % 4 WHEN 1 THEN 'uses:astra' WHEN 2 THEN 'uses:cassandra' ELSE 'uses:mongo' END").alias("label"))
+    return people.select("c_custkey", F.when(F.col("domain").isin(*workers["domains"]), "worker").when(F.col("label").isin(*users["labels"]), "user").alias("matched"))
 
 
 @query("k22_effective_vocabulary", "SELECT p_brand AS term, s_suppkey AS source, min(p_type) AS first FROM part JOIN supplier ON p_partkey % 107 = s_suppkey GROUP BY 1, 2")
@@ -161,3 +203,54 @@ def e28(t: Tables) -> DataFrame:
 SELECT id, company, 'c' || company || '.example' AS domain, 'Person ' || id AS full_name, CASE WHEN (('0x' || substr(sha256('11:' || id || ':linkedin'), 1, 16))::UBIGINT)::DOUBLE / 18446744073709551616.0::DOUBLE < 0.7 THEN 'linkedin.com/in/p' || id END AS linkedin FROM p""")
 def a12(t: Tables) -> DataFrame:
     return K.synthetic_people(t.spark, 40, 7, 11).select("id", "company", "domain", "full_name", "linkedin")
+
+
+UNIT_SQL = "(('0x' || substr(sha256('11:' || {x} || ':{p}'), 1, 16))::UBIGINT)::DOUBLE / 18446744073709551616.0::DOUBLE"
+
+
+def unit(x: str, p: str) -> str:
+    return UNIT_SQL.format(x=x, p=p)
+
+
+ANSWER_KEY_SQL = f"""firms AS (SELECT range AS company, CASE WHEN {unit('range', 'uses')} < 0.3 THEN 'uses_now' WHEN {unit('range', 'uses')} < 0.4 THEN 'used_past' ELSE 'never' END AS uses FROM range(40)),
+people AS (SELECT range AS id, range % 40 AS company, CASE WHEN {unit('range', 'linkedin')} < 0.7 THEN 'linkedin.com/in/p' || range END AS linkedin, CASE WHEN {unit('range', 'email')} < 0.8 THEN 'p' || range || '@c' || range % 40 || '.example' END AS email,
+ CASE WHEN {unit('range', 'verified')} < 0.5 THEN 'verified' ELSE 'unverified' END AS email_status, {unit('range', 'opt_out')} < 0.05 AS opt_out FROM range(280))"""
+
+
+@query("a12b_answer_key", f"WITH {ANSWER_KEY_SQL} SELECT id, company, linkedin, email, uses, opt_out, uses = 'uses_now' AND NOT opt_out AS wanted FROM people JOIN firms USING (company)")
+def a12b(t: Tables) -> DataFrame:
+    return Y.tables(t.spark, 40, 7, 11)["answer_key"]
+
+
+@query("a9_routed_scan", f"""WITH {ANSWER_KEY_SQL}, asks AS (SELECT c_custkey AS ask, CASE c_custkey % 4 WHEN 0 THEN 'people.match' WHEN 1 THEN 'mail.verify' WHEN 2 THEN 'web.search' ELSE 'mail.send' END AS endpoint, c_custkey % 300 AS k FROM customer),
+found AS (SELECT ask, endpoint, CASE endpoint WHEN 'people.match' THEN CASE WHEN p.id IS NOT NULL THEN 'p' || p.id END WHEN 'mail.verify' THEN CASE WHEN p.email IS NOT NULL THEN p.email_status END
+ WHEN 'web.search' THEN CASE WHEN f.company IS NOT NULL AND {unit('f.company', 'web')} < 0.8 THEN 'Company ' || f.company || CASE uses WHEN 'uses_now' THEN ' runs Astra in production.' WHEN 'used_past' THEN ' moved off Astra.' ELSE ' compared Astra with others.' END END END AS answer
+ FROM asks LEFT JOIN people p ON p.id = k LEFT JOIN firms f ON f.company = k), first AS (SELECT endpoint, min(ask) AS first FROM asks WHERE endpoint <> 'mail.send' GROUP BY 1)
+SELECT ask, CASE WHEN ask = first THEN 2 ELSE 1 END AS attempt, CASE WHEN endpoint = 'mail.send' THEN 404 ELSE 200 END AS status, answer FROM found LEFT JOIN first USING (endpoint)
+UNION ALL SELECT first, 1, 429, NULL FROM first""")
+def a9(t: Tables) -> DataFrame:
+    k, turn = F.col("c_custkey") % 300, F.col("c_custkey") % 4
+    number = k.cast("string")
+    key = F.when(turn == 0, F.concat(F.lit("id:"), number)).when(turn == 1, F.concat(F.lit("email:p"), number, F.lit("@c"), (k % 40).cast("string"), F.lit(".example"))).otherwise(F.concat(F.lit("domain:c"), number, F.lit(".example")))
+    endpoint = F.when(turn == 0, "people.match").when(turn == 1, "mail.verify").when(turn == 2, "web.search").otherwise("mail.send")
+    asks = t.customer.select(F.col("c_custkey").alias("ask"), endpoint.alias("endpoint"), key.alias("key"))
+    return Y.routed(asks, Y.index(Y.tables(t.spark, 40, 7, 11)), faults=True)
+
+
+# Robots files made of the pages' hosts: by the length of a host one is missing, closed, or has rules.
+HOST_SQL = "regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1)"
+PATH_SQL = "regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '^$', '/')"
+
+
+@query("a13b_robots", f"""WITH p AS (SELECT page_id, url, {HOST_SQL} AS host, {PATH_SQL} AS path FROM pages)
+SELECT page_id, CASE length(host) % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN starts_with(path, '/fr/') OR NOT (starts_with(path, '/f') OR starts_with(path, '/d')) ELSE NOT starts_with(path, '/e') END AS allowed FROM p""")
+def a13b(t: Tables) -> DataFrame:
+    kind = F.char_length(F.regexp_extract(F.lower("url"), "^[a-z]+://([^/?#]*)", 1)) % 4
+    body = F.when(kind == 2, "User-agent: other\nDisallow: /\n\nUser-agent: goldweave\nAllow: /fr/ # but\nDisallow: /f\nDisallow: /d\n\nUser-agent: *\nDisallow: /").otherwise("User-agent: *\nDisallow:/e\nDisallow:")
+    files = t.pages.select(B.origin(F.col("url")).alias("origin"), F.when(kind == 0, 404).when(kind == 1, 503).otherwise(200).alias("status"), body.alias("body")).distinct()
+    return B.judged(t.pages.select("page_id", "url"), B.robots_rules(files, "goldweave/1.0"), "page_id", "url").select("page_id", "allowed")
+
+
+@query("a13c_pages_to_read", "SELECT url, min(page_id) AS page_id FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0) GROUP BY 1")
+def a13c(t: Tables) -> DataFrame:
+    return B.to_read(t.pages, t.pages.filter("page_id % 3 = 0"), "page_id", "url").select("url", "page_id")

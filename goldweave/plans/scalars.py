@@ -343,3 +343,9 @@ def d15(t: Tables) -> DataFrame:
     one = F.when(F.col("s_suppkey") % 4 == 0, "live")
     overall = F.when(F.col("s_nationkey") % 3 == 0, "synthetic")
     return t.supplier.select("s_suppkey", V.resolved_mode(one, overall, F.col("s_suppkey") % 2 == 0, F.col("s_acctbal") >= 0).alias("mode"))
+
+
+@query("c42_redacted_rows", """SELECT c_custkey, '{"note":"' || CASE c_custkey % 4 WHEN 0 THEN 'key ***!' WHEN 1 THEN 'q=***&x' WHEN 2 THEN 'plain pin12' ELSE '*** ok' END || '","name":"' || c_name || '"}' AS line FROM customer""")
+def c42(t: Tables) -> DataFrame:
+    note = F.expr("CASE c_custkey % 4 WHEN 0 THEN 'key s3cret/value!' WHEN 1 THEN 'q=s3cret%2Fvalue&x' WHEN 2 THEN 'plain pin12' ELSE 'pin1 ok' END")
+    return t.customer.select("c_custkey", X.redact_row(F.struct(note.alias("note"), F.col("c_name").alias("name")), ["s3cret/value", "pin1"]).alias("line"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import glob
+import json
+import os
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,7 @@ from goldweave.functions.values import unit_interval
 
 # Seniorities that a query may ask for.
 SENIORITIES = ("founder", "owner", "vp", "head", "director", "manager", "senior")
+# Fixed value: titles that a query may ask for.
 ROLE_TITLE = r"(?:[a-z]+ )?(?:engineer|architect|developer|analyst)s?"
 
 
@@ -23,6 +27,75 @@ class Product:
     name: str
     aliases: tuple[str, ...]
     draft: bool = False
+    uids: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class Catalog:
+    """Products and vendor domains of a folder, roles by kind, and the names of drafts that are not used."""
+
+    products: list[Product]
+    domains: dict[str, str]
+    roles: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    drafts: tuple[str, ...] = ()
+
+    def workers_plan(self, vendor: str) -> dict[str, list[str]]:
+        """People who work at the vendor: its domain."""
+        return {"domains": [self.domains[vendor]] if self.domains.get(vendor) else [], "labels": []}
+
+    def users_plan(self, vendor: str, product: str | None = None) -> dict[str, list[str]]:
+        """People at companies that use the vendor's products: what their signals are called."""
+        chosen = [p for p in self.products if p.vendor == vendor and product in (None, p.key)]
+        if not chosen:
+            raise KeyError(f"{vendor} has no product {product or ''}".rstrip())
+        return {"domains": [], "labels": sorted(f"uses:{p.key}" for p in chosen)}
+
+
+def _parsed(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith(".json"):
+        return json.loads(text)
+    import yaml  # only where a catalogue is written in it
+
+    return yaml.safe_load(text)
+
+
+def load_catalog(folder: str, listed_uids: set[str] | None = None) -> Catalog:
+    """A folder of one file a vendor (JSON or YAML), ``roles`` beside them, unfinished ones in ``drafts``.
+
+    The files are settings of the driver, as small as what people write by hand. A vendor
+    or product that two files name, and a technology that ``listed_uids`` lacks, is refused.
+    """
+    files = lambda *parts: sorted(p for e in ("json", "yaml", "yml") for p in glob.glob(os.path.join(folder, *parts, f"*.{e}")))
+    stem = lambda p: os.path.splitext(os.path.basename(p))[0]
+    if not os.path.isdir(folder):
+        raise FileNotFoundError(f"{folder} is not a directory")
+    products, domains, roles = [], {}, {}
+    for path in files():
+        found = _parsed(path)
+        if stem(path) == "roles":
+            kinds = ("core", "adjacent", "irrelevant")
+            roles = {k: tuple(t for f in found["families"] for t in f.get(k, ())) for k in kinds} | {"seniority": tuple(found.get("seniority", ()))}
+            continue
+        vendor = found["vendor"]["key"]
+        if vendor in domains:
+            raise ValueError(f"{path}: vendor {vendor} stands in two files")
+        domains[vendor] = found["vendor"].get("domain", "")
+        for p in found.get("products", ()):
+            names = tuple(dict.fromkeys([p["name"], *p.get("aliases", ())]))
+            products.append(Product(p["key"], vendor, p["name"], names, False, tuple(p.get("technology_uids", ()))))
+    keys = [p.key for p in products]
+    if len(set(keys)) < len(keys):
+        raise ValueError(f"products named twice: {sorted({k for k in keys if keys.count(k) > 1})}")
+    unknown = sorted({u for p in products for u in p.uids} - listed_uids) if listed_uids is not None else []
+    if unknown:
+        raise ValueError(f"technologies that the list lacks: {unknown}")
+    return Catalog(products, domains, roles, tuple(stem(p) for p in files("drafts")))
+
+
+#: A catalogue to try things on.
+EXAMPLE_CATALOG = os.path.join(os.path.dirname(os.path.abspath(__file__)), "catalog_files")
 
 
 def parse_catalog(text: str) -> list[Product]:
