@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from goldweave.llm.ids import as_long, as_text
-from goldweave.llm.storage import materialize
+from goldweave.llm.storage import discard, materialize
 from goldweave.operators.graph import connected_components
 
 #: Share of a set that its signature holds beyond the hashes of which one must be common.
@@ -216,7 +216,8 @@ def _prune(shared: DataFrame, sizes: DataFrame, need: Column, rounds: int, name:
         alive = counts.join(sizes, "set").filter(F.col("shared") >= need)
         left = shared.select("hash", "set").join(alive.select("set"), "set", "left_semi")
         df = left.groupBy("hash").agg(F.count("*").alias("holders")).filter("holders > 1")
-        shared = materialize(left.join(df, "hash").select("hash", "set", F.col("holders").alias("df")), name)
+        older, shared = shared, materialize(left.join(df, "hash").select("hash", "set", F.col("holders").alias("df")), name)
+        discard(older)
     counts = shared.groupBy("set").agg(F.count("*").alias("shared"))
     return materialize(counts.join(sizes, "set").filter(F.col("shared") >= need), name), shared
 
@@ -340,7 +341,8 @@ def stars(lists: DataFrame, sets: DataFrame, rule: Rule) -> tuple[DataFrame, Dat
         left = open_lists.drop("group").join(centres.select("key", F.col("c.set").alias("set")), ["key", "set"], "left_anti")
         named = left.join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn("group", F.coalesce("component", "set")).drop("component")
         mixed = named.groupBy("key").agg((F.min("group") != F.max("group")).alias("mixed")).filter("mixed").select("key")
-        open_lists = materialize(named.join(mixed, "key"), "open")
+        older, open_lists = open_lists, materialize(named.join(mixed, "key"), "open")
+        discard(older, centres)
         if open_lists.isEmpty():
             return links, groups
         many *= 4

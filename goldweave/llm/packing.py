@@ -9,7 +9,8 @@ within their length.
 
 Defined results: null text is an empty document and packs as its end token alone;
 longer documents are cut into full pieces behind a first piece that holds the
-remainder; repeated rows are packed once each; an empty table gives an empty result.
+remainder; very long texts are cut into as many pieces as they need; repeated rows are
+packed once each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -143,7 +144,7 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY, block_rows: int =
         return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     # Ranks in two levels: a length that many pieces share is numbered by several tasks.
     blocks = spark.createDataFrame([(k, math.ceil(n / block_rows)) for k, n in histogram.items()], "length long, blocks int")
-    dealt = pieces.join(F.broadcast(blocks), "length").withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.col("blocks")))
+    dealt = pieces.join(F.broadcast(blocks), "length").withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("blocks")))
     sizes = dealt.groupBy("length", "block").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

@@ -10,11 +10,13 @@ no piece of such a model holds a meta space after another character; ``Model``
 refuses a vocabulary where that fails.
 
 Merging all occurrences of a piece at once equals the library's queue unless a merge
-creates a pair of a better rank than itself; pieces that can do so are found when the
-model is loaded, and of those only the leftmost occurrence of a word merges in a round.
+creates a pair of a better rank than itself.  Pieces that can do so are found when the
+model is loaded; of those, a round merges a word's occurrences from the left up to the
+first whose neighbours make such a pair, as the library would take that pair next.
 
 Defined results: null text counts as empty; empty text has no ids and decodes to an
-empty text; a text of spaces only, of any length, is encoded like any other.
+empty text; a text of spaces only, or of one very long word, is encoded like any other;
+repeated rows give equal results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -131,10 +133,10 @@ class Model:
         self.pair_rank = ranks[self.pair_id]
         self.by_rank = np.array([normal[p] for p in order], np.int64)
         # A merge into z that can lead on to a piece of better rank than z.
-        self.leftmost_only = np.zeros(len(order) + 1, bool)
+        self.leading = np.zeros(len(order) + 1, bool)
         for part in (np.array(left, np.int64), np.array(right, np.int64)):
             worse = (ranks[part] > ranks[np.array(out, np.int64)]) & (ranks[part] < NO_RANK)
-            self.leftmost_only[ranks[part[worse]]] = True
+            self.leading[ranks[part[worse]]] = True
         self.char_id = {p: i for p, i in normal.items() if len(p) == 1}
         # Two-level table of pairs: a bitmap first, since most pairs are no piece.
         self.bits = 24
@@ -190,14 +192,13 @@ class Model:
                 if not len(sym):
                     break
             at = np.flatnonzero(rank == np.repeat(best, sizes))
-            if self.leftmost_only[best].any():
-                first = np.r_[True, word[at[1:]] != word[at[:-1]]]
-                at = at[first | ~self.leftmost_only[rank[at]]]
             # In a run of overlapping pairs every second one merges, from the left.
             joined = np.r_[False, at[1:] == at[:-1] + 1]
             index = np.arange(len(at))
             begin = np.maximum.accumulate(np.where(joined, 0, index))
             at = at[(index - begin) % 2 == 0]
+            if self.leading[best].any():
+                at = self._until_better(sym, word, rank, at)
             sym[at] = self.by_rank[rank[at]]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
@@ -218,6 +219,24 @@ class Model:
         sym, word = self._join_runs(*self._split_bytes(sym[sort], word[sort]))
         return sym.tolist(), np.searchsorted(word, np.arange(1, len(words) + 1)).tolist()
 
+    def _until_better(self, sym: np.ndarray, word: np.ndarray, rank: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of the merges ``at``, those of each word up to the first after which a better pair stands."""
+        made, last = self.by_rank[rank[at]], len(sym) - 1
+        left, right = np.maximum(at - 1, 0), np.minimum(at + 2, last)
+        before = sym[left]
+        behind_merge = np.r_[False, at[1:] == at[:-1] + 2]  # what stands before has been merged already
+        before[behind_merge] = made[np.flatnonzero(behind_merge) - 1]
+        has_left, has_right = (at > 0) & (word[left] == word[at]), (at + 2 <= last) & (word[right] == word[at])
+        new_left = np.where(has_left, self._pair_ranks(before, made), NO_RANK)
+        new_right = np.where(has_right, self._pair_ranks(made, sym[right]), NO_RANK)
+        better = self.leading[rank[at]] & (np.minimum(new_left, new_right) < rank[at])
+        if not better.any():
+            return at
+        seen = np.cumsum(better) - better
+        starts = np.r_[True, word[at[1:]] != word[at[:-1]]]
+        begin = np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
+        return at[seen == seen[begin]]
+
     def _split_bytes(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lost = np.flatnonzero(sym < 0)
         if not len(lost):

@@ -4,9 +4,11 @@ A key alone and the shard count decide where a row goes; there is no ring table.
 Growing from n to n + 1 shards moves rows only into the new shard, and only the
 necessary 1 / (n + 1) of them.
 
-Defined results: a null key is one more key value; null text has size 8 (the
-framing) and CRC 0; repeated rows share a shard and get slots of their own; an
-empty table gives an empty result; extra columns are ignored.
+Defined results: a null key is one more key value, whose rows share a shard but are
+numbered by many tasks; null text has size 8 (the framing) and CRC 0; very long texts
+count whole; repeated rows share a shard and get slots of their own; an empty table gives
+an empty result; extra columns are ignored, and where ``shard`` or ``grown_shard`` is
+taken, ``assign_shards`` adds an underscore to its own.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from goldweave.llm.storage import materialize
+
 SHARDS = 24
 FRAME_BYTES = 8
 #: Rows that one numbering group holds on average.
@@ -54,15 +58,18 @@ def jump_column(key: Column, buckets: int) -> Column:
 def assign_shards(df: DataFrame, key: str, shards: int = SHARDS) -> DataFrame:
     """``df`` with ``shard`` and ``grown_shard`` (the shard among one more)."""
     mixed = F.xxhash64(F.col(key))
-    return df.withColumns({"shard": jump_column(mixed, shards), "grown_shard": jump_column(mixed, shards + 1)})
+    names = ["shard", "grown_shard"]
+    while set(names) & set(df.columns):
+        names = [f"{n}_" for n in names]
+    return df.withColumns({names[0]: jump_column(mixed, shards), names[1]: jump_column(mixed, shards + 1)})
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per document: its shard and its gapless slot there.
 
     Slots are numbered in two levels so that no task orders a whole shard: rows of
-    a shard fall into blocks by key hash, blocks get their offset from a running
-    sum of block sizes, and rows are ordered only within their block.
+    a shard fall into blocks by the hash of their columns, blocks get their offset from a
+    running sum of block sizes, and rows are ordered only within their block.
     """
     rows = docs.select(
         "doc_id",
@@ -70,11 +77,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, block_rows: int = BLO
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
     )
     blocks = max(1, math.ceil(docs.count() / (block_rows * shards)))
-    block = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(blocks)).alias("block")
-    sizes = assign_shards(docs.select("doc_id", block), "doc_id", shards).groupBy("shard", "block").agg(F.count("*").alias("n"))
+    block = F.pmod(F.xxhash64("doc_id", "text_crc32", "size", F.lit(1)), F.lit(blocks)).alias("block")
+    placed = materialize(assign_shards(rows.select("*", block), "doc_id", shards), "shards")
+    sizes = placed.groupBy("shard", "block").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    placed = assign_shards(rows.select("*", block), "doc_id", shards)
     inner = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size"))
     return (
         placed.withColumn("inner", inner)

@@ -1,6 +1,7 @@
 """PNG files with every row filter, hashes; reply trees and their template."""
 
 import hashlib
+import math
 import random
 import struct
 import zlib
@@ -114,3 +115,30 @@ def test_turns_of_equal_place_follow_each_other(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     r = chat.format_branches(chat.thread(df)).first()
     assert chat.parse(r["formatted"]) == [("system", ""), ("user", "a"), ("user", "a"), ("user", "b")]
+
+
+def plain_feature(raw):
+    """The hash by its definition: area means of 32 x 32, a cosine transform, the median of its low frequencies; integers all through."""
+    height = len(raw) // 64
+    rows = [list(raw[64 * i : 64 * i + 64]) for i in range(height)]
+
+    def means(values, side):
+        n = len(values)
+        cut = [i * n // side for i in range(side)] + [n]
+        if n < side:
+            return [[v * 256 for v in values[c]] for c in cut[:side]]
+        return [[sum(values[k][x] for k in range(a, b)) * 256 // (b - a) for x in range(len(values[0]))] for a, b in zip(cut, cut[1:])]
+
+    small = [list(x) for x in zip(*means([list(x) for x in zip(*means(rows, 32))], 32))]
+    wave = [[round(math.cos(math.pi * k * (2 * x + 1) / 64) * 4096) for x in range(32)] for k in range(8)]
+    low = [sum(wave[u][y] * wave[v][x] * small[y][x] for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+    middle = sorted(low[1:])[31]
+    return f"{int(''.join('1' if c > middle else '0' for c in low), 2):016x}"
+
+
+def test_features_against_a_plain_transform(odd, small):
+    for docs in (odd, small.limit(40)):
+        texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+        for r in media.image_features(media.store_images(docs)).collect():
+            raw = texts[r["doc_id"]]
+            assert r["feature"] == plain_feature(raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0"))

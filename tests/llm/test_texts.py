@@ -484,3 +484,106 @@ def test_of_repeated_rows_one_stays(spark):
     first = sorted(map(tuple, exact_dedup.keep_one_copy(df).collect()), key=str)
     assert len(first) == 3 and {(d, t.lower()) for d, t, _ in first} == {(1, "a"), (1, "b"), (None, "c")}
     assert first == sorted(map(tuple, exact_dedup.keep_one_copy(df.repartition(5)).collect()), key=str)
+
+
+def plain_language(model, text):
+    """Language and score of a text: n-gram counts, margins, losses and the nearest codeword, one number at a time."""
+    raw = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in (b"   " + text.lower().encode() + b"   "))
+    bins = Counter()
+    for n in language_id.NGRAMS:
+        for i in range(len(raw) - n + 1):
+            if raw[i : i + n] != b" " * n:
+                bins[((int.from_bytes(raw[i : i + n], "big") + (n << 40)) * 0x9E3779B97F4A7C15) % 2**64 >> 51] += 1
+    total = max(sum(bins.values()), 1)
+    margins = [(sum(c * float(model.weights[b, j]) for b, c in bins.items()) / total - model.bias[j]) / model.scale[j] for j in range(model.weights.shape[1])]
+    loss = []
+    for i in range(len(model.langs)):
+        loss.append(sum(math.log1p(math.exp(-2 * m * int(model.code[i, j]))) * model.trust[i, j] for j, m in enumerate(margins)))
+    order = sorted(loss)
+    return model.langs[loss.index(order[0])], math.tanh(4 * (order[1] - order[0]))
+
+
+def test_languages_against_plain_decoding(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.train(docs)
+    texts = {r["doc_id"]: r["text"] for r in docs.limit(60).collect()}
+    seen = set()
+    for r in language_id.identify_documents(docs.limit(60), model).collect():
+        lang, score = plain_language(model, texts[r["doc_id"]])
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=2e-3)
+        assert r["ambiguous"] == (r["score"] < language_id.AMBIGUOUS)
+        seen.add(lang)
+    assert len(seen) > 1
+    again = language_id.train(docs.repartition(7))
+    assert (again.weights == model.weights).all() and (again.trust == model.trust).all()
+
+
+def plain_redacted(text):
+    out, at = "", 0
+    for a, _, kind, b in plain_entropy_spans(text):
+        if a >= at:
+            out += text[at:a] + f"[SECRET:{kind}]"
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_pipeline_end_to_end(spark, tmp_path):
+    """Every stage against a plain version of it, on documents with copies, near copies, secrets, nulls and odd texts."""
+    import corpus_pipeline
+    from goldweave.llm import packing, queries
+
+    base = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    rows = list(base)
+    for i, (d, text, lang, source, n) in enumerate(base[:40]):
+        rows.append((10_000 + i, text.upper() if i % 2 else text + f" extra{i}", lang, source, n))
+    rows += [(20_000, None, None, "s", None), (20_001, "", "en", "s", 0), (20_002, "123 456", "en", "s", 7), (20_003, base[0][1] + " token=abcdefghijkl0123456789", "en", "s", None), (None, base[1][1] + " <|endoftext|> no id", "en", "s", None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["language_id", "exact_dedup", "ngram_jaccard_join", "secret_scan", "best_fit_packing"]
+
+    sure = {(r["doc_id"]) for r in language_id.identify_documents(docs).collect() if r["lang_pred"] != "und" and not r["ambiguous"]}
+    left = [r for r in rows if r[0] in sure]
+    assert {20_000, 20_001, 20_002}.isdisjoint(sure) and len(left) > 0.9 * len(base)
+    rank = lambda d: -1 if d is None else d
+    groups = {}
+    for r in left:
+        key = (r[1] or "").translate(LOWER)
+        if key not in groups or rank(r[0]) > rank(groups[key][0]):
+            groups[key] = r
+    left = list(groups.values())
+    number = {rank(r[0]) if r[0] is not None else 10**12: r for r in left}  # no id comes after all others
+    parts = components([(d, r[1]) for d, r in number.items()], 5, 80, 100)
+    left = [r for d, r in number.items() if parts[d][1] == d]
+    want = {r[0]: plain_redacted(r[1]) for r in left}
+    assert any("[SECRET:" in t for t in want.values())
+
+    stage = docs
+    for name, run in corpus_pipeline.STAGES[:-1]:
+        stage = run(spark, stage, str(tmp_path))
+        stage.write.parquet(f"{tmp_path}/{name}")
+        stage = spark.read.parquet(f"{tmp_path}/{name}")
+        assert stage.columns == docs.columns
+    assert {r["doc_id"]: r["text"] for r in stage.collect()} == want and stage.count() == len(want)
+
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    encoder = packing.load_ranks(queries.tokenizer_path("byte_bpe_50k.tiktoken"))
+    bins, lengths = {}, {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        lengths[r["doc_id"]] = lengths.get(r["doc_id"], 0) + r["length"]
+    assert lengths == {d: len(encoder.encode(t, allowed_special="all")) + 1 for d, t in want.items()}
+    for places in bins.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 1024
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import public_tokenizers
@@ -94,7 +95,6 @@ def test_fullest_combination():
 
 def test_packing(odd, empty, small):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     for docs in (odd, small, empty):
         rows = packing.pack_documents(docs, RANKS, keep_ids=True).collect()
         bins, parts = {}, {}
@@ -122,3 +122,73 @@ def test_added_tokens_inside_texts(spark):
     texts = ["<|endoftext|>", "a<|endoftext|>b", "one <|endoftext|> two<|endoftext|><|endoftext|>\n", "<|endoftext|", "<|ENDOFTEXT|> x", "plain"]
     rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), RANKS, keep_ids=True).collect()
     assert {r["doc_id"]: list(r["ids"]) for r in rows} == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+
+
+def test_ids_on_random_texts(spark):
+    """Ids of whole documents equal the tokenizer file's, special strings, odd characters and all."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(13)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "\t", "the", " Word", "don't", "123", "é", "漢字", "😀", "\u00a0", "ﬁ", "x" * 40, "'s", "\x00"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(1500)]
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), RANKS, keep_ids=True).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["piece"])):
+        got.setdefault(r["doc_id"], []).extend(r["ids"])
+    assert got == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+
+
+def plain_jump(key, buckets):
+    """Jump consistent hash of one unsigned key."""
+    at, nxt = -1, 0
+    while nxt < buckets:
+        at = nxt
+        key = (key * 2862933555777941757 + 1) % 2**64
+        nxt = int((at + 1) * ((1 << 31) / ((key >> 33) + 1)))
+    return at
+
+
+def test_shards_against_one_key_at_a_time(spark, odd, small):
+    import struct
+
+    import xxhash
+
+    for docs in (odd, small):
+        texts = {}
+        for r in docs.collect():
+            texts.setdefault(r["doc_id"], []).append((r["text"] or "").encode())
+        rows = sharding.shard_documents(docs, block_rows=3).collect()
+        for r in rows:
+            key = 42 if r["doc_id"] is None else xxhash.xxh64(struct.pack("<q", r["doc_id"]), seed=42).intdigest()
+            assert (r["shard"], r["grown_shard"], r["law"]) == (plain_jump(key, 24), plain_jump(key, 25), "key")
+            assert (r["size"], r["text_crc32"]) in {(len(t) + 8, zlib.crc32(t)) for t in texts[r["doc_id"]]}
+        assert len(rows) == docs.count() and len({(r["shard"], r["slot"]) for r in rows}) == len(rows)
+    both = sharding.assign_shards(odd.withColumn("grown_shard", odd["doc_id"]), "doc_id")
+    assert both.columns[-2:] == ["shard_", "grown_shard_"]
+
+
+def test_rows_without_ids_are_numbered_by_many_tasks(spark):
+    rows = spark.range(2000).selectExpr("cast(null as long) doc_id", "concat('text ', id) text")
+    slots = sharding.shard_documents(rows, block_rows=2).collect()
+    assert sorted(r["slot"] for r in slots) == list(range(2000)) and len({r["shard"] for r in slots}) == 1
+
+
+@pytest.mark.parametrize("unit", ["th", "a", "the", "ab1", "漢", "=", "inging", "nnn"])
+def test_one_very_long_word(library, unit):
+    """A word without spaces takes rounds by its merges, not by its length."""
+    text = unit * (200_000 // len(unit))
+    begin = time.monotonic()
+    ids, n, decoded = next(iter(sentencepieces.Encoder(sentencepieces.load(MODEL)).encode_batch([text])))
+    assert time.monotonic() - begin < 20
+    assert ids == ",".join(map(str, library.encode(text))) and decoded == text
+
+
+def test_long_words_of_pieces(library):
+    rng = random.Random(17)
+    model = sentencepieces.load(MODEL)
+    pieces = [p.replace("▁", "") for p, _, k in model.pieces if k == sentencepieces.NORMAL]
+    leading = [model.pieces[i][0].replace("▁", "") for i in model.by_rank[model.leading[:-1]]]
+    texts = ["".join(rng.choice(rng.choice((pieces, leading))) for _ in range(rng.randrange(400))) for _ in range(150)]
+    few = [rng.sample(leading, 4) for _ in range(150)]
+    texts += ["".join(rng.choice(f) for _ in range(200)) for f in few]
+    for t, (ids, _, _) in zip(texts, sentencepieces.Encoder(model).encode_batch(texts), strict=True):
+        assert ids == ",".join(map(str, library.encode(t))), t
