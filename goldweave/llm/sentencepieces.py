@@ -221,15 +221,18 @@ class Model:
 
     def _until_better(self, sym: np.ndarray, word: np.ndarray, rank: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of the merges ``at``, those of each word up to the first after which a better pair stands."""
-        made, last = self.by_rank[rank[at]], len(sym) - 1
-        left, right = np.maximum(at - 1, 0), np.minimum(at + 2, last)
+        some = np.flatnonzero(self.leading[rank[at]])
+        here, last = at[some], len(sym) - 1
+        made = self.by_rank[rank[here]]
+        left, right = np.maximum(here - 1, 0), np.minimum(here + 2, last)
         before = sym[left]
-        behind_merge = np.r_[False, at[1:] == at[:-1] + 2]  # what stands before has been merged already
+        behind_merge = np.r_[False, here[1:] == here[:-1] + 2]  # what stands before has been merged already
         before[behind_merge] = made[np.flatnonzero(behind_merge) - 1]
-        has_left, has_right = (at > 0) & (word[left] == word[at]), (at + 2 <= last) & (word[right] == word[at])
+        has_left, has_right = (here > 0) & (word[left] == word[here]), (here + 2 <= last) & (word[right] == word[here])
         new_left = np.where(has_left, self._pair_ranks(before, made), NO_RANK)
         new_right = np.where(has_right, self._pair_ranks(made, sym[right]), NO_RANK)
-        better = self.leading[rank[at]] & (np.minimum(new_left, new_right) < rank[at])
+        better = np.zeros(len(at), bool)
+        better[some] = np.minimum(new_left, new_right) < rank[here]
         if not better.any():
             return at
         seen = np.cumsum(better) - better
