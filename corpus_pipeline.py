@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), reads all of ``docs``, and returns the rows that
 it keeps with the columns of ``documents`` (the last stage returns packed pieces).
 Between stages rows are written as Parquet and read again.
+
+Defined results: an empty table goes through and packs into nothing; of rows repeated
+with their doc_id, exact dedup keeps one; a row without doc_id stays unless its text is
+null, has no language, or is a copy of a row with one; null texts go in the first stage.
 """
 
 from __future__ import annotations

@@ -66,3 +66,32 @@ def manifest_faults(files: DataFrame, manifest: DataFrame, today: Column) -> Dat
     both = files.join(manifest, "file", "left")
     fault = F.when(F.col("recorded_on").isNull(), "unlisted").when(F.col("recorded_on") > today, "dated_ahead")
     return both.select("file", fault.alias("fault")).filter("fault is not null")
+
+
+def merge_tables(c: DataFrame, labels: DataFrame, keys: DataFrame, prior: DataFrame, won: DataFrame) -> dict[str, DataFrame]:
+    """All that a merge stores, by name.
+
+    ``c`` are contributions (id, fetched_at, ...), ``labels`` (id, cluster), ``keys`` (id, kind,
+    value, barred), ``prior`` (key, lead, seniority) and ``won`` the winners (cluster, path,
+    source, value). A cluster without a lead of old gets a new one, behind the last.
+    """
+    assigned, retired = assign_leads(labels.withColumnRenamed("id", "key"), prior)
+    last = prior.agg(F.coalesce(F.max("lead"), F.lit(0)).alias("last"))
+    leads = assigned.join(F.broadcast(last)).select("cluster", F.coalesce("lead", F.col("cluster") + F.col("last") + 1).alias("lead"))
+    mapping = labels.join(leads, "cluster").select("id", "lead")
+    members = c.select("id", "fetched_at").join(mapping, "id").groupBy("lead")
+    identities = members.agg(F.count("*").alias("members"), F.min("fetched_at").alias("first_seen"), F.max("fetched_at").alias("last_seen"))
+    succession = retired.join(leads, retired["successor"] == leads["cluster"]).select(retired["lead"].alias("retired"), leads["lead"].alias("successor")).distinct()
+    held = won.join(leads, "cluster")
+    index = keys.filter(~F.col("barred")).join(mapping, "id").select("lead", "kind", "value").distinct()
+    return {
+        "identities": identities, "succession": succession, "mapping": mapping, "canonical": held.select("lead", "path", "value"),
+        "provenance": held.select("lead", "path", "source"), "index": index,
+    }
+
+
+def persist_merge(tables: dict[str, DataFrame], root: str) -> int:
+    """Stores the tables of a merge as one version; readers see all of them or none."""
+    from goldweave.storage import commit_tables
+
+    return commit_tables(tables, root)

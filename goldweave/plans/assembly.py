@@ -12,6 +12,7 @@ from goldweave.operators import identity as I
 from goldweave.operators import sinks as S
 from goldweave.plans.identity import C_SQL, CLUSTER_SQL, KEYS_SQL, contributions
 from goldweave.plans.registry import Tables, query
+from goldweave.storage import materialize, new_path, read_committed
 
 
 @query("e6_email_links", f"""WITH {KEYS_SQL}, m AS (SELECT k.id, k.value, c.linkedin IS NULL AS bare FROM keys k JOIN c USING (id) WHERE kind = 2 AND NOT barred),
@@ -116,3 +117,20 @@ def e11b(t: Tables) -> DataFrame:
     rows = t.customer.select("c_custkey", place.alias("d"))
     labels = G.label_all(rows.select("c_custkey"), "c_custkey", G.star_edges(rows, "c_custkey", "d"), "cluster")
     return rows.join(labels, "c_custkey").groupBy("cluster").agg(company_id(F.collect_set("d")).alias("company_id"))
+
+
+@query("b3b_committed_merge", f"""WITH RECURSIVE {CLUSTER_SQL}, prior AS (SELECT id, person AS lead FROM c WHERE id % 2 = 0), hp AS (SELECT lead, count(DISTINCT cluster) AS n, min(cluster) AS cluster FROM prior JOIN g USING (id) GROUP BY 1),
+kp AS (SELECT cluster, min(lead) AS lead FROM hp WHERE n = 1 GROUP BY 1), mp AS (SELECT g.id, coalesce(kp.lead, g.cluster + (SELECT max(lead) FROM prior) + 1) AS lead FROM g LEFT JOIN kp USING (cluster)),
+xi AS (SELECT DISTINCT mp.lead, kind, value FROM keys JOIN mp USING (id) WHERE NOT barred)
+SELECT mp.lead, count(*) AS members, min(fetched_at) AS first_seen, max(fetched_at) AS last_seen, (SELECT count(*) FROM xi WHERE xi.lead = mp.lead) AS index_rows FROM mp JOIN c USING (id) GROUP BY 1""")
+def b3b(t: Tables) -> DataFrame:
+    """A merge stored as one version, and its identities and index as read back."""
+    c = contributions(t)
+    labels = materialize(I.clusters(c), "labels")
+    prior = c.filter("id % 2 = 0").select(F.col("id").alias("key"), F.col("person").alias("lead"), F.col("person").alias("seniority"))
+    won = c.join(labels, "id").groupBy("cluster").agg(F.min("name").alias("value")).filter("value is not null").select("cluster", F.lit("name").alias("path"), F.lit("orders").alias("source"), "value")
+    root = new_path(t.spark, "merge")
+    version = A.persist_merge(A.merge_tables(c, labels, I.match_keys(c), prior, won), root)
+    read = lambda name: read_committed(t.spark, root, name, version)
+    entries = read("index").groupBy("lead").agg(F.count("*").alias("index_rows"))
+    return read("identities").join(entries, "lead", "left").withColumn("index_rows", F.coalesce("index_rows", F.lit(0)))

@@ -264,3 +264,25 @@ def test_punycode_labels_against_the_codec(spark):
     labels = ["xn--" + w.encode("punycode").decode() for w in words if not w.isascii()]
     got = [r["d"] for r in spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "i long, x string").orderBy("i").select(urls.decode_label(F.col("x")).alias("d")).collect()]
     assert got == [w for w in words if not w.isascii()]
+
+
+def test_a_merge_is_stored_whole(spark, tmp_path):
+    """Mapping, identities, succession, canonical values, provenance and index of one merge agree with each other."""
+    from goldweave import storage
+    from goldweave.operators import assembly
+
+    day = datetime(2024, 1, 1)
+    c = spark.createDataFrame([(i, day + timedelta(days=i)) for i in range(1, 7)], "id long, fetched_at timestamp")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 6)], "id long, cluster long")
+    keys = spark.createDataFrame([(1, 1, "a", False), (2, 1, "a", False), (3, 2, "b", True), (5, 2, "c", False)], "id long, kind int, value string, barred boolean")
+    prior = spark.createDataFrame([(1, 10, 1), (3, 10, 1), (4, 11, 2), (5, 12, 3)], "key long, lead long, seniority long")
+    won = spark.createDataFrame([(1, "name", "s1", "Ann"), (5, "name", "s2", "Bob")], "cluster long, path string, source string, value string")
+    root = f"file://{tmp_path}/leads"
+    assert assembly.persist_merge(assembly.merge_tables(c, labels, keys, prior, won), root) == 1
+    read = lambda name: sorted(map(tuple, storage.read_committed(spark, root, name).collect()), key=str)
+    # Lead 10 held rows of two clusters and retires; 11 and 12 go on; clusters 1 and 6 get new leads behind 12.
+    assert dict(read("mapping")) == {1: 14, 2: 14, 3: 11, 4: 11, 5: 12, 6: 19}
+    assert read("succession") == [(10, 11), (10, 14)]
+    assert {r[0]: r[1] for r in read("identities")} == {14: 2, 11: 2, 12: 1, 19: 1}
+    assert read("canonical") == [(12, "name", "Bob"), (14, "name", "Ann")] and read("provenance") == [(12, "name", "s2"), (14, "name", "s1")]
+    assert read("index") == [(12, 2, "c"), (14, 1, "a")]
