@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -60,6 +61,34 @@ def _character(code: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that stands once in the plan, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _floor(x: Column) -> Column:
+    return F.floor(x).cast("long")
+
+
+def _next_bias(delta: Column, size: Column, first: Column) -> Column:
+    """The decoder's bias after a character: ``delta`` is halved, then divided by 35 until it is 455 at most.
+
+    Each division is by floor, so several are one division by a power; a label of 63
+    letters needs four at most.
+    """
+
+    def settled(d: Column) -> Column:
+        times = sum((F.when(d >= 456 * 35**j, 1).otherwise(0) for j in range(4)), F.lit(0))
+        return _bound(F.struct(times.alias("times"), _floor(d / F.pow(F.lit(35.0), times)).alias("d")), lambda x: x["times"] * 36 + _floor(x["d"] * 36 / (x["d"] + 38)))
+
+    halved = _floor(delta / F.when(first, 700).otherwise(2))
+    return _bound(_bound(halved, lambda d: d + _floor(d / size)), settled).cast("long")
+
+
+def _is_character(n: Column) -> Column:
+    return n.between(128, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+
+
 def decode_label(label: Column) -> Column:
     """A label in punycode as Unicode; any other label, and a wrong one, as it is.
 
@@ -74,35 +103,30 @@ def decode_label(label: Column) -> Column:
         F.filter(F.split(plain, ""), lambda c: c != "").alias("out"), whole(128).alias("n"), whole(0).alias("i"), whole(72).alias("bias"),
         whole(0).alias("old"), whole(1).alias("w"), whole(36).alias("k"), F.lit(False).alias("bad"),
     )
-    floor = lambda x: F.floor(x).cast("long")
-
-    def adapted(delta: Column, size: Column, first: Column) -> Column:
-        d = F.when(first, floor(delta / 700)).otherwise(floor(delta / 2))
-        d = d + floor(d / size)
-        k = whole(0)
-        for _ in range(4):  # a label of 63 letters needs no more
-            far = d > 455
-            d, k = F.when(far, floor(d / 35)).otherwise(d), F.when(far, k + 36).otherwise(k)
-        return k + floor(d * 36 / (d + 38))
 
     def step(acc: Column, c: Column) -> Column:
         digit = F.when(c.rlike("^[a-z]$"), F.ascii(c) - 97).when(c.rlike("^[0-9]$"), F.ascii(c) - 22).cast("long")
-        i = acc["i"] + digit * acc["w"]
         least = F.least(F.greatest(acc["k"] - acc["bias"], whole(1)), whole(26))
-        size = F.size(acc["out"]) + 1
-        n = acc["n"] + floor(i / size)
-        at = (i % size).cast("int")
-        put = F.concat(F.slice(acc["out"], F.lit(1), at), F.array(_character(F.when(n.between(128, 0xD7FF) | n.between(0xE000, 0x10FFFF), n).otherwise(63))), F.slice(acc["out"], at + 1, size))
-        done = F.struct(
-            put.alias("out"), n.alias("n"), (at + 1).cast("long").alias("i"), adapted(i - acc["old"], size, acc["old"] == 0).alias("bias"), (at + 1).cast("long").alias("old"),
-            whole(1).alias("w"), whole(36).alias("k"), (~(n.between(128, 0xD7FF) | n.between(0xE000, 0x10FFFF))).alias("bad"),
-        )
+        seen = F.struct(digit.alias("digit"), least.alias("least"), (F.size(acc["out"]) + 1).alias("size"))
+        return _bound(seen, lambda s: _bound(acc["i"] + s["digit"] * acc["w"], lambda i: moved(acc, s, i)))
+
+    def moved(acc: Column, s: Column, i: Column) -> Column:
+        def put(p: Column) -> Column:
+            char = _character(F.when(_is_character(p["n"]), p["n"]).otherwise(63))
+            out = F.concat(F.slice(acc["out"], F.lit(1), p["at"]), F.array(char), F.slice(acc["out"], p["at"] + 1, s["size"]))
+            bias, after = _next_bias(i - acc["old"], s["size"], acc["old"] == 0), (p["at"] + 1).cast("long")
+            return F.struct(
+                out.alias("out"), p["n"].alias("n"), after.alias("i"), bias.alias("bias"), after.alias("old"),
+                whole(1).alias("w"), whole(36).alias("k"), (~_is_character(p["n"])).alias("bad"),
+            )
+
+        place = F.struct((acc["n"] + _floor(i / s["size"])).alias("n"), (i % s["size"]).cast("int").alias("at"))
         more = F.struct(
             acc["out"].alias("out"), acc["n"].alias("n"), i.alias("i"), acc["bias"].alias("bias"), acc["old"].alias("old"),
-            (acc["w"] * (36 - least)).alias("w"), (acc["k"] + 36).alias("k"), (i > 10**9).alias("bad"),
+            (acc["w"] * (36 - s["least"])).alias("w"), (acc["k"] + 36).alias("k"), (i > 10**9).alias("bad"),
         )
         wrong = F.struct(*(F.lit(True).alias("bad") if name == "bad" else acc[name].alias(name) for name in ("out", "n", "i", "bias", "old", "w", "k", "bad")))
-        return F.when(acc["bad"] | digit.isNull(), wrong).when(digit < least, done).otherwise(more)
+        return F.when(acc["bad"] | s["digit"].isNull(), wrong).when(s["digit"] < s["least"], _bound(place, put)).otherwise(more)
 
     read = F.aggregate(F.filter(letters, lambda c: c != ""), start, step, lambda acc: F.when(~acc["bad"] & (acc["k"] == 36), F.array_join(acc["out"], "")))
     return F.when(label.startswith("xn--"), F.coalesce(read, label)).otherwise(label)
@@ -144,17 +168,15 @@ def registrable_domain(name: Column, suffixes: Suffixes = SUFFIXES) -> Column:
 
     def cut(labels: Column) -> Column:
         n = F.size(labels)
-        last = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), F.lit(k)), ".")
-        length = F.lit(1)
-        for k in range(2, SUFFIX_LABELS + 1):
-            listed = last(k).isin(*suffixes.plain) | last(k - 1).isin(*suffixes.wild)
-            length = F.when((n >= k) & listed, k).otherwise(length)
-        for k in range(2, SUFFIX_LABELS + 1):
-            length = F.when((n >= k) & last(k).isin(*suffixes.except_), k - 1).otherwise(length)
-        return F.when(n > length, F.array_join(F.slice(labels, n - length, length + 1), "."))
+        last = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), ".")
+        lengths = F.array(*map(F.lit, range(2, SUFFIX_LABELS + 1)))
+        listed = F.filter(lengths, lambda k: (k <= n) & (last(k).isin(*suffixes.plain) | last(k - 1).isin(*suffixes.wild)))
+        excepted = F.filter(lengths, lambda k: (k <= n) & last(k).isin(*suffixes.except_))
+        length = F.coalesce(F.array_max(excepted) - 1, F.array_max(listed), F.lit(1))
+        return _bound(length, lambda k: F.when(n > k, F.array_join(F.slice(labels, n - k, k + 1), ".")))
 
     labels = F.transform(F.split(F.lower(name), r"\."), decode_label)
-    return F.when(~name.rlike(r"^[0-9.]+$") & ~name.rlike(r"\.\."), F.element_at(F.transform(F.array(labels), cut), 1))
+    return F.when(~name.rlike(r"^[0-9.]+$") & ~name.rlike(r"\.\."), _bound(labels, cut))
 
 
 def url_host(url: Column, suffixes: Suffixes = SUFFIXES) -> Column:
