@@ -46,6 +46,8 @@ from goldweave.operators.graph import connected_components
 #: Share of a set that its signature holds beyond the hashes of which one must be common.
 DEPTH = 0.075
 CHUNK_BYTES = 1 << 20
+#: Sets of which a task remembers that it has given their signature; others are given again, and counted once.
+REMEMBERED = 1 << 18
 #: Cost of a subset that is listed, in list entries that are scanned.
 SUBSET_COST = 2.0
 #: What a list says of a member.
@@ -170,7 +172,7 @@ def text_sets(docs: DataFrame, rule: Rule, *carried: str) -> DataFrame:
 
 
 def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(hash, set): the signature of every set that can link, once for each task that meets it."""
+    """(hash, set): the signature of every set that can link, mostly once for each task that meets it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -179,6 +181,8 @@ def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
             for s in shingle_sets(list(pdf["text"]), rule.words):
                 key = set_key(s)
                 if rule.can_link(len(s)) and key not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
                     seen.add(key)
                     hashes.append(s[: rule.signature(len(s))])
                     keys.append(key)
