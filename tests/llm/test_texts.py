@@ -195,6 +195,16 @@ def test_five_words_on_tiny_partitions(spark):
 
 
 
+def test_signatures_of_a_task_that_remembers_little(spark, monkeypatch):
+    texts = [" ".join(f"w{i}{k}" for k in range(12)) for i in range(6)] * 3
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    rows = lambda: [tuple(r) for r in jaccard_join.signatures(df, RULE).collect()]
+    want = rows()
+    monkeypatch.setattr(jaccard_join, "REMEMBERED", 2)
+    got = rows()
+    assert len(want) == len(set(want)) < len(got) and set(got) == set(want)
+
+
 def test_many_near_copies_need_few_comparisons(spark, monkeypatch):
     """One text in 2,000 versions: as brute force has it, and with far fewer comparisons than pairs."""
     rng = random.Random(5)
