@@ -20,6 +20,7 @@ den * |intersection| >= num * |union|.  The join is exact in four steps.
    components of a list first, until no list is open: then every pair that shares a list
    and could link is compared or lies in one component.
    A comparison needs room: elements from the list's own on that may be common.
+   A long list is dealt over parts by its members; its centres go to every part.
 
 Sets and hashes have 64-bit keys; two different ones share a key with odds of 2^-64.
 
@@ -50,6 +51,8 @@ CHUNK_BYTES = 1 << 20
 REMEMBERED = 1 << 18
 #: Cost of a subset that is listed, in list entries that are scanned.
 SUBSET_COST = 2.0
+#: Entries of a list that one task should meet; longer lists are dealt over parts.
+LIST_PART = 512
 #: What a list says of a member.
 MEMBER = ("set", "n", "room", "weight")
 
@@ -252,8 +255,31 @@ def boundary(ranked: DataFrame) -> float:
     return best
 
 
+def _dealt(lists: DataFrame) -> DataFrame:
+    """``lists`` of two sets and more, each entry with ``parts`` of its list and its own ``part``.
+
+    ``df`` says how long a list can be at most.  Where that is more than a part, even the
+    search for lists of two sets is dealt over parts of that length.
+    """
+    several = (F.min("set") != F.max("set")).alias("several")
+    entry = ("key", "parts", *MEMBER)
+    short = lists.filter(F.col("df") <= LIST_PART)
+    short = short.join(short.groupBy("key").agg(several).filter("several").select("key", F.lit(1).alias("parts")), "key").select(*entry).distinct()
+    cell = F.pmod(F.xxhash64("set"), F.ceil(F.col("df") / LIST_PART)).alias("cell")
+    long = materialize(lists.filter(F.col("df") > LIST_PART).select("*", cell), "long")
+    lengths = long.groupBy("key").agg(several, F.ceil(F.count("*") / LIST_PART).cast("int").alias("parts")).filter("several").drop("several")
+    cells = long.select("key", "cell").distinct().join(lengths, "key")
+    rows = short.unionByName(long.join(cells, ["key", "cell"]).select(*entry).distinct())
+    return rows.withColumn("part", F.pmod(F.xxhash64("set"), "parts").cast("int"))
+
+
+def _each_part(keys: DataFrame) -> DataFrame:
+    """``keys``, rows of whole lists, for every part of their list."""
+    return keys.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).drop("parts")
+
+
 def candidate_lists(sets: DataFrame, rule: Rule) -> DataFrame:
-    """(key, set, n, room, weight): lists of which each pair of partners shares one at least.
+    """(key, parts, part, set, n, room, weight): lists of which each pair of partners shares one at least.
 
     ``room`` is how many elements a set can have in common with a partner if the list
     stands for the first ones that they share; in that list it holds for every pair.
@@ -271,14 +297,14 @@ def candidate_lists(sets: DataFrame, rule: Rule) -> DataFrame:
     ranked = ordered.select("set", "n", "weight", "shared", F.posexplode(F.slice("e", F.lit(1), F.col("q"))).alias("i", "e"))
     ranked = ranked.select("set", "n", "weight", (F.col("shared") - F.col("i")).alias("room"), "e.*")
     limit = boundary(ranked)
-    lists = ranked.filter(F.col("n") >= F.lit(limit * rule.num / rule.den) - 1).select(F.xxhash64("hash").alias("key"), *MEMBER)
+    lists = ranked.filter(F.col("n") >= F.lit(limit * rule.num / rule.den) - 1).select(F.xxhash64("hash").alias("key"), "df", *MEMBER)
     if limit:
-        few = ordered.filter(F.col("n") <= limit).withColumn("e", F.transform(F.slice("e", F.lit(1), F.col("q") + 1), lambda x: x["hash"]))
-        subset = lambda x, y, k: F.struct(F.xxhash64(F.least(x, y), F.greatest(x, y)).alias("key"), (F.col("shared") - k + 1).alias("room"))
+        few = ordered.filter(F.col("n") <= limit).withColumn("e", F.slice("e", F.lit(1), F.col("q") + 1))
+        key = lambda x, y: F.xxhash64(F.least(x["hash"], y["hash"]), F.greatest(x["hash"], y["hash"])).alias("key")
+        subset = lambda x, y, k: F.struct(key(x, y), x["df"].alias("df"), (F.col("shared") - k + 1).alias("room"))
         pairs = F.flatten(F.transform("e", lambda x, i: F.transform(F.slice("e", i + 2, F.size("e")), lambda y, j: subset(x, y, i + 1 + j))))
-        lists = lists.unionByName(few.select(F.explode(pairs).alias("p"), "set", "n", "weight").select("p.key", "set", "n", "p.room", "weight"))
-    several = lists.groupBy("key").agg((F.min("set") != F.max("set")).alias("several")).filter("several").select("key")
-    return materialize(lists.join(several, "key").distinct(), "lists")
+        lists = lists.unionByName(few.select(F.explode(pairs).alias("p"), "set", "n", "weight").select("p.key", "p.df", "set", "n", "p.room", "weight"))
+    return materialize(_dealt(lists), "lists")
 
 
 def _possible(n: Column, m: Column, room: Column, other: Column, rule: Rule) -> Column:
@@ -318,13 +344,19 @@ def set_links(docs: DataFrame, sizes: DataFrame, rule: Rule) -> tuple[DataFrame,
 
 
 def _centres(open_lists: DataFrame, many: int) -> DataFrame:
-    """(key, c): the next centres of every list, those of small components first."""
+    """(key, parts, c): the next centres of every list, those of small components first.
+
+    Of each component only as many members as there are centres are looked at, chosen
+    before rows are dealt, so that a list of one large component meets in no task.
+    """
     if many == 1:
-        return open_lists.groupBy("key").agg(F.max(F.struct("weight", "set", "n", "room", "group")).alias("c"))
+        return open_lists.groupBy("key").agg(F.max("parts").alias("parts"), F.max(F.struct("weight", "set", "n", "room", "group")).alias("c"))
     inside = open_lists.groupBy("key", "group").agg(F.count("*").alias("inside"))
+    best = Window.partitionBy("key", "group").orderBy(F.desc("weight"), "set")
+    able = open_lists.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= many)
     first = Window.partitionBy("key").orderBy("inside", F.desc("weight"), "set")
-    chosen = open_lists.join(inside, ["key", "group"]).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= many)
-    return chosen.select("key", F.struct("weight", "set", "n", "room", "group").alias("c"))
+    chosen = able.join(inside, ["key", "group"]).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= many)
+    return chosen.select("key", "parts", F.struct("weight", "set", "n", "room", "group").alias("c"))
 
 
 def stars(lists: DataFrame, sets: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
@@ -335,7 +367,7 @@ def stars(lists: DataFrame, sets: DataFrame, rule: Rule) -> tuple[DataFrame, Dat
         if many > 1:  # used once more below, and few
             centres = materialize(centres, "centres")
         able = _possible(F.col("n"), F.col("c.n"), F.col("room"), F.col("c.room"), rule)
-        new = open_lists.join(centres, "key").filter((F.col("group") != F.col("c.group")) & able)
+        new = open_lists.join(_each_part(centres), ["key", "part"]).filter((F.col("group") != F.col("c.group")) & able)
         new = new.select(F.least("c.set", "set").alias("a"), F.greatest("c.set", "set").alias("b")).distinct()
         new = materialize(new if met is None else new.join(met, ["a", "b"], "left_anti"), "pairs")
         found = materialize(verified(new, sets, rule), "links")
@@ -344,8 +376,8 @@ def stars(lists: DataFrame, sets: DataFrame, rule: Rule) -> tuple[DataFrame, Dat
 
         left = open_lists.drop("group").join(centres.select("key", F.col("c.set").alias("set")), ["key", "set"], "left_anti")
         named = left.join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn("group", F.coalesce("component", "set")).drop("component")
-        mixed = named.groupBy("key").agg((F.min("group") != F.max("group")).alias("mixed")).filter("mixed").select("key")
-        older, open_lists = open_lists, materialize(named.join(mixed, "key"), "open")
+        mixed = named.groupBy("key").agg((F.min("group") != F.max("group")).alias("mixed"), F.max("parts").alias("parts")).filter("mixed").drop("mixed")
+        older, open_lists = open_lists, materialize(named.join(_each_part(mixed), ["key", "part"]), "open")
         discard(older, centres)
         if open_lists.isEmpty():
             return links, groups

@@ -39,6 +39,19 @@ def test_join_against_all_pairs(spark):
     assert got == components(rows, 3, 80, 100)
 
 
+def test_long_lists_are_dealt_over_parts(spark, monkeypatch):
+    """Parts of three entries give the same components, and parts of a list hold few entries each."""
+    monkeypatch.setattr(jaccard_join, "LIST_PART", 3)
+    rows = list(enumerate(near_copies(2) + near_copies(3)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join_documents(df, RULE).collect()}
+    assert got == components(rows, 3, 80, 100)
+    entries = spark.createDataFrame([(1, 40, s, 9, 9, 1.0) for s in range(40)] + [(2, 40, 7, 9, 9, 1.0), (3, 2, 1, 9, 9, 1.0), (3, 2, 2, 9, 9, 1.0)], "key long, df long, set long, n long, room long, weight float")
+    dealt = jaccard_join._dealt(entries).groupBy("key", "part").count().collect()
+    assert {r["key"] for r in dealt} == {1, 3} and sum(r["count"] for r in dealt) == 42
+    assert len([r for r in dealt if r["key"] == 1]) > 9 and max(r["count"] for r in dealt) < 12
+
+
 def test_join_takes_odd_and_empty_tables(odd, empty):
     rows = {(r["doc_id"], r["text"]) for r in odd.collect()}
     got = jaccard_join.join_documents(odd, RULE).collect()
