@@ -421,16 +421,17 @@ def keep_representatives(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     comes after all others.
     """
     mark = "_text_key"
-    while mark in docs.columns:
+    while any(c.lower().startswith(mark) for c in docs.columns):
         mark += "_"
     rows = docs.withColumn(mark, F.xxhash64("text"))
     named = _grouped(materialize(text_sets(rows, rule, mark), "sizes"), docs, rule).filter("n > 0")
     named = materialize(named.select("doc_id", mark, "group"), "components")
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", mark)
-    first = named.groupBy("group").agg(F.min(place).alias("first"))
-    gone = named.join(first, "group").filter(~place.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_id"), F.col(mark).alias("_key")).distinct()
-    left = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (rows[mark] == gone["_key"]), "left_anti")
+    first = named.groupBy("group").agg(F.min(place).alias("first")).select(F.col("first.doc_id").alias(f"{mark}_id"), F.col(f"first.{mark}").alias(f"{mark}_of"), F.lit(True).alias(f"{mark}_first"))
+    found = rows.join(first, F.col("doc_id").eqNullSafe(F.col(f"{mark}_id")) & (F.col(mark) == F.col(f"{mark}_of")), "left")
+    wordless = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    left = found.filter(F.col(f"{mark}_first") | wordless).select(*rows.columns)
     if not named.groupBy("doc_id", mark).count().filter("count > 1").isEmpty():
         again = F.row_number().over(Window.partitionBy("doc_id", mark).orderBy(F.xxhash64(*docs.columns)))
-        left = left.withColumn(f"{mark}s", again).filter((F.col(f"{mark}s") == 1) | ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+        left = left.withColumn(f"{mark}s", again).filter((F.col(f"{mark}s") == 1) | wordless)
     return left.select(*docs.columns)
