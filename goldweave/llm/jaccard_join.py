@@ -53,6 +53,8 @@ REMEMBERED = 1 << 18
 SUBSET_COST = 2.0
 #: Entries of a list that one task should meet; longer lists are dealt over parts.
 LIST_PART = 512
+#: Parts over which the documents of a component are dealt.
+GROUP_PARTS = 1024
 #: What a list says of a member.
 MEMBER = ("set", "n", "room", "weight")
 
@@ -406,10 +408,16 @@ def _grouped(sizes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def join_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id of the component) of every row."""
+    """doc_id, n_shingles, component_id (the smallest doc_id of the component) of every row.
+
+    The smallest id of a component is found and handed back by parts of it, so that no
+    task meets all rows of a component, nor all texts without words.
+    """
     named = _grouped(materialize(text_sets(docs, rule), "sizes"), docs, rule)
-    least = named.filter("n > 0").groupBy("group").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "group", "left")
+    named = materialize(named.withColumn("cell", F.pmod(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id())), F.lit(GROUP_PARTS))), "components")
+    cells = named.filter("n > 0").groupBy("group", "cell").agg(F.min("doc_id").alias("least"))
+    cells = cells.withColumn("least", F.min("least").over(Window.partitionBy("group")))
+    out = named.join(cells, ["group", "cell"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -40,8 +40,9 @@ def test_join_against_all_pairs(spark):
 
 
 def test_long_lists_are_dealt_over_parts(spark, monkeypatch):
-    """Parts of three entries give the same components, and parts of a list hold few entries each."""
+    """Parts of three entries, and two a component, give the same components; parts of a list hold few entries each."""
     monkeypatch.setattr(jaccard_join, "LIST_PART", 3)
+    monkeypatch.setattr(jaccard_join, "GROUP_PARTS", 2)
     rows = list(enumerate(near_copies(2) + near_copies(3)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join_documents(df, RULE).collect()}
