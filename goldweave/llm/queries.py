@@ -80,6 +80,13 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from goldweave.llm.structure_repair import damage, repair_conversations
+
+    rows = table(spark, sf_dir, "conversations")
+    return repair_conversations(damage(rows), rows)
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from goldweave.llm.alignment import align_documents
 
@@ -103,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secrets": op9_secrets,
     "op10_language": op10_language,
+    "op11_structure_repair": op11_structure_repair,
     "op12_alignment": op12_alignment,
     "op13_byte_pairs": op13_byte_pairs,
 }
@@ -148,4 +156,28 @@ e AS (SELECT * FROM ({_spans('entropy', 3, '[A-Za-z0-9+/_=-]{20,}', 0, 20)}) x W
 bs AS (SELECT doc_id, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, rank) AS s, count_if(rank = 0) AS n0, count_if(rank = 1) AS n1, count_if(rank = 2) AS n2 FROM b GROUP BY 1),
 al AS (SELECT doc_id, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, rank) AS s FROM (SELECT * FROM b UNION ALL SELECT * FROM e) GROUP BY 1)
 SELECT d.doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex, sha256(coalesce(bs.s, '')) AS base_sha256, coalesce(al.s, '') AS spans FROM d LEFT JOIN bs USING (doc_id) LEFT JOIN al USING (doc_id)""",
+    "op11_structure_repair": r"""
+WITH RECURSIVE tab AS MATERIALIZED (SELECT list(list_reduce(list_concat([i], range(8)), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)),
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(list_reduce(list_concat([4294967295], list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS d
+  FROM conversations, tab),
+dam AS (SELECT coalesce(conv_id::VARCHAR, 'null') AS k, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE d WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM src),
+num AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY k, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+  NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut FROM dam),
+fau AS (SELECT k, turn, role, text, i, left(role, 1) AS r, blank, again AND NOT blank AS dup, cut AND NOT again AND NOT blank AS cut, lag(left(role, 1)) OVER (PARTITION BY k ORDER BY i) AS r0 FROM num),
+agg AS (SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count_if(blank)::BIGINT AS blank, count_if(dup)::BIGINT AS duplicate, count_if(cut)::BIGINT AS truncated,
+  count_if(i > 1 AND r0 || r NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal, max(i) AS n FROM fau GROUP BY k),
+go(k, i, v) AS (
+  SELECT k, n + 1, [{'c': 0, 'a': '', 't': ''}, {'c': 6, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}, {'c': 3, 'a': 'I', 't': chr(10) || 'assistant:'}, {'c': 0, 'a': '', 't': ''}] FROM agg
+  UNION ALL
+  SELECT k, i, [list_sort([b[1], {'c': b2.c + 3, 'a': 'I' || b2.a, 't': chr(10) || 'user:' || b2.t}])[1], list_sort([b[2], {'c': b2.c + 3, 'a': 'I' || b2.a, 't': chr(10) || 'user:' || b2.t}])[1], b2, list_sort([b[4], {'c': b[3].c + 3, 'a': 'I' || b[3].a, 't': chr(10) || 'user:' || b[3].t}])[1]]
+  FROM (SELECT k, i, b, list_sort([b[3], {'c': b[4].c + 3, 'a': 'I' || b[4].a, 't': chr(10) || 'assistant:' || b[4].t}])[1] AS b2
+    FROM (SELECT go.k, f.i, list_transform([1, 2, 3, 4], lambda q: list_sort(list_concat([{'c': v[q].c + 4, 'a': 'D' || v[q].a, 't': v[q].t}],
+        CASE WHEN blank OR dup THEN [] ELSE [{'c': 3 + 3 * cut::INT + v[CASE q WHEN 3 THEN 4 ELSE 3 END].c, 'a': 'R' || v[CASE q WHEN 3 THEN 4 ELSE 3 END].a, 't': chr(10) || CASE q WHEN 3 THEN 'assistant:' ELSE 'user:' END || text || v[CASE q WHEN 3 THEN 4 ELSE 3 END].t}] END,
+        CASE WHEN blank OR dup OR NOT coalesce((r = 's' AND q = 1) OR (r = 'u' AND q <> 3) OR (r = 'a' AND q = 3), false) THEN [] ELSE [{'c': 3 * cut::INT + v[CASE r WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].c, 'a': 'K' || v[CASE r WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].a,
+          't': chr(10) || role || ':' || text || v[CASE r WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].t}] END))[1]) AS b
+      FROM go JOIN fau f ON f.k = go.k AND f.i = go.i - 1)))
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(v[1].c, 0)::BIGINT AS cost, coalesce(v[1].a, '') AS audit, sha256(coalesce(substr(v[1].t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, 'null') AS k FROM conversations) o LEFT JOIN agg USING (k) LEFT JOIN go ON go.k = o.k AND go.i = 1""",
 }
