@@ -38,11 +38,11 @@ from goldweave.llm.sentencepieces import META
 from goldweave.llm.storage import materialize
 
 #: Characters of the texts that a task aligns together.
-BATCH_CHARS = 1 << 23
+BATCH_CHARS = 1 << 22
 #: Bytes of distinct segments that DuckDB aligns at a time.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Memory of a task's DuckDB, which never writes to disk.
-DUCKDB_MEMORY = "400MB"
+DUCKDB_MEMORY = "200MB"
 #: Texts longer than this are cut into segments one by one.
 LONG_TEXT = 1 << 20
 #: Characters from which a segment is encoded in chunks.
