@@ -33,6 +33,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from goldweave.llm.ids import free_mark
 from goldweave.llm.storage import materialize
 
 #: Rows that a bucket holds before it is split; more where the table has many rows for each address.
@@ -153,7 +154,5 @@ def decide_copies(docs: DataFrame) -> DataFrame:
 
 def keep_one_copy(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, columns unchanged."""
-    mark = "_copy_"
-    while any(c.startswith(mark) for c in docs.columns):
-        mark += "_"
+    mark = free_mark(docs.columns, "_copy_")
     return _with_entries(docs, mark, {}).filter(F.col(f"{mark}kept")).select(*docs.columns)

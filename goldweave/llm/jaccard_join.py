@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from goldweave.llm.ids import as_long, as_text
+from goldweave.llm.ids import as_long, as_text, free_mark
 from goldweave.llm.storage import discard, materialize
 from goldweave.operators.graph import connected_components
 
@@ -428,9 +428,7 @@ def keep_representatives(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     texts are judged by their own components, and repeated ones count once.  A null doc_id
     comes after all others.
     """
-    mark = "_text_key"
-    while any(c.lower().startswith(mark) for c in docs.columns):
-        mark += "_"
+    mark = free_mark(docs.columns, "_text_key")
     rows = docs.withColumn(mark, F.xxhash64("text"))
     named = _grouped(materialize(text_sets(rows, rule, mark), "sizes"), docs, rule).filter("n > 0")
     named = materialize(named.select("doc_id", mark, "group"), "components")

@@ -10,7 +10,7 @@ within their length.
 Defined results: null text is an empty document and packs as its end token alone;
 longer documents are cut into full pieces behind a first piece that holds the
 remainder; very long texts are cut into as many pieces as they need; repeated rows are
-packed once each; an empty table gives an empty result.
+packed once each; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import base64
 import json
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from goldweave.llm import byte_pairs
 from goldweave.llm.ids import as_long, as_text
 from goldweave.llm.storage import materialize
 
@@ -35,6 +37,8 @@ CAPACITY = 1024
 END_TOKEN = 2
 #: Pieces of one length that a numbering group holds on average.
 BLOCK_ROWS = 1024
+#: Characters from which a text is encoded in overlapping chunks.
+LONG_TEXT = 1 << 17
 
 
 @lru_cache(maxsize=2)
@@ -50,6 +54,16 @@ def load_ranks(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
+def token_ids(encoding, ranks_path: str, text: str) -> list[int]:
+    """Ids of a text; long ones, of which a run may be too long for the library's pattern, are stitched from chunks."""
+    if len(text) < LONG_TEXT:
+        return encoding.encode(text, allowed_special="all")
+    added = encoding._special_tokens
+    parts = re.split("(" + "|".join(map(re.escape, added)) + ")", text)
+    coder = byte_pairs.encoder(ranks_path)
+    return [i for p in parts if p for i in ([added[p]] if p in added else coder.encode_text(p))]
+
+
 def cut_points(length: int, capacity: int) -> list[int]:
     """Starts of the pieces of a document of ``length`` tokens; the first may be shorter."""
     head = length % capacity or capacity
@@ -65,7 +79,7 @@ def tokenize_pieces(docs: DataFrame, ranks_path: str, capacity: int = CAPACITY,
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = np.array([*(encoding.encode(text, allowed_special="all") if text else ()), END_TOKEN], "<u4")
+                ids = np.array([*(token_ids(encoding, ranks_path, text) if text else ()), END_TOKEN], "<u4")
                 starts = cut_points(len(ids), capacity)
                 for piece, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
                     row = (doc_id, piece, a, b - a, zlib.crc32(ids[a:b].tobytes()))

@@ -9,9 +9,10 @@ of the same length and keep their punctuation, behind the reserved name ``exampl
 Each network is a permutation, so equal values get equal pseudonyms in every document
 and different values of a kind different ones.  Whoever knows the key can invert them.
 
-Every repeat in the pattern is bounded, so a text of any length takes time in proportion
-and no more than a bounded depth of the pattern engine's stack.  Of mail addresses whose
-name is longer than 64 characters the last 64 count, as no longer name is valid.
+Every repeat in the pattern is bounded or never given back, so a text of any length takes
+time in proportion and no more than a bounded depth of the pattern engine's stack.  The
+name of a mail address is the whole run of its characters before the sign, however long;
+dots, dashes and per cent signs that it begins with are not part of the value.
 
 Defined results: null text stays null with no finds; very long texts are read whole;
 repeated rows get equal results; an empty table gives an empty result; extra columns are
@@ -25,12 +26,14 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from goldweave.llm.ids import free_mark, free_name
+
 ROUNDS = 8
 #: Times that a value is permuted again when it falls outside its kind; the odds of more are nil.
 WALK = 64
 KINDS = ("email", "iban", "ip", "ssn", "card", "date", "phone")
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,126}[A-Za-z]{2,63}",
+    "email": r"[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,126}[A-Za-z]{2,63}",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
     "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
@@ -41,7 +44,13 @@ PATTERNS = {
 EDGE_BEFORE, EDGE_AFTER = r"(?<![A-Za-z0-9_+@])(?<![0-9][.,-])", r"(?![A-Za-z0-9_@])(?![.,-][0-9])"
 #: A date may also stand before the time of a timestamp.
 BEFORE_TIME = r"(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?=T[0-9]{2}:?[0-9]{2})"
-ANY = EDGE_BEFORE + "(?:(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in KINDS) + ")" + EDGE_AFTER + f"|{BEFORE_TIME})"
+#: A mail address begins where its run of characters does, or behind the find before, and ends with its top domain.
+ANY_EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)" + PATTERNS["email"] + "(?![A-Za-z0-9])"
+ANY = f"{ANY_EMAIL}|{EDGE_BEFORE}(?:(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in KINDS if k != "email") + f"){EDGE_AFTER}|{BEFORE_TIME})"
+#: What may stand before the value in a run.
+LEADING = "^[.%-]+"
+#: Characters of a name or host that are permuted together.
+MAIL_BLOCK = 128
 ALPHABET = string.ascii_lowercase + string.digits
 #: Days in a block of dates; the first block starts on DATE_ORIGIN.
 DATE_SIDE = 270
@@ -174,7 +183,7 @@ def kind_of(text: Column) -> Column:
     whole = lambda k: text.rlike(f"^(?:{PATTERNS[k]})$")
     body = _iban_body(text)
     tests = {
-        "email": F.lit(True),
+        "email": text.rlike("[A-Za-z0-9][^@]*@"),
         "iban": F.char_length(body).between(15, 34) & (mod97(F.concat(F.substring(body, F.lit(5), F.lit(30)), F.substring(body, F.lit(1), F.lit(4)))) == 1),
         "ip": F.forall(_octets(text), lambda o: o <= 255),
         "ssn": ~text.rlike("^(000|666|9)") & ~text.rlike("-00-") & ~text.rlike("-0000$"),
@@ -195,6 +204,14 @@ def _walk(value: Column, move, fits) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, step, lambda acc: acc["v"])
 
 
+def in_blocks(text: Column, use, tweak: Column) -> Column:
+    """``use(part, tweak)`` of parts of MAIL_BLOCK characters, joined; parts of a longer text get tweaks of their own."""
+    n = F.char_length(text)
+    several = lambda part, i: use(part, F.concat_ws("|", tweak, n.cast("string"), i.cast("string")))
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{MAIL_BLOCK}}}"), F.lit(0))
+    return F.when(n <= MAIL_BLOCK, use(text, tweak)).otherwise(F.array_join(F.transform(parts, several), ""))
+
+
 def _email(text: Column, key: str) -> Column:
     """Name and host are permuted, each in its own length; the top domain stays, below ``example``."""
     inside = f"[{ALPHABET}]"
@@ -204,8 +221,8 @@ def _email(text: Column, key: str) -> Column:
         name, host = F.substring_index(at, "@", 1), F.substring_index(at, "@", -1)
         top = F.substring_index(host, ".", -1)
         body = F.substring(host, F.lit(1), F.char_length(host) - F.char_length(top) - 1)
-        moved_name = refill(name, permute_letters(letters(name), key, "mail name", host), inside)
-        moved_body = refill(body, permute_letters(letters(body), key, "mail host", top), inside)
+        moved_name = in_blocks(name, lambda part, tweak: refill(part, permute_letters(letters(part), key, "mail name", tweak), inside), host)
+        moved_body = in_blocks(body, lambda part, tweak: refill(part, permute_letters(letters(part), key, "mail host", tweak), inside), top)
         return F.concat(moved_name, F.lit("@"), moved_body, F.lit("."), top, F.lit(".example"))
 
     return _bind(F.lower(text), make)
@@ -311,11 +328,7 @@ def pseudonymize(docs: DataFrame, key: str, finds: str = "pii") -> DataFrame:
 
     ``key`` is a secret of the caller: keep it out of the code.
     """
-    mark = "_pii"
-    while any(c.startswith(mark) for c in docs.columns):
-        mark += "_"
-    while finds in docs.columns:
-        finds += "_"
+    mark, finds = free_mark(docs.columns, "_pii"), free_name(docs.columns, finds)
     hits, gaps = f"{mark}_hits", f"{mark}_gaps"
     text = F.col("text")
     any_hit = text.rlike(ANY)
@@ -324,10 +337,14 @@ def pseudonymize(docs: DataFrame, key: str, finds: str = "pii") -> DataFrame:
         gaps: F.when(any_hit, F.split(text, ANY, -1)).otherwise(F.array(text)),
     })
     judged = F.transform(hits, lambda h: F.struct(kind_of(h).alias("kind"), h.alias("value")))
-    named = F.transform(judged, lambda h: F.struct(h["kind"].alias("kind"), h["value"].alias("value"), pseudonym(h["value"], h["kind"], key).alias("pseudonym")))
+    lead = lambda h: F.when(h["kind"] == "email", F.regexp_extract(h["value"], LEADING, 0)).otherwise(F.lit(""))
+    judged = F.transform(judged, lambda h: F.struct(h["kind"].alias("kind"), F.substring(h["value"], F.char_length(lead(h)) + 1, F.char_length(h["value"])).alias("value"), lead(h).alias("lead")))
+    named = F.transform(judged, lambda h: F.struct(h["kind"].alias("kind"), h["value"].alias("value"), pseudonym(h["value"], h["kind"], key).alias("pseudonym"), h["lead"].alias("lead")))
     found = found.withColumn(hits, named)
-    put = F.zip_with(gaps, F.transform(hits, lambda h: h["pseudonym"]), lambda g, h: F.concat(g, F.coalesce(h, F.lit(""))))
-    out = found.withColumns({"text": F.when(any_hit, F.array_join(put, "")).otherwise(text), finds: F.filter(hits, lambda h: h["kind"].isNotNull())})
+    put = F.zip_with(gaps, F.transform(hits, lambda h: F.concat(h["lead"], h["pseudonym"])), lambda g, h: F.concat(g, F.coalesce(h, F.lit(""))))
+    valid = F.filter(hits, lambda h: h["kind"].isNotNull())
+    shown = F.transform(valid, lambda h: F.struct(*(h[n].alias(n) for n in ("kind", "value", "pseudonym"))))
+    out = found.withColumns({"text": F.when(any_hit, F.array_join(put, "")).otherwise(text), finds: shown})
     return out.drop(hits, gaps)
 
 

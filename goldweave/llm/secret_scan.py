@@ -26,6 +26,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from goldweave.llm.ids import free_mark
+
 #: kind -> (pattern, group whose length counts, least length), in the order in which kinds sort.
 BASE = {
     "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
@@ -209,9 +211,7 @@ def _redacted(text: Column, spans: Column) -> Column:
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with each secret replaced by its kind and n_chars set to the new length."""
-    mark = "_secret"
-    while any(c.startswith(mark) for c in docs.columns):
-        mark += "_"
+    mark = free_mark(docs.columns, "_secret")
     found = scan(docs, mark)
     spans = F.col(f"{mark}spans")
     out = found.withColumn("text", F.when(F.size(spans) > 0, _redacted(F.col("text"), spans)).otherwise(F.col("text")))

@@ -8,7 +8,7 @@ Defined results: a null key is one more key value, whose rows share a shard but
 numbered by many tasks; null text has size 8 (the framing) and CRC 0; very long texts
 count whole; repeated rows share a shard and get slots of their own; an empty table gives
 an empty result; extra columns are ignored, and where ``shard`` or ``grown_shard`` is
-taken, ``assign_shards`` adds an underscore to its own.
+taken in any case, ``assign_shards`` adds an underscore to its own.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from goldweave.llm.ids import free_name
 from goldweave.llm.storage import materialize
 
 SHARDS = 24
@@ -58,9 +59,7 @@ def jump_column(key: Column, buckets: int) -> Column:
 def assign_shards(df: DataFrame, key: str, shards: int = SHARDS) -> DataFrame:
     """``df`` with ``shard`` and ``grown_shard`` (the shard among one more)."""
     mixed = F.xxhash64(F.col(key))
-    names = ["shard", "grown_shard"]
-    while set(names) & set(df.columns):
-        names = [f"{n}_" for n in names]
+    names = [free_name(df.columns, n) for n in ("shard", "grown_shard")]
     return df.withColumns({names[0]: jump_column(mixed, shards), names[1]: jump_column(mixed, shards + 1)})
 
 

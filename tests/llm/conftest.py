@@ -21,3 +21,12 @@ def empty(odd):
 @pytest.fixture(scope="session")
 def small(spark):
     return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+
+@pytest.fixture(scope="session")
+def shouted(odd):
+    """The odd texts with columns that operators' own names only differ from by case."""
+    from pyspark.sql import functions as F
+
+    names = ("PII", "_PII_hits", "_Prediction", "_COPY_key", "_COPY_prefix", "_SECRET_scanned", "SHARD", "Grown_Shard", "_TEXT_KEY", "_Text_Key_id")
+    return odd.drop("shard").withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for n in names})

@@ -390,7 +390,7 @@ def valid(text, kind):
     digits = re.sub(r"\D", "", text)
     if kind == "email":
         name, host = text.split("@")
-        return len(name) < 65 and all(re.fullmatch("[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?", x) for x in host.split(".")) and host[-1].isalpha()
+        return name and all(re.fullmatch("[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?", x) for x in host.split(".")) and host[-1].isalpha()
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
     if kind == "ssn":
@@ -403,13 +403,66 @@ def valid(text, kind):
     return plain_date(text) is not None if kind == "date" else 8 <= len(digits) <= 15
 
 
+OWN = {
+    "iban": "[A-Z][A-Z][0-9][0-9]( ?[A-Z0-9]{4}){2,7}( ?[A-Z0-9]{1,3})?",
+    "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
+    "ssn": "[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "card": "[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}",
+    "date": "(19|20)[0-9]{2}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}[./][0-9]{1,2}[./](19|20)[0-9]{2}",
+    "phone": r"\+[0-9]{1,3}([ .-]?\([0-9]{1,4}\))?([ .-]?[0-9]{2,4}){2,5}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}",
+}
+NAME_CHARS = string.ascii_letters + string.digits + "._%+-"
+
+
+def plain_mail(text, i, last):
+    """Where a mail address ends that begins with the run at i, or there behind the last find, by hand; or None."""
+    if i != last and text[i - 1] in NAME_CHARS:
+        return None
+    at = i
+    while at < len(text) and text[at] in NAME_CHARS:
+        at += 1
+    if at == i or text[at : at + 1] != "@":
+        return None
+    end, label = None, at + 1
+    for _ in range(127):
+        stop = label
+        while stop < len(text) and stop - label < 63 and text[stop] in string.ascii_letters + string.digits + "-":
+            stop += 1
+        part, after = text[label:stop], text[stop : stop + 1]
+        letters = len(part) - len(part.lstrip(string.ascii_letters))
+        if label > at + 1 and letters >= 2 and text[label + letters : label + letters + 1] not in {*string.ascii_letters, *string.digits} - {""}:
+            end = label + letters
+        if after != "." or not part or part[0] == "-" or part[-1] == "-":
+            break
+        label = stop + 1
+    return end
+
+
 def plain_finds(text):
-    """(kind, value, start) of valid values, by the published patterns one at a time."""
-    out = []
-    for m in re.finditer(pii.ANY, text):
-        kind = next((k for k in pii.KINDS if re.fullmatch(pii.PATTERNS[k], m.group()) and valid(m.group(), k)), None)
-        if kind:
-            out.append((kind, m.group(), m.start()))
+    """(kind, value, start) of valid values, from left to right, with patterns of the test's own."""
+    out, i, last = [], 0, 0
+    word = string.ascii_letters + string.digits + "_"
+    while i < len(text):
+        end = plain_mail(text, i, last)
+        if end is None and not (i and (text[i - 1] in word + "+@" or (text[i - 1] in ".,-" and i > 1 and text[i - 2].isdigit()))):
+            for k in pii.KINDS[1:] if text[i] in "+(0123456789" or text[i].isupper() else ():
+                ends = [e for e in range(min(len(text), i + 59), i, -1) if re.fullmatch(OWN[k], text[i:e]) and not re.match(r"[A-Za-z0-9_@]|[.,-][0-9]", text[e:])]
+                if ends:
+                    end = ends[0]
+                    break
+            if end is None and (m := re.compile("(19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?=T[0-9]{2}:?[0-9]{2})").match(text, i)):
+                end = m.end()
+        if end is None:
+            i += 1
+            continue
+        hit = text[i:end]
+        if "@" in hit:
+            value = hit.lstrip(".%-")
+            if re.search("[A-Za-z0-9].*@", value):
+                out.append(("email", value, end - len(value)))
+        elif kind := next((k for k in pii.KINDS[1:] if re.fullmatch(OWN[k], hit) and valid(hit, k)), None):
+            out.append((kind, hit, i))
+        i = last = end
     return out
 
 
@@ -451,6 +504,28 @@ def test_pseudonyms_against_a_plain_network(spark):
     assert pii.pseudonymize(again, KEY).columns == ["doc_id", "text", "pii", "pii_"]
 
 
+def test_mail_names_of_any_length_and_edge(spark):
+    rng = random.Random(5)
+    names = ["a" * n for n in (64, 65, 200, 5000)] + ["a.b" * 30, "_user", "+tag", "-dash", "..dots", "%x", "u_", "a" * 127 + "." + "b" * 3, "".join(rng.choices("ab1._%+-", k=777)) + "z"]
+    mails = [f"{n}@{h}" for n in names for h in ("host.com", "a-b.c.org")]
+    texts = [rng.choice(["", "see ", "(", "1-"]) + m + rng.choice(["", "_", ".", "@x", "-", "-5", ",1", ")"]) for m in mails] + ["._-@host.com", "john@host.com1", "a@b.c", "@host.com"] + [f"x@{m}" for m in mails]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pseudonyms = {}
+    for r in pii.pseudonymize(df, KEY).collect():
+        t, finds = texts[r["doc_id"]], plain_finds(texts[r["doc_id"]])
+        assert [(p["kind"], p["value"]) for p in r["pii"]] == [f[:2] for f in finds], t[:90]
+        if r["doc_id"] < len(mails):
+            ((_, value, start),) = finds
+            new = r["pii"][0]["pseudonym"]
+            assert r["text"] == t[:start] + new + t[start + len(value) :] and len(new) == len(value) + len(".example")
+            assert re.sub("[A-Za-z0-9]", "x", new.split("@")[0]) == re.sub("[A-Za-z0-9]", "x", value.split("@")[0])
+            assert len(value) < 20 or value.split("@")[0].lower() not in r["text"]
+            assert pseudonyms.setdefault(value.lower(), new) == new
+        elif not finds:
+            assert r["text"] == t
+    assert len(set(pseudonyms.values())) == len(pseudonyms)
+
+
 def test_different_values_have_different_pseudonyms(spark):
     mails = [f"{a}{b}@{c}.{t}" for a in "ab1" for b in ("", ".x", "-y2") for c in ("m", "ab", "a-b", "a.b") for t in ("com", "org")]
     start = datetime.date(1990, 1, 1)
@@ -527,6 +602,26 @@ def plain_language(model, text):
     return model.langs[loss.index(order[0])], math.tanh(4 * (order[1] - order[0]))
 
 
+def test_training_rows_keep_their_bound(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["lang"], r["h"], r["text"]) for r in language_id.training_rows(docs, per_lang=40).collect()]
+    assert max(Counter(x[0] for x in rows).values()) == 40
+    known = docs.filter("lang is not null").filter(~language_id.held_out(docs["doc_id"])).filter(F.col("text").rlike(r"\\p{L}") & (F.octet_length("text") <= language_id.TRAIN_BYTES))
+    all_rows = {(r["lang"], r["h"], r["text"]) for r in known.select("lang", F.expr("pmod(xxhash64(text), 1L << 40) h"), "text").collect()}
+    for lang in {x[0] for x in all_rows}:
+        assert sorted(x for x in rows if x[0] == lang) == sorted(x for x in all_rows if x[0] == lang)[:40]
+    copies = spark.createDataFrame([(None, "the same text", "en")] * 500 + [(i, f"ein text {i}", "de") for i in range(100)], "doc_id long, text string, lang string")
+    assert Counter(r["lang"] for r in language_id.training_rows(copies, per_lang=30).collect()) == {"en": 1, "de": 30}
+
+
+def test_long_texts_are_counted_in_parts(monkeypatch):
+    text = "Wörter und words, 12 " * 3000
+    whole = language_id.counts([text])
+    monkeypatch.setattr(language_id, "CHUNK_BYTES", 1001)
+    assert (language_id.counts([text]) == whole).all()
+    assert [len(p) for p in language_id._chunks(["a", text, "b"])] == [1, 1, 1]
+
+
 def test_languages_against_plain_decoding(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = language_id.train(docs)

@@ -192,3 +192,14 @@ def test_long_words_of_pieces(library):
     texts += ["".join(rng.choice(f) for _ in range(200)) for f in few]
     for t, (ids, _, _) in zip(texts, sentencepieces.Encoder(model).encode_batch(texts), strict=True):
         assert ids == ",".join(map(str, library.encode(t))), t
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "\t", "x", "!", "é", "a b"])
+def test_packing_takes_a_megabyte_of_one_kind(unit, spark):
+    """Runs that are too long for the library's pattern, added tokens beside them."""
+    text = "a" + unit * (1_048_576 // len(unit)) + "<|endoftext|> b"
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = tokenizer.encode(text, add_special_tokens=False).ids
+    assert packing.token_ids(packing.load_ranks(RANKS), RANKS, text) == ids
+    pieces = packing.pack_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), RANKS).collect()
+    assert sum(p["length"] for p in pieces) == len(ids) + 1
