@@ -52,24 +52,24 @@ def contributions(t: Tables) -> DataFrame:
     return t.spark.sql(CONTRIBUTION_SQL.format(s="STRING"))
 
 
-@query("e1_match_keys", f"WITH {KEYS_SQL} SELECT id, kind, value, barred FROM keys", whole=True)
+@query("e1_match_keys", f"WITH {KEYS_SQL} SELECT id, kind, value, barred FROM keys")
 def e1(t: Tables) -> DataFrame:
     return I.match_keys(contributions(t))
 
 
-@query("e2_shared_addresses", f"WITH {KEYS_SQL} SELECT email FROM shared", whole=True)
+@query("e2_shared_addresses", f"WITH {KEYS_SQL} SELECT email FROM shared")
 def e2(t: Tables) -> DataFrame:
     return I.shared_addresses(contributions(t))
 
 
-@query("e2b_ambiguous_names", f"WITH {KEYS_SQL} SELECT candidate FROM amb", whole=True)
+@query("e2b_ambiguous_names", f"WITH {KEYS_SQL} SELECT candidate FROM amb")
 def e2b(t: Tables) -> DataFrame:
     c = contributions(t)
     return I.ambiguous_names(c, I.shared_addresses(c))
 
 
 @query("e3_emails_conflict", f"""WITH {C_SQL} SELECT person FROM c WHERE email IS NOT NULL GROUP BY 1
-HAVING count(DISTINCT CASE WHEN verified THEN email END) > 1 OR (count(DISTINCT CASE WHEN verified THEN email END) = 0 AND count(DISTINCT CASE WHEN NOT verified THEN email END) > 1)""", whole=True)
+HAVING count(DISTINCT CASE WHEN verified THEN email END) > 1 OR (count(DISTINCT CASE WHEN verified THEN email END) = 0 AND count(DISTINCT CASE WHEN NOT verified THEN email END) > 1)""")
 def e3(t: Tables) -> DataFrame:
     return I.conflict(contributions(t), "person")
 
@@ -78,24 +78,24 @@ def e3(t: Tables) -> DataFrame:
 WITH RECURSIVE c AS (SELECT DISTINCT o_custkey AS id, o_orderdate AS d, o_orderpriority AS p FROM orders),
 e AS (SELECT DISTINCT a.id AS u, b.id AS v FROM c a JOIN c b USING (d, p) WHERE a.id <> b.id),
 r(node, label) AS (SELECT DISTINCT id, id FROM c UNION SELECT e.v, r.label FROM r JOIN e ON e.u = r.node WHERE r.label < e.v)
-SELECT node AS o_custkey, min(label) AS component FROM r GROUP BY 1""", whole=True)
+SELECT node AS o_custkey, min(label) AS component FROM r GROUP BY 1""")
 def e4(t: Tables) -> DataFrame:
     rows = t.orders
     edges = G.star_edges(rows, "o_custkey", "o_orderdate", "o_orderpriority")
     return G.label_all(rows.select("o_custkey").distinct(), "o_custkey", edges)
 
 
-@query("e5_profile_links", f"""WITH {C_SQL}, h AS (SELECT linkedin, min(id) AS u FROM c WHERE linkedin IS NOT NULL GROUP BY 1) SELECT h.u, c.id AS v FROM c JOIN h USING (linkedin) WHERE c.id <> h.u""", whole=True)
+@query("e5_profile_links", f"""WITH {C_SQL}, h AS (SELECT linkedin, min(id) AS u FROM c WHERE linkedin IS NOT NULL GROUP BY 1) SELECT h.u, c.id AS v FROM c JOIN h USING (linkedin) WHERE c.id <> h.u""")
 def e5(t: Tables) -> DataFrame:
     return G.star_edges(contributions(t).filter("linkedin is not null"), "id", "linkedin")
 
 
-@query("e7_clusters", f"WITH RECURSIVE {CLUSTER_SQL} SELECT id, cluster FROM g", whole=True)
+@query("e7_clusters", f"WITH RECURSIVE {CLUSTER_SQL} SELECT id, cluster FROM g")
 def e7(t: Tables) -> DataFrame:
     return I.clusters(contributions(t))
 
 
-@query("e8_cannot_link", f"WITH RECURSIVE {CLUSTER_SQL} SELECT cluster, count(DISTINCT linkedin) AS profiles, count(DISTINCT name) AS names FROM g JOIN c USING (id) GROUP BY 1 HAVING count(linkedin) > 0", whole=True)
+@query("e8_cannot_link", f"WITH RECURSIVE {CLUSTER_SQL} SELECT cluster, count(DISTINCT linkedin) AS profiles, count(DISTINCT name) AS names FROM g JOIN c USING (id) GROUP BY 1 HAVING count(linkedin) > 0")
 def e8(t: Tables) -> DataFrame:
     """Clusters that hold a profile, and how many: never more than one, however many names and addresses would join them."""
     c = contributions(t)
@@ -104,7 +104,7 @@ def e8(t: Tables) -> DataFrame:
 
 
 @query("e9_cluster_ids", f"""WITH RECURSIVE {CLUSTER_SQL}
-SELECT cluster, arg_min(sha256(CAST(id AS VARCHAR)), (fetched_at, CAST(id AS VARCHAR))) AS cluster_id FROM g JOIN c USING (id) GROUP BY 1""", whole=True)
+SELECT cluster, arg_min(sha256(CAST(id AS VARCHAR)), (fetched_at, CAST(id AS VARCHAR))) AS cluster_id FROM g JOIN c USING (id) GROUP BY 1""")
 def e9(t: Tables) -> DataFrame:
     c = contributions(t)
     return I.cluster_ids(c, I.clusters(c), F.col("id").cast("string"))
@@ -114,7 +114,7 @@ def e9(t: Tables) -> DataFrame:
 h AS (SELECT person AS record, min(cluster) AS owner, count(DISTINCT cluster) AS owners FROM c JOIN g USING (id) WHERE id IN (SELECT id FROM keys) GROUP BY 1),
 loose AS (SELECT id, person AS record FROM c WHERE id NOT IN (SELECT id FROM keys)), least AS (SELECT record, min(id) AS least FROM loose GROUP BY 1)
 SELECT g.id, coalesce(CASE WHEN loose.id IS NULL THEN NULL WHEN owners IS NULL THEN least WHEN owners = 1 THEN owner ELSE loose.id END, g.cluster) AS cluster
-FROM g LEFT JOIN loose USING (id) LEFT JOIN h USING (record) LEFT JOIN least USING (record)""", whole=True)
+FROM g LEFT JOIN loose USING (id) LEFT JOIN h USING (record) LEFT JOIN least USING (record)""")
 def e10(t: Tables) -> DataFrame:
     c = contributions(t)
     keys = I.match_keys(c)
@@ -148,24 +148,24 @@ def e13(t: Tables) -> DataFrame:
 
 @query("e15_blocked_identities", f"""WITH {C_SQL}, ids AS (SELECT id, 'l:' || linkedin AS identity FROM c WHERE linkedin IS NOT NULL UNION SELECT id, 'e:' || email FROM c WHERE email IS NOT NULL),
 f AS (SELECT id, 'opt_out' AS flag, CAST(id % 3 AS VARCHAR) AS source FROM c WHERE id % 40 = 0), b AS (SELECT DISTINCT identity, flag, source FROM ids JOIN f USING (id))
-SELECT DISTINCT ids.id, flag, source FROM ids JOIN b USING (identity)""", whole=True)
+SELECT DISTINCT ids.id, flag, source FROM ids JOIN b USING (identity)""")
 def e15(t: Tables) -> DataFrame:
     c = contributions(t)
     return I.blocked_identities(c, c.filter("id % 40 = 0").select("id", F.lit("opt_out").alias("flag"), (F.col("id") % 3).cast("string").alias("source")))
 
 
-@query("d3_prune_flagged", f"WITH RECURSIVE {CLUSTER_SQL} SELECT id, person FROM c JOIN g USING (id) WHERE cluster NOT IN (SELECT cluster FROM g WHERE id % 40 = 0)", whole=True)
+@query("d3_prune_flagged", f"WITH RECURSIVE {CLUSTER_SQL} SELECT id, person FROM c JOIN g USING (id) WHERE cluster NOT IN (SELECT cluster FROM g WHERE id % 40 = 0)")
 def d3(t: Tables) -> DataFrame:
     c = contributions(t)
     return I.prune_flagged(c, I.clusters(c), c.filter("id % 40 = 0")).select("id", "person")
 
 
-@query("d13_unambiguous_questions", f"WITH {C_SQL} SELECT id, email FROM c WHERE email IN (SELECT email FROM c GROUP BY 1 HAVING count(DISTINCT person) <= 1)", whole=True)
+@query("d13_unambiguous_questions", f"WITH {C_SQL} SELECT id, email FROM c WHERE email IN (SELECT email FROM c GROUP BY 1 HAVING count(DISTINCT person) <= 1)")
 def d13(t: Tables) -> DataFrame:
     return I.unambiguous(contributions(t).filter("email is not null"), "email", "person").select("id", "email")
 
 
-@query("f12_over_merged", f"WITH RECURSIVE {CLUSTER_SQL} SELECT cluster, count(DISTINCT name) AS names FROM g JOIN c USING (id) GROUP BY 1 HAVING count(DISTINCT name) > 1", whole=True)
+@query("f12_over_merged", f"WITH RECURSIVE {CLUSTER_SQL} SELECT cluster, count(DISTINCT name) AS names FROM g JOIN c USING (id) GROUP BY 1 HAVING count(DISTINCT name) > 1")
 def f12(t: Tables) -> DataFrame:
     c = contributions(t)
     return I.over_merged(c, I.clusters(c))
@@ -198,7 +198,7 @@ def e22(t: Tables) -> DataFrame:
 @query("e32_strong_person_labels", f"""WITH RECURSIVE {KEYS_SQL}, st AS (SELECT id, kind, value FROM keys WHERE kind < 3 AND NOT barred),
 e AS (SELECT DISTINCT a.id AS u, b.id AS v FROM st a JOIN st b USING (kind, value) WHERE a.id <> b.id),
 r(node, label) AS (SELECT id, id FROM c UNION SELECT e.v, r.label FROM r JOIN e ON e.u = r.node WHERE r.label < e.v), g AS (SELECT node AS id, min(label) AS person FROM r GROUP BY 1)
-SELECT g.person, min(c.linkedin) AS linkedin FROM g JOIN c USING (id) GROUP BY 1 HAVING count(DISTINCT c.linkedin) = 1""", whole=True)
+SELECT g.person, min(c.linkedin) AS linkedin FROM g JOIN c USING (id) GROUP BY 1 HAVING count(DISTINCT c.linkedin) = 1""")
 def e32(t: Tables) -> DataFrame:
     c = contributions(t).drop("person")
     strong = I.match_keys(c).filter("kind < 3 and not barred")

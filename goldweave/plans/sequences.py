@@ -105,7 +105,7 @@ def g7(t: Tables) -> DataFrame:
     return t.orders.groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("anchor"))
 
 
-@query("g8_report_order", "SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey)::INTEGER AS place FROM orders", whole=True)
+@query("g8_report_order", "SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey)::INTEGER AS place FROM orders")
 def g8(t: Tables) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2)
     ranked = S.number_all(t.orders.select("o_orderkey", "o_totalprice", status.alias("status")), "status", F.desc("o_totalprice"), "o_orderkey")
