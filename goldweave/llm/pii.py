@@ -124,14 +124,17 @@ def refill(shape: Column, filler: Column, what: str = "[0-9]") -> Column:
     """``shape`` with its characters of the class ``what`` replaced in order by those of ``filler``."""
     start = F.struct(F.lit("").alias("s"), F.lit(1).alias("i"))
 
-    def step(acc: Column, c: Column) -> Column:
-        free = c.rlike(f"^{what}$")
-        return F.struct(
-            F.concat(acc["s"], F.when(free, F.substring(filler, acc["i"], F.lit(1))).otherwise(c)).alias("s"),
-            F.when(free, acc["i"] + 1).otherwise(acc["i"]).alias("i"),
-        )
+    def put(fill: Column) -> Column:
+        def step(acc: Column, c: Column) -> Column:
+            free = c.rlike(f"^{what}$")
+            return F.struct(
+                F.concat(acc["s"], F.when(free, F.substring(fill, acc["i"], F.lit(1))).otherwise(c)).alias("s"),
+                F.when(free, acc["i"] + 1).otherwise(acc["i"]).alias("i"),
+            )
 
-    return F.aggregate(F.split(shape, ""), start, step, lambda acc: acc["s"])
+        return F.aggregate(F.split(shape, ""), start, step, lambda acc: acc["s"])
+
+    return _bind(filler, put)  # else every character would make the filler anew
 
 
 def luhn_sum(number: Column) -> Column:
@@ -207,9 +210,9 @@ def _walk(value: Column, move, fits) -> Column:
 def in_blocks(text: Column, use, tweak: Column) -> Column:
     """``use(part, tweak)`` of parts of MAIL_BLOCK characters, joined; parts of a longer text get tweaks of their own."""
     n = F.char_length(text)
-    several = lambda part, i: use(part, F.concat_ws("|", tweak, n.cast("string"), i.cast("string")))
     parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{MAIL_BLOCK}}}"), F.lit(0))
-    return F.when(n <= MAIL_BLOCK, use(text, tweak)).otherwise(F.array_join(F.transform(parts, several), ""))
+    several = lambda head: F.array_join(F.transform(parts, lambda part, i: use(part, F.concat_ws("|", head, i.cast("string")))), "")
+    return F.when(n <= MAIL_BLOCK, use(text, tweak)).otherwise(_bind(F.concat_ws("|", tweak, n.cast("string")), several))
 
 
 def _email(text: Column, key: str) -> Column:

@@ -538,7 +538,7 @@ def test_different_values_have_different_pseudonyms(spark):
 
 def test_pseudonyms_in_a_megabyte(spark):
     """Dotted names, digits, dashes, at signs and prose, a megabyte each."""
-    texts = ["a@" + "b." * 500_000 + "1", "a." * 500_000 + "a@b.com", "1" * 10**6, "-" * 10**6, "1-" * 500_000, "a@b." * 250_000, "+1 " * 330_000, "A1 " * 330_000, "word " * 200_000, "12.12." * 170_000]
+    texts = ["a@" + "b." * 500_000 + "1", "a." * 10_000 + "a@b.com " + "a." * 490_000, "1" * 10**6, "-" * 10**6, "1-" * 500_000, "a@b." * 250_000, "+1 " * 330_000, "A1 " * 330_000, "word " * 200_000, "12.12." * 170_000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(len(texts), "doc_id")
     begin = time.monotonic()
     got = {r["doc_id"]: r for r in pii.pseudonymize(df, KEY).collect()}
