@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("scalars", "identity", "resolution", "evidence", "sequences", "reports", "storage", "providers", "assembly")
+MODULES = ("scalars", "identity", "resolution", "evidence", "sequences", "reports", "storage", "providers", "assembly", "incremental")
 
 
 def load() -> None:
