@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import base64
+import json
 import unicodedata
+from array import array
+from functools import lru_cache
+from urllib.parse import quote, quote_plus
 
 import pandas as pd
 from pyspark.sql import Column
@@ -151,29 +156,106 @@ MASK = "***"
 
 
 def secret_forms(secrets: list[str]) -> list[str]:
-    """The secrets and the ways in which they may be written down, and overlaps of two of them, longest first."""
-    import base64
-    import json
-    from urllib.parse import quote, quote_plus
-
+    """The secrets and the ways in which they may be written down: a bounded number for each, longest first."""
     forms: set[str] = set()
     for secret in secrets:
         for s in {secret, secret.strip()} - {""}:
             raw = s.encode()
             forms |= {s, quote(s, safe=""), quote_plus(s), json.dumps(s)[1:-1], base64.b64encode(raw).decode().rstrip("="), base64.urlsafe_b64encode(raw).decode().rstrip("="), raw.hex()}
-    forms = {f for f in forms if len(f) >= WORD_CHARS and f.strip()}
-    joined = {a + b[n:] for a in forms for b in forms for n in range(1, min(len(a), len(b))) if len(a) >= PART_CHARS and len(b) >= PART_CHARS and a.endswith(b[:n])}
-    return sorted(forms | joined, key=lambda f: (-len(f), f))
+    return sorted((f for f in forms if len(f) >= WORD_CHARS and f.strip()), key=lambda f: (-len(f), f))
+
+
+class Automaton:
+    """All forms in one trie with failure links; a text is read once, whatever their number.
+
+    ``step`` holds the trie's arcs by (state, character) as one number, ``longest`` the
+    longest form of PART_CHARS or more that ends in a state, ``short`` the lengths of the
+    shorter ones, which count only as words of their own.
+    """
+
+    def __init__(self, forms: list[str]):
+        self.step: dict[int, int] = {}
+        self.fail, self.longest = array("q", [0]), array("q", [0])
+        self.short: dict[int, tuple[int, ...]] = {}
+        depth_first: list[list[tuple[int, int, int]]] = []  # arcs (state, character, to) by depth
+        for f in forms:
+            state = 0
+            for depth, c in enumerate(map(ord, f)):
+                to = self.step.get(state << 21 | c)
+                if to is None:
+                    to = self.step[state << 21 | c] = len(self.fail)
+                    self.fail.append(0), self.longest.append(0)
+                    while len(depth_first) <= depth:
+                        depth_first.append([])
+                    depth_first[depth].append((state, c, to))
+                state = to
+            if len(f) >= PART_CHARS:
+                self.longest[state] = len(f)
+            else:
+                self.short[state] = (len(f),)
+        for arcs in depth_first:
+            for state, c, to in arcs:
+                if state:
+                    self.fail[to] = link = self._next(self.fail[state], c)
+                    self.longest[to] = max(self.longest[to], self.longest[link])
+                    if link in self.short:
+                        self.short[to] = self.short.get(to, ()) + self.short[link]
+
+    def _next(self, state: int, c: int) -> int:
+        while (to := self.step.get(state << 21 | c)) is None and state:
+            state = self.fail[state]
+        return to or 0
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        """Unions of all occurrences that overlap or touch, in order."""
+        step, fail, longest, short = self.step, self.fail, self.longest, self.short
+        out: list[tuple[int, int]] = []
+        state = 0
+        for end, c in enumerate(map(ord, text), 1):
+            while (to := step.get(state << 21 | c)) is None and state:
+                state = fail[state]
+            state = to or 0
+            if not state:
+                continue
+            size = longest[state]
+            for n in short.get(state, ()):
+                if n > size and not (end > n and _in_word(text[end - n - 1])) and not (end < len(text) and _in_word(text[end])):
+                    size = n
+            if size:
+                begin = end - size
+                while out and out[-1][1] >= begin:
+                    begin = min(begin, out.pop()[0])
+                out.append((begin, end))
+        return out
+
+    def mask(self, text: str) -> str:
+        found = self.spans(text)
+        if not found:
+            return text
+        ends = [0, *(b for _, b in found)]
+        return "".join([text[a:b] + MASK for a, (b, _) in zip(ends, found, strict=False)]) + text[ends[-1] :]
+
+
+def _in_word(c: str) -> bool:
+    return c == "_" or (c.isascii() and c.isalnum())
+
+
+@lru_cache(maxsize=4)
+def automaton(secrets: tuple[str, ...]) -> Automaton:
+    """Built once in each worker."""
+    return Automaton(secret_forms(list(secrets)))
 
 
 def redact(text: Column, secrets: list[str]) -> Column:
-    """``text`` with every secret, however it is written, masked."""
-    quoted = lambda f: "".join(c if c.isalnum() else f"\\{c}" if c.isascii() and c.isprintable() else f"\\x{{{ord(c):x}}}" for c in f)
-    forms = secret_forms(secrets)
-    if not forms:
-        return text
-    parts = [quoted(f) if len(f) >= PART_CHARS else f"(?<![A-Za-z0-9_]){quoted(f)}(?![A-Za-z0-9_])" for f in forms]
-    return F.regexp_replace(text, "(?:" + "|".join(parts) + ")+", MASK)
+    """``text`` with every secret, however it is written, masked; what overlaps or touches becomes one mask."""
+    held = tuple(sorted(set(secrets)))
+
+    @F.pandas_udf(T.StringType())
+    def masked(texts: pd.Series) -> pd.Series:
+        mask = automaton(held).mask
+        return texts.map(lambda t: None if t is None else mask(t))
+
+    return masked(text) if secret_forms(list(held)) else text
 
 
 def redact_row(row: Column, secrets: list[str], limit: int = 2000) -> Column:

@@ -6,8 +6,13 @@ confidence. Grades are one grouped aggregation after one for the newest past use
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from goldweave.functions.text import has_any_phrase
 from goldweave.operators.sequence import number_groups
@@ -35,18 +40,40 @@ INJECTION = ("ignore previous", "ignore all", "ignore the above", "disregard", "
 FAMILIES = ("vendor_customer", "job_posting", "code", "own_site", "third_party", "linkedin_public")
 GRADES = ("unverified", "negative", "likely", "verified")
 SKIPPED_ELEMENTS = ("script", "style", "noscript", "template")
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
-
-
-def html_to_text(html: Column) -> Column:
-    """Text of a page without scripts, styles and tags, white space collapsed."""
-    out = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    for e in SKIPPED_ELEMENTS:
-        out = F.regexp_replace(out, rf"(?is)<{e}(\s[^>]*)?>.*?</{e}\s*>", " ")
-    out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+class Events(HTMLParser):
+    """A page as a list of (change of depth, text): tags change the depth of skipped elements, text has none."""
+
+    def reset(self) -> None:
+        super().reset()
+        self.list: list[tuple[int, str]] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.list.append((int(tag in SKIPPED_ELEMENTS), ""))
+
+    def handle_endtag(self, tag: str) -> None:
+        self.list.append((-int(tag in SKIPPED_ELEMENTS), ""))
+
+    def handle_data(self, data: str) -> None:
+        self.list.append((0, data))
+
+
+def page_text(page: str) -> str:
+    """What stands at depth 0, where an end tag without its start changes nothing."""
+    events = Events()
+    events.feed(page)
+    if not events.list:
+        return ""
+    steps = np.cumsum([step for step, _ in events.list])
+    depth = steps - np.minimum(np.minimum.accumulate(steps), 0)
+    return " ".join(" ".join([text for (_, text), d in zip(events.list, depth.tolist(), strict=True) if d == 0]).split())
+
+
+@F.pandas_udf(T.StringType())
+def html_to_text(html: pd.Series) -> pd.Series:
+    """Text of a page without scripts, styles and tags, references resolved, white space collapsed."""
+    return html.map(lambda page: None if page is None else page_text(page))
 
 
 def skip_reason(host: Column, url: Column, snippet_named: Column, disallowed: Column, within_budget: Column, size: Column, limit: int) -> Column:

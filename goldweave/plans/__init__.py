@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("scalars", "identity", "resolution", "evidence", "sequences", "reports", "storage", "providers", "assembly", "incremental")
+MODULES = ("scalars", "identity", "resolution", "evidence", "sequences", "reports", "storage", "providers", "assembly", "incremental", "phrases")
 
 
 def load() -> None:

