@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,8 +42,18 @@ def tally(rows: DataFrame, group: str, outcome: Column) -> DataFrame:
 
 def capped(rows: DataFrame, group: str, value: str, shown: int) -> DataFrame:
     """(group, first, omitted): the first ``shown`` distinct values and how many more there are."""
-    s = rows.groupBy(group).agg(F.array_sort(F.collect_set(value)).alias("v"))
-    return s.select(group, F.array_join(F.slice("v", 1, shown), ",").alias("first"), F.greatest(F.size("v") - shown, F.lit(0)).alias("omitted"))
+    different = rows.select(group, value).distinct()
+    sizes = different.groupBy(group).agg(F.count(value).cast("int").alias("_n"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(value))  # only the first rows of a group leave a task
+    first = different.filter(F.col(value).isNotNull()).withColumn("_place", place).filter(F.col("_place") <= shown)
+    lists = first.groupBy(group).agg(F.array_join(F.array_sort(F.collect_list(value)), ",").alias("first")).withColumnRenamed(group, "_group")
+    out = sizes.join(lists, F.col(group).eqNullSafe(F.col("_group")), "left")
+    return out.select(group, F.coalesce("first", F.lit("")).alias("first"), F.greatest(F.col("_n") - shown, F.lit(0)).alias("omitted"))
+
+
+def leads_of_company(employments: DataFrame, lead: str, company: str, wanted) -> DataFrame:
+    """(lead): who has ever worked at one company; the filter reaches the scan, and nobody else's rows are read further."""
+    return employments.filter(F.col(company) == wanted).select(lead).distinct()
 
 
 def ledger_totals(rows: DataFrame, group: str, cumulative: str, amount: str, seq: str) -> DataFrame:

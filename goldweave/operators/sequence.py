@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,34 +52,6 @@ def tick(events: DataFrame, now: Column, facts: DataFrame, seed: int, rate: floa
     return acted.select("key", F.inline(rows))
 
 
-def throttle(requests: DataFrame, key: str, at: str, order: str, windows: list[tuple[int, float]]) -> DataFrame:
-    """(key, order, waited): seconds each request waits for all refilling windows of its key, first come first served.
-
-    The recurrence needs rows in order; they stream through in sorted batches with one
-    small state a key, so no key's rows are ever held together.
-    """
-    caps = np.array([c for c, _ in windows], float)
-    rates = np.array([c / s for c, s in windows], float)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, tokens, clock = None, caps.copy(), 0.0
-        for pdf in batches:
-            waits = np.zeros(len(pdf))
-            for i, (k, t) in enumerate(zip(pdf[key], pdf[at], strict=True)):
-                if k != current:
-                    current, tokens, clock = k, caps.copy(), float(t)
-                now = max(float(t), clock)
-                tokens = np.minimum(caps, tokens + (now - clock) * rates)
-                wait = max(0.0, float(((1 - tokens) / rates).max()))
-                tokens = np.minimum(caps, tokens + wait * rates) - 1
-                clock = now + wait
-                waits[i] = clock - float(t)
-            yield pd.DataFrame({key: pdf[key], order: pdf[order], "waited": waits})
-
-    rows = requests.select(key, order, at).repartition(key).sortWithinPartitions(key, at, order)
-    return rows.mapInPandas(run, f"{key} {dict(requests.dtypes)[key]}, {order} {dict(requests.dtypes)[order]}, waited double")
-
-
 def backoff_ceiling(attempt: Column, base: float, cap: float) -> Column:
     return F.least(F.lit(cap), F.lit(base) * F.pow(F.lit(2.0), attempt))
 

@@ -150,8 +150,7 @@ def d1(t: Tables) -> DataFrame:
 
 @query("d2_leads_of_company", "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_suppkey = 7")
 def d2(t: Tables) -> DataFrame:
-    leads = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.struct(F.col("l_suppkey").alias("company_id")).alias("company"))).alias("employments"))
-    return leads.filter(F.exists("employments", lambda e: e["company"]["company_id"] == 7)).select("l_orderkey")
+    return P.leads_of_company(t.lineitem, "l_orderkey", "l_suppkey", 7)
 
 
 @query("d4_plan_match", "SELECT user_id FROM events GROUP BY 1 HAVING bool_or(event_type IN ('signup', 'purchase') AND value > 110) OR bool_or(contains(event_type, 'err') AND value > 130)")

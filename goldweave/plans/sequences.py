@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from goldweave.operators import buckets as K
 from goldweave.operators import sequence as S
 from goldweave.plans.registry import Tables, query
 
@@ -76,10 +77,27 @@ def l2(t: Tables) -> DataFrame:
     return S.tick(rows, F.expr(f"timestamp_ntz '{SOON}'"), facts, 7, 0.6, 3).withColumnRenamed("at", "at_")
 
 
-@query("l4_token_bucket")
-def l4(t: Tables) -> DataFrame:
+# Two windows: 2 requests in 300 seconds and 60 in 36,000; p is what a Retry-After adds.
+BUCKET_SQL = """WITH RECURSIVE e AS (SELECT event_type, event_id, epoch_us(ts) AS t, {pause} AS p, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts), event_id) AS i FROM events),
+r(event_type, i, event_id, t, x, y, f1, f2) AS (SELECT event_type, i, event_id, t, t, t + p, t + 150000000, t + 600000000 FROM e WHERE i = 1
+  UNION ALL SELECT e.event_type, e.i, e.event_id, e.t, z.x, z.x + e.p, greatest(z.x, r.f1) + 150000000, greatest(z.x, r.f2) + 600000000
+  FROM r JOIN e ON e.event_type = r.event_type AND e.i = r.i + 1, LATERAL (SELECT greatest(e.t, r.y, r.f1 - 150000000, r.f2 - 35400000000) AS x) z)
+SELECT event_type, event_id, (x - t) / 1000000 AS waited FROM r"""
+
+
+def requests(t: Tables) -> DataFrame:
     seconds = (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("s")
-    return S.throttle(t.events.select("event_type", "event_id", seconds), "event_type", "s", "event_id", [(2, 300.0), (60, 36000.0)])
+    return t.events.select("event_type", "event_id", seconds, F.when(F.col("event_id") % 10 == 0, 1000.0).alias("retry"))
+
+
+@query("l4_token_bucket", BUCKET_SQL.format(pause="0"))
+def l4(t: Tables) -> DataFrame:
+    return K.throttle(requests(t), "event_type", "s", "event_id", [(2, 300.0), (60, 36000.0)])
+
+
+@query("l4b_retry_after", BUCKET_SQL.format(pause="CASE WHEN event_id % 10 = 0 THEN 1000000000 ELSE 0 END"))
+def l4b(t: Tables) -> DataFrame:
+    return K.throttle(requests(t), "event_type", "s", "event_id", [(2, 300.0), (60, 36000.0)], "retry")
 
 
 @query("l5_backoff_ceiling", "SELECT event_id, least(30.0::DOUBLE, 0.5 * pow(2.0, event_id % 10)) AS ceiling FROM events")

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from goldweave.operators import graph, identity, resolve, sequence, sinks
+from goldweave.operators import buckets, graph, identity, resolve, sequence, sinks
 from goldweave.plans import registry
 from goldweave.plans import resolution as bound
 from goldweave.sources import catalog, fixtures
@@ -117,21 +117,26 @@ def test_tick_twice_appends_once(spark):
     assert sequence.tick(log.unionByName(fresh), now, facts, 3, 0.5, 3).count() == 0
 
 
-def test_throttle_against_a_plain_bucket(spark):
+@pytest.mark.parametrize(("block", "retries"), [(1024, False), (7, False), (1, True), (16, True)])
+def test_throttle_against_a_plain_bucket(spark, block, retries):
     rng = random.Random(2)
     rows = sorted((rng.choice("ab"), round(rng.random() * 60, 3), i) for i in range(200))
     windows = [(2, 1.0), (20, 30.0)]
-    want, state = {}, {}
+    want, state, pause = {}, {}, {}
+    retry = {i: rng.choice([None, 0.5, 3.0]) if retries else None for _, _, i in rows}
     for key, at, i in rows:
         tokens, clock = state.get(key, ([c for c, _ in windows], at))
-        now = max(at, clock)
+        now = max(at, clock + pause.get((key, clock), 0))
         tokens = [min(c, x + (now - clock) * c / s) for x, (c, s) in zip(tokens, windows)]
         wait = max([0.0] + [(1 - x) * s / c for x, (c, s) in zip(tokens, windows)])
         state[key] = [min(c, x + wait * c / s) - 1 for x, (c, s) in zip(tokens, windows)], now + wait
         want[i] = now + wait - at
-    df = spark.createDataFrame(rows, "key string, at double, i long")
-    for r in sequence.throttle(df, "key", "at", "i", windows).collect():
-        assert r["waited"] == pytest.approx(want[r["i"]], abs=1e-9)
+        pause[key, now + wait] = retry[i] or 0
+    df = spark.createDataFrame([(*r, retry[r[2]]) for r in rows], "key string, at double, i long, retry double")
+    got = buckets.throttle(df, "key", "at", "i", windows, "retry", block).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["waited"] == pytest.approx(want[r["i"]], abs=1e-6)
 
 
 def test_unmapped_leaves(spark):
