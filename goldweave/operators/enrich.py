@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from goldweave.functions.text import normalize_email
+
 RUNGS = ("id", "linkedin", "email", "name_domain", "name_org")
 
 
@@ -78,3 +80,37 @@ def until_short_page(pages: DataFrame, ask: str, page: str, found: str, per_page
     gap = F.array_min(F.array_except(F.sequence(F.lit(1), F.lit(cap)), "_held"))
     ends = ends.select(ask, F.least(F.coalesce("_short", F.lit(cap)), F.coalesce(gap - 1, F.lit(cap)), F.lit(cap)).alias("_last"))
     return pages.join(ends, ask).filter(F.col(page) <= F.col("_last")).drop("_last")
+
+
+def ask_once(leads: DataFrame, key: str, route_: Column, question: Column) -> tuple[DataFrame, DataFrame]:
+    """Questions (route, question), each once, and which lead waits for which: (key, route, question)."""
+    waits = leads.select(key, route_.alias("route"), question.alias("question")).filter("route is not null and question is not null")
+    return waits.select("route", "question").distinct(), waits
+
+
+def answered(waits: DataFrame, answers: DataFrame) -> DataFrame:
+    """``waits`` with the columns of ``answers`` (route, question, ...): one answer serves all who wait for it."""
+    return waits.join(answers, ["route", "question"])
+
+
+def echoes(requesters: DataFrame, contacts: DataFrame) -> DataFrame:
+    """(email, reason, linkedin, verified): whose identity a found contact may echo, or why it is withheld.
+
+    ``requesters`` is (email, linkedin, name, verified), ``contacts`` (email, own), the
+    address that was asked for and the one that the contact itself states.  A contact
+    counts only if it is the only one and states that address; an identity is echoed only
+    where all requesters are one person.
+    """
+    asked = requesters.groupBy("email").agg(
+        F.count_distinct("linkedin").alias("profiles"), F.count_distinct("name").alias("names"), F.min("linkedin").alias("linkedin"), F.bool_or("verified").alias("verified")
+    )
+    found = contacts.groupBy("email").agg(F.count("*").alias("n"), F.min("own").alias("own"))
+    several = (F.col("profiles") > 1) | (F.col("names") > 1)
+    own = normalize_email(F.col("own"))
+    reason = (
+        F.when(F.col("n") > 1, "multiple_contacts").when(F.coalesce(F.trim("own"), F.lit("")) == "", "email_unconfirmed")
+        .when(~own.eqNullSafe(F.col("email")), "email_mismatch").when(several, "two_people")
+    )
+    rows = asked.join(found, "email").select("email", reason.alias("reason"), "linkedin", "verified")
+    may = F.col("reason").isNull()
+    return rows.select("email", "reason", F.when(may, F.col("linkedin")).alias("linkedin"), F.when(may & F.col("verified"), F.col("email")).alias("verified"))

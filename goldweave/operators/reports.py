@@ -35,6 +35,20 @@ def breakdown(rows: DataFrame, wanted: str, got: str) -> DataFrame:
     return n.groupBy(wanted).agg(right.alias("right"), F.array_join(wrong, ",").alias("wrong"))
 
 
+def confusion(rows: DataFrame, wanted: str, got: str) -> DataFrame:
+    """(wanted, got, n, share): how often each answer was given, and its share of the wanted label; no answer is ``dropped``."""
+    n = rows.groupBy(wanted, F.coalesce(F.col(got).cast("string"), F.lit("dropped")).alias(got)).agg(F.count("*").alias("n"))
+    every = n.groupBy(wanted).agg(F.sum("n").alias("_all")).withColumnRenamed(wanted, "_wanted")
+    return n.join(every, F.col(wanted).eqNullSafe(F.col("_wanted"))).select(wanted, got, "n", (F.col("n") / F.col("_all")).alias("share"))
+
+
+def match_answers(records: DataFrame, answers: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(id, person): who of ``answers`` (person, one column a kind) a record (id, the same columns) is, by the first kind that finds someone."""
+    flat = lambda df, key: df.select(key, F.inline(F.array(*[F.struct(F.lit(i).alias("_rank"), F.col(k).alias("_value")) for i, k in enumerate(kinds)]))).filter("_value is not null")
+    hits = flat(records, "id").join(flat(answers, "person"), ["_rank", "_value"])
+    return hits.groupBy("id").agg(F.min_by("person", F.struct("_rank", "person")).alias("person"))
+
+
 def tally(rows: DataFrame, group: str, outcome: Column) -> DataFrame:
     """(group, passed, failed, skipped) of a three-valued outcome."""
     return rows.groupBy(group).agg(F.count_if(outcome).alias("passed"), F.count_if(~outcome).alias("failed"), F.count_if(outcome.isNull()).alias("skipped"))

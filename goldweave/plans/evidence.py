@@ -71,18 +71,20 @@ WHY_SQL = """CASE WHEN ex IS NOT NULL THEN ex WHEN grade = 'negative' THEN 'usag
  WHEN fit <> 'core' THEN 'person_not_core' WHEN boosted THEN 'likely_core_boosted' ELSE 'person_unboosted' END"""
 
 
-@query("k10_verdict_matrix", f"""WITH m AS (SELECT * FROM (VALUES ('verified', 'x'), ('likely', 'x'), ('negative', 'x'), ('unverified', 'technographic_only'), ('unverified', 'x')) a(grade, reason), (VALUES ('core'), ('adjacent'), ('irrelevant')) b(fit),
-(VALUES (true), (false)) c(boosted), (VALUES ('verified_only'), ('verified_and_likely')) d(strictness), (VALUES ('left_company'), (NULL)) e(ex))
-SELECT grade, reason AS grade_reason, fit, boosted, strictness, ex AS exclusion, {VERDICT_SQL} AS status, {WHY_SQL} AS reason FROM m""")
+@query("k10_verdict_matrix", f"""WITH {GRADE_SQL}, m AS (SELECT company, product, grade, reason, p_partkey AS person, {FIT_SQL} AS fit, p_size % 7 < 3 AS boosted, CASE WHEN p_partkey % 2 = 0 THEN 'verified_only' ELSE 'verified_and_likely' END AS strictness,
+  CASE WHEN p_partkey % 13 = 0 THEN 'left_company' END AS ex FROM g JOIN part ON p_partkey = company)
+SELECT company, product, person, grade, {VERDICT_SQL} AS status, {WHY_SQL} AS reason FROM m""")
 def k10(t: Tables) -> DataFrame:
-    one = t.spark.range(1)
-    pairs = [("verified", "x"), ("likely", "x"), ("negative", "x"), ("unverified", "technographic_only"), ("unverified", "x")]
-    cells = one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("grade"), F.lit(b).alias("grade_reason")) for a, b in pairs])).alias("p"))
-    for name, values in (("fit", ("core", "adjacent", "irrelevant")), ("boosted", (True, False)), ("strictness", ("verified_only", "verified_and_likely")), ("exclusion", ("left_company", None))):
-        cells = cells.select("*", F.explode(F.array(*map(F.lit, values))).alias(name))
-    cells = cells.select("p.*", "fit", "boosted", "strictness", "exclusion")
-    v = V.verdict(*[F.col(c) for c in ("grade", "grade_reason", "fit", "boosted", "strictness", "exclusion")])
-    return cells.select("*", v["status"].alias("status"), v["reason"].alias("reason"))
+    """Every graded company and product beside the people who work there."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    fit = F.when(size % 4 == 1, "adjacent").when(size % 4 == 2, "irrelevant").otherwise("core")
+    people = t.part.select(
+        key.alias("person"), key.alias("company"), fit.alias("fit"), (size % 7 < 3).alias("boosted"),
+        F.when(key % 2 == 0, "verified_only").otherwise("verified_and_likely").alias("strictness"), F.when(key % 13 == 0, "left_company").alias("exclusion"),
+    )
+    cells = grades(t).join(people, "company")
+    v = V.verdict(*[F.col(c) for c in ("grade", "reason", "fit", "boosted", "strictness", "exclusion")])
+    return cells.select("company", "product", "person", "grade", v.alias("v")).select("company", "product", "person", "grade", "v.status", "v.reason")
 
 
 ROLES = {"core": ("data engineer", "of"), "adjacent": ("the", "en"), "irrelevant": ("license", "und")}

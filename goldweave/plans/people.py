@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from goldweave.operators import enrich as E
 from goldweave.operators import identity as I
 from goldweave.operators import people as P
+from goldweave.operators import reports as O
 from goldweave.plans.identity import C_SQL, CLOSURE_SQL, CLUSTER_SQL, contributions
 from goldweave.plans.registry import Tables, query
 
@@ -99,3 +101,47 @@ def e9b(t: Tables) -> DataFrame:
     first = F.min_by(content, F.struct("fetched_at", content))
     anchors = c.join(I.clusters(c), "id").groupBy("cluster").agg(first.alias("content")).withColumn("digest", F.sha2("content", 256))
     return P.numbered_ids(anchors, "cluster", "digest", "content")
+
+
+@query("e25b_answer_key_person", f"""WITH {C_SQL}, h AS (SELECT id, person AS p, 0 AS rank FROM c WHERE linkedin IS NOT NULL AND person % 4 <> 0
+  UNION ALL SELECT c.id, o.c_custkey, 1 FROM c JOIN customer o ON c.email = 'p' || o.c_custkey || '@d' || (o.c_custkey % 40) || '.example' WHERE o.c_custkey % 3 <> 0)
+SELECT id, arg_min(p, (rank, p)) AS person FROM h JOIN customer ON c_custkey = p GROUP BY id""")
+def e25b(t: Tables) -> DataFrame:
+    """Some people of the answer key have no profile there, some no address."""
+    key = F.col("c_custkey")
+    slug = F.when(key % 4 != 0, F.concat(F.lit("linkedin.com/in/p"), key.cast("string")))
+    email = F.when(key % 3 != 0, F.concat(F.lit("p"), key.cast("string"), F.lit("@d"), (key % 40).cast("string"), F.lit(".example")))
+    answers = t.customer.select(key.alias("person"), slug.alias("linkedin"), email.alias("email"))
+    return O.match_answers(contributions(t), answers, ("linkedin", "email"))
+
+
+@query("e31b_requester_echo", f"""WITH {C_SQL}, q AS (SELECT email, count(DISTINCT linkedin) AS profiles, count(DISTINCT name) AS names, min(linkedin) AS linkedin, bool_or(verified) AS verified FROM c WHERE email IS NOT NULL GROUP BY 1),
+k AS (SELECT email, CASE id % 7 WHEN 1 THEN ' ' WHEN 2 THEN 'other@x.example' ELSE upper(email) END AS own FROM c WHERE email IS NOT NULL AND fetched_at < TIMESTAMP '1995-04-01'), f AS (SELECT email, count(*) AS n, min(own) AS own FROM k GROUP BY 1),
+r AS (SELECT q.*, CASE WHEN n > 1 THEN 'multiple_contacts' WHEN trim(own) = '' THEN 'email_unconfirmed' WHEN lower(trim(own)) <> email THEN 'email_mismatch' WHEN profiles > 1 OR names > 1 THEN 'two_people' END AS reason FROM q JOIN f USING (email))
+SELECT email, reason, CASE WHEN reason IS NULL THEN linkedin END AS linkedin, CASE WHEN reason IS NULL AND verified THEN email END AS verified FROM r""")
+def e31b(t: Tables) -> DataFrame:
+    """Contacts are those that early records found; some state no address, some another one."""
+    c = contributions(t).filter("email is not null")
+    own = F.when(F.col("id") % 7 == 1, " ").when(F.col("id") % 7 == 2, "other@x.example").otherwise(F.upper("email"))
+    contacts = c.filter("fetched_at < TIMESTAMP '1995-04-01'").select("email", own.alias("own"))
+    return E.echoes(c.select("email", "linkedin", "name", "verified"), contacts)
+
+
+@query("a6b_questions_once", f"""WITH {C_SQL}, w AS (SELECT id, CASE WHEN email IS NOT NULL THEN 'verifier' WHEN name IS NOT NULL AND domain IS NOT NULL THEN 'finder' WHEN domain IS NOT NULL THEN 'domain_search' END AS route,
+  CASE WHEN email IS NOT NULL THEN email WHEN name IS NOT NULL AND domain IS NOT NULL THEN name || '@' || domain WHEN domain IS NOT NULL THEN domain END AS question FROM c)
+SELECT id, route, question, sha256(route || '|' || question) AS answer FROM w WHERE route IS NOT NULL""")
+def a6b(t: Tables) -> DataFrame:
+    """The answer is made once for a question (a digest stands for the call) and handed to all who asked it."""
+    c = contributions(t)
+    route = E.route(F.col("email"), F.col("name"), F.col("domain"))
+    question = F.when(route == "verifier", F.col("email")).when(route == "finder", F.concat("name", F.lit("@"), "domain")).otherwise(F.col("domain"))
+    questions, waits = E.ask_once(c, "id", route, question)
+    answers = questions.withColumn("answer", F.sha2(F.concat_ws("|", "route", "question"), 256))
+    return E.answered(waits, answers).select("id", "route", "question", "answer")
+
+
+@query("f16b_label_confusion", """WITH x AS (SELECT toxic, coalesce(CASE WHEN doc_id % 17 <> 0 THEN quality END::VARCHAR, 'dropped') AS quality FROM labels), n AS (SELECT toxic, quality, count(*) AS n FROM x GROUP BY 1, 2)
+SELECT toxic, quality, n, n / sum(n) OVER (PARTITION BY toxic) AS share FROM n""")
+def f16b(t: Tables) -> DataFrame:
+    said = t.labels.select("toxic", F.when(F.col("doc_id") % 17 != 0, F.col("quality")).alias("quality"))
+    return O.confusion(said, "toxic", "quality")

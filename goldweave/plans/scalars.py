@@ -329,12 +329,14 @@ def b12(t: Tables) -> DataFrame:
 
 
 @query("d14_error_class", """
-WITH s AS (SELECT * FROM (VALUES (200), (401), (403), (404), (408), (429), (451), (500), (503)) v(status)), p AS (SELECT * FROM (VALUES ('people'), ('email'), ('crm')) v(provider))
-SELECT provider, status, CASE WHEN status < 400 THEN 'ok' WHEN provider = 'email' AND status = 403 THEN 'rate_limited' WHEN provider = 'email' AND status = 429 THEN 'quota'
- WHEN provider = 'email' AND status = 451 THEN 'compliance' WHEN status IN (401, 403) THEN 'unauthorized' WHEN status = 429 THEN 'rate_limited' WHEN status >= 500 OR status = 408 THEN 'transient' ELSE 'permanent' END AS class FROM s, p""")
+WITH s AS (SELECT event_id, ['people', 'email', 'crm'][user_id % 3 + 1] AS provider, [200, 401, 403, 404, 408, 429, 451, 500, 503][event_id % 9 + 1] AS status FROM events)
+SELECT event_id, provider, status, CASE WHEN status < 400 THEN 'ok' WHEN provider = 'email' AND status = 403 THEN 'rate_limited' WHEN provider = 'email' AND status = 429 THEN 'quota'
+ WHEN provider = 'email' AND status = 451 THEN 'compliance' WHEN status IN (401, 403) THEN 'unauthorized' WHEN status = 429 THEN 'rate_limited' WHEN status >= 500 OR status = 408 THEN 'transient' ELSE 'permanent' END AS class FROM s""")
 def d14(t: Tables) -> DataFrame:
-    cases = t.spark.sql("SELECT explode(array('people', 'email', 'crm')) AS provider").select("provider", F.explode(F.array(*map(F.lit, (200, 401, 403, 404, 408, 429, 451, 500, 503)))).alias("status"))
-    return cases.select("provider", "status", V.error_class(F.col("provider"), F.col("status")).alias("class"))
+    provider = F.element_at(F.array(*map(F.lit, ("people", "email", "crm"))), (F.col("user_id") % 3 + 1).cast("int"))
+    status = F.element_at(F.array(*map(F.lit, (200, 401, 403, 404, 408, 429, 451, 500, 503))), (F.col("event_id") % 9 + 1).cast("int"))
+    calls = t.events.select("event_id", provider.alias("provider"), status.alias("status"))
+    return calls.withColumn("class", V.error_class(F.col("provider"), F.col("status")))
 
 
 @query("d15_resolved_mode", """
