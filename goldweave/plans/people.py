@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from goldweave.operators import enrich as E
 from goldweave.operators import identity as I
 from goldweave.operators import people as P
+from goldweave.operators import projection as J
 from goldweave.operators import reports as O
 from goldweave.plans.identity import C_SQL, CLOSURE_SQL, CLUSTER_SQL, contributions
 from goldweave.plans.registry import Tables, query
@@ -145,3 +146,31 @@ SELECT toxic, quality, n, n / sum(n) OVER (PARTITION BY toxic) AS share FROM n""
 def f16b(t: Tables) -> DataFrame:
     said = t.labels.select("toxic", F.when(F.col("doc_id") % 17 != 0, F.col("quality")).alias("quality"))
     return O.confusion(said, "toxic", "quality")
+
+
+PROJECT_SQL = """m AS (SELECT person AS cluster, sum(('0x' || substr(md5('r' || id), 1, 15))::BIGINT::HUGEINT)::VARCHAR AS fingerprint, {first} FROM c GROUP BY 1)"""
+RECORD = ("linkedin", "email", "name", "title")
+_FIRST = ", ".join(f"arg_min({p}, (NOT verified, -epoch_us(fetched_at), id)) FILTER (WHERE {p} IS NOT NULL) AS {p}" for p in RECORD)
+
+
+@query("j1b_lead_projection", f"""WITH {C_SQL}, {PROJECT_SQL.format(first=_FIRST)},
+p0 AS (SELECT person AS cluster, sum(('0x' || substr(md5('r' || id), 1, 15))::BIGINT::HUGEINT)::VARCHAR AS was, CAST(person % 3 + 1 AS INTEGER) AS v FROM c WHERE fetched_at < TIMESTAMP '2001-01-01' GROUP BY 1, 3),
+em AS (SELECT person AS cluster, string_agg(DISTINCT employer, ',' ORDER BY employer) AS employers FROM c GROUP BY 1),
+dv AS (SELECT cluster, arg_min(domain, (-n, domain)) AS primary_domain FROM (SELECT person AS cluster, domain, count(*) AS n FROM c WHERE domain IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+rc AS (SELECT m.cluster, string_agg(DISTINCT c.email, ',' ORDER BY c.email) AS contacts FROM c JOIN m ON m.cluster = c.person WHERE split_part(c.email, '@', 1) = 'info' AND c.email IS DISTINCT FROM m.email GROUP BY 1),
+ik AS (SELECT id, 'l:' || linkedin AS key FROM c WHERE linkedin IS NOT NULL UNION ALL SELECT id, 'e:' || email FROM c WHERE email IS NOT NULL),
+f AS (SELECT id, 'opt_out' AS flag, id % 3 AS source FROM c WHERE id % 90 = 0), b AS (SELECT DISTINCT key, flag, source FROM ik JOIN f USING (id)),
+fl AS (SELECT person AS cluster, string_agg(DISTINCT flag || ':' || source, ',' ORDER BY flag || ':' || source) AS flags FROM (SELECT id, flag, source FROM f UNION SELECT id, flag, source FROM ik JOIN b USING (key)) x JOIN c USING (id) GROUP BY 1)
+SELECT m.cluster, linkedin, email, name, title, coalesce(employers, '') AS employers, coalesce(contacts, '') AS contacts, primary_domain, coalesce(flags, '') AS flags, fingerprint, CASE WHEN fingerprint = was THEN v ELSE coalesce(v, 0) + 1 END::INTEGER AS version
+FROM m LEFT JOIN em USING (cluster) LEFT JOIN dv USING (cluster) LEFT JOIN rc USING (cluster) LEFT JOIN fl USING (cluster) LEFT JOIN p0 USING (cluster)""")
+def j1b(t: Tables) -> DataFrame:
+    """Persons stand for clusters; what was projected before is what the log held by 2001."""
+    c = contributions(t)
+    rank = F.struct((~F.col("verified")).alias("a"), (-F.unix_micros(F.col("fetched_at").cast("timestamp"))).alias("b"), F.col("id").alias("c"))
+    digest = F.concat(F.lit("r"), F.col("id").cast("string"))
+    log = J.stated(c, "person", {p: F.col(p) for p in (*RECORD, "employer", "domain")}, rank, digest)
+    flags = c.filter("id % 90 = 0").select("id", F.lit("opt_out").alias("flag"), (F.col("id") % 3).alias("source"))
+    old = c.filter("fetched_at < TIMESTAMP '2001-01-01'").groupBy(F.col("person").alias("cluster"))
+    prior = old.agg(F.sum(F.conv(F.substring(F.md5(F.concat(F.lit("r"), F.col("id").cast("string")).cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string").alias("fingerprint"))
+    prior = prior.withColumn("version", (F.col("cluster") % 3 + 1).cast("int"))
+    return J.project_leads(log, list(RECORD), "email", "employer", "domain", P.compliance_reports(c.select("id", F.col("person").alias("cluster")), flags, c), prior)
