@@ -81,21 +81,21 @@ RETOLD = ("usage", "evidence")
 UNCLAIMED = ("linkedin", "i", "i'd", "i'm", "i've", "i'll")
 # What must stand in the facts when a message says it: names in capitals and numbers.
 ENTITY = r"(?<![\p{L}\p{N}_'-])(?:[A-Z][\p{L}\p{N}_'-]*|[0-9][0-9.,]*)"
-#: A capital that only begins a sentence.
+# A capital that only begins a sentence.
 SENTENCE_CAPITAL = r"(^|[.!?]\s+|\n\s*)[A-Z][\p{L}\p{N}_'-]*"
 
 
 def claim_problem(claim: Column, body: Column, facts: Column) -> Column:
-    """What is wrong with a claim, struct(fact_id, text), or null. ``facts`` are struct(id, kind, value)."""
+    """A code and the fact it is about, ``CODE:fact_id``, for a claim struct(fact_id, text), or null. ``facts`` are struct(id, kind, value)."""
     held = F.filter(facts, lambda f: f["id"] == claim["fact_id"])
     text = F.lower(claim["text"])
 
     def judge(f: Column) -> Column:
         value = F.lower(f["value"])
         states = F.when(f["kind"].isin(*RETOLD), retells(claim["text"], f["value"])).otherwise(F.contains(value, text) | F.contains(text, value))
-        return F.when(~F.contains(F.lower(body), text), "claim text is not in the message: ").when(~states, "claim does not state the fact: ")
+        return F.when(~F.contains(F.lower(body), text), "UNSAID:").when(~states, "UNSUPPORTED:")
 
-    found = F.when(F.size(held) == 0, "claim names no fact: ").otherwise(judge(F.get(held, F.lit(0))))
+    found = F.when(F.size(held) == 0, "NO_FACT:").otherwise(judge(F.get(held, F.lit(0))))
     return F.concat(found, claim["fact_id"])
 
 
@@ -111,16 +111,16 @@ def ungrounded(texts: list[Column], facts: Column) -> Column:
 def grounding_problems(subject: Column, body: Column, claims: Column, facts: Column) -> Column:
     """All that keeps a message from being grounded: no claim, claims without their fact, words from nowhere."""
     wrong = F.array_compact(F.transform(claims, lambda c: claim_problem(c, body, facts)))
-    loose = F.transform(ungrounded([subject, body], facts), lambda w: F.concat(F.lit("not in the record: "), w))
-    return F.concat(F.when(F.size(claims) == 0, F.array(F.lit("no claim ties the message to the lead"))).otherwise(F.array().cast("array<string>")), wrong, loose)
+    loose = F.transform(ungrounded([subject, body], facts), lambda w: F.concat(F.lit("UNKNOWN_WORD:"), w))
+    return F.concat(F.when(F.size(claims) == 0, F.array(F.lit("NO_CLAIM"))).otherwise(F.array().cast("array<string>")), wrong, loose)
 
 
 def schema_problems(kind: Column, subject: Column, body: Column) -> Column:
     marker = r"\{[^{}]*\}"
     return F.array_compact(F.array(
-        F.when(F.trim(body) == "", "empty body"), F.when((kind == "invite") & subject.isNotNull(), "an invite has no subject"),
-        F.when((kind == "email") & (F.trim(F.coalesce(subject, F.lit(""))) == ""), "an email needs a subject"),
-        F.when(body.rlike(marker) | F.coalesce(subject, F.lit("")).rlike(marker), "unfilled template marker"),
+        F.when(F.trim(body) == "", "BODY_MISSING"), F.when((kind == "invite") & subject.isNotNull(), "SUBJECT_ON_INVITE"),
+        F.when((kind == "email") & (F.trim(F.coalesce(subject, F.lit(""))) == ""), "SUBJECT_MISSING"),
+        F.when(body.rlike(marker) | F.coalesce(subject, F.lit("")).rlike(marker), "MARKER_LEFT"),
     ))
 
 

@@ -265,7 +265,7 @@ def k18(t: Tables) -> DataFrame:
     return both.select("c_custkey", F.when(F.col("e").isNull(), "rejected").otherwise("selected").alias("status"), F.coalesce("e", F.lit("no_employer")).alias("reason"))
 
 
-@query("d7_message_schema", """SELECT item_id, CASE WHEN item_id % 4 = 0 THEN 'unfilled template marker' WHEN item_id % 4 = 1 THEN 'an email needs a subject' WHEN item_id % 4 = 2 THEN 'an invite has no subject' ELSE '' END AS problems, length(text) + CASE WHEN item_id % 4 = 0 THEN 3 ELSE 0 END <= CASE WHEN item_id % 4 = 2 THEN 300 ELSE 900 END AS fits,
+@query("d7_message_schema", """SELECT item_id, CASE WHEN item_id % 4 = 0 THEN 'MARKER_LEFT' WHEN item_id % 4 = 1 THEN 'SUBJECT_MISSING' WHEN item_id % 4 = 2 THEN 'SUBJECT_ON_INVITE' ELSE '' END AS problems, length(text) + CASE WHEN item_id % 4 = 0 THEN 3 ELSE 0 END <= CASE WHEN item_id % 4 = 2 THEN 300 ELSE 900 END AS fits,
  contains(lower(text), 'thing') AS banned FROM benchmark""")
 def d7(t: Tables) -> DataFrame:
     k = F.col("item_id") % 4
@@ -294,8 +294,8 @@ def d8(t: Tables) -> DataFrame:
 DRAFT_SQL = "CASE c_custkey % 7 WHEN 5 THEN 'Saw that you do not run Astra in 2024.' WHEN 6 THEN 'Hi. Our Zebra works with Astra.' ELSE 'Saw that you run Astra in 2024.' END"
 
 
-@query("d8b_message_grounding", """SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'no claim ties the message to the lead' WHEN 2 THEN 'claim names no fact: f9' WHEN 3 THEN 'claim text is not in the message: f1'
- WHEN 4 THEN 'claim does not state the fact: f2' WHEN 5 THEN 'claim does not state the fact: f1' ELSE 'not in the record: Zebra' END AS problems FROM customer""")
+@query("d8b_message_grounding", """SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'NO_CLAIM' WHEN 2 THEN 'NO_FACT:f9' WHEN 3 THEN 'UNSAID:f1'
+ WHEN 4 THEN 'UNSUPPORTED:f2' WHEN 5 THEN 'UNSUPPORTED:f1' ELSE 'UNKNOWN_WORD:Zebra' END AS problems FROM customer""")
 def d8b(t: Tables) -> DataFrame:
     k = F.col("c_custkey") % 7
     fact = lambda i, kind, value: F.struct(F.lit(i).alias("id"), F.lit(kind).alias("kind"), F.lit(value).alias("value"))
