@@ -68,5 +68,13 @@ def walk_to_active(starts: DataFrame, steps: DataFrame, active: DataFrame, max_r
         frontier = materialize(nxt.join(seen, ["start", "node"], "left_anti"), "walk")
         if frontier.limit(1).count() == 0:
             return seen.join(active, "node", "left_semi").select("start", F.col("node").alias("active"))
-        seen = materialize(seen.unionByName(frontier), "walk")
+        seen = seen.unionByName(frontier)  # rounds stay as they were stored; none is written twice
     raise RuntimeError("the walk has not ended")
+
+
+def sole_active(starts: DataFrame, found: DataFrame) -> DataFrame:
+    """(start, active, problem): the one active node of each start; ``none`` or ``several`` where there is not exactly one."""
+    n = found.groupBy("start").agg(F.count("*").alias("n"), F.min("active").alias("active"))
+    held = starts.select(F.col("node").alias("start")).distinct().join(n, "start", "left")
+    problem = F.when(F.col("n").isNull(), "none").when(F.col("n") > 1, "several")
+    return held.select("start", F.when(problem.isNull(), F.col("active")).alias("active"), problem.alias("problem"))

@@ -177,12 +177,13 @@ def e20(t: Tables) -> DataFrame:
     return I.all_keys_match(t.events.select(F.col("user_id").alias("lead"), F.col("event_type").alias("key")), wanted)
 
 
-@query("e21_active_successor", """
-WITH RECURSIVE s AS (SELECT p_partkey AS node, p_partkey * 2 AS next FROM part WHERE p_partkey * 2 <= (SELECT max(p_partkey) FROM part) UNION SELECT p_partkey, p_partkey - 7 FROM part WHERE p_partkey % 5 = 0 AND p_partkey > 7),
+WALK_SQL = """WITH RECURSIVE s AS (SELECT p_partkey AS node, p_partkey * 2 AS next FROM part WHERE p_partkey * 2 <= (SELECT max(p_partkey) FROM part) UNION SELECT p_partkey, p_partkey - 7 FROM part WHERE p_partkey % 5 = 0 AND p_partkey > 7),
 a AS (SELECT p_partkey AS node FROM part WHERE p_size % 4 = 0),
-w(start, node) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT w.start, s.next FROM w JOIN s ON s.node = w.node WHERE w.node NOT IN (SELECT node FROM a))
-SELECT start, node AS active FROM w WHERE node IN (SELECT node FROM a)""")
-def e21(t: Tables) -> DataFrame:
+w(start, node) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT w.start, s.next FROM w JOIN s ON s.node = w.node WHERE w.node NOT IN (SELECT node FROM a)),
+f AS (SELECT start, node AS active FROM w WHERE node IN (SELECT node FROM a))"""
+
+
+def walked(t: Tables) -> DataFrame:
     p = t.part.select(F.col("p_partkey").alias("node"), "p_size")
     top = p.agg(F.max("node").alias("top"))
     doubled = p.join(F.broadcast(top)).filter("node * 2 <= top").select("node", (F.col("node") * 2).alias("next"))
@@ -190,6 +191,17 @@ def e21(t: Tables) -> DataFrame:
     return G.walk_to_active(p.select("node"), steps, p.filter("p_size % 4 = 0").select("node"))
 
 
+@query("e21_active_successor", f"{WALK_SQL} SELECT start, active FROM f")
+def e21(t: Tables) -> DataFrame:
+    return walked(t)
+
+
+@query("e21b_sole_successor", f"""{WALK_SQL}, n AS (SELECT start, count(*) AS n, min(active) AS active FROM f GROUP BY 1)
+SELECT p_partkey AS start, CASE WHEN n = 1 THEN active END AS active, CASE WHEN n IS NULL THEN 'none' WHEN n > 1 THEN 'several' END AS problem FROM part LEFT JOIN n ON n.start = p_partkey""")
+def e21b(t: Tables) -> DataFrame:
+    return G.sole_active(t.part.select(F.col("p_partkey").alias("node")), walked(t))
+
+
 @query("e22_successors", "SELECT p_size AS lead, array_to_string(list_sort(list_distinct(list(p_brand))), ',') AS successors FROM part GROUP BY 1")
 def e22(t: Tables) -> DataFrame:
     return t.part.groupBy(F.col("p_size").alias("lead")).agg(F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("successors"))
