@@ -55,6 +55,11 @@ def _file_system(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where, files = _file_system(spark, path)
+    return files.exists(where)
+
+
 def create_once(spark: SparkSession, path: str, text: str) -> bool:
     """Creates a small file unless it is there; of several writers one succeeds where the file system says so."""
     where, files = _file_system(spark, path)
