@@ -192,10 +192,51 @@ def test_provider_source(spark, tmp_path):
     (tmp_path / "people" / "manifest.json").write_text("{}")
     register(spark)
     read = spark.read.format("provider").option("root", str(tmp_path)).option("provider", "people")
-    assert sorted(map(tuple, read.load().collect())) == [("match", 0, '{"id": 3}'), ("search", 0, '{"id": 1}'), ("search", 1, '{"id": 2}')]
+    assert sorted(map(tuple, read.load().collect())) == [("match", 1, 0, '{"id": 3}'), ("search", 1, 0, '{"id": 1}'), ("search", 1, 1, '{"id": 2}')]
     assert read.option("endpoint", "match").load().count() == 1
 
 
+def test_unwanted_pages_are_never_opened(spark, tmp_path):
+    from goldweave.sources.provider import register
+
+    (tmp_path / "people" / "search").mkdir(parents=True)
+    for i in (1, 2, 10):
+        (tmp_path / "people" / "search" / f"{i}.json").write_text(f'{{"results": [{{"id": {i}}}]}}')
+    (tmp_path / "people" / "broken.json").write_text("{")
+    register(spark)
+    read = spark.read.format("provider").option("root", str(tmp_path)).option("provider", "people")
+    ids = lambda d: sorted(r["payload"] for r in d.collect())
+    found = read.option("endpoint", "search,none").load()
+    assert ids(found) == ['{"id": 10}', '{"id": 1}', '{"id": 2}'] and found.rdd.getNumPartitions() == 3
+    two, ten = (found.filter(f"page = {n}") for n in (2, 10))
+    assert ids(two.union(ten)) == ['{"id": 10}', '{"id": 2}'] and ids(found) == ['{"id": 10}', '{"id": 1}', '{"id": 2}']
+    assert ids(read.option("endpoint", "search").option("pages", "2,10,11").load()) == ['{"id": 10}', '{"id": 2}'] and ids(read.option("endpoint", "none").load()) == []
+    with pytest.raises(Exception, match="JSONDecodeError"):
+        spark.read.format("provider").option("root", str(tmp_path)).option("provider", "people").load().collect()
+
+
+def test_provider_stream_goes_on_where_it_stopped(spark, tmp_path):
+    from goldweave.sources.provider import register
+
+    folder = tmp_path / "people" / "search"
+    folder.mkdir(parents=True)
+    register(spark)
+
+    def run(pages):
+        for i in pages:
+            (folder / f"{i}.json").write_text(f'{{"results": [{{"id": {i}}}]}}')
+        stream = spark.readStream.format("provider").option("root", str(tmp_path)).option("provider", "people").option("pages_per_batch", 2).load()
+        query = stream.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/ck").start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+        return sorted(r["page"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect())
+
+    assert run([1, 2, 3]) == [1, 2, 3]
+    assert run([4, 5, 6, 7, 8]) == [1, 2, 3, 4, 5, 6, 7, 8]
+
+
 def test_stream_owes_what_the_batch_owes(spark, tmp_path):
     """The first action of each key by the stream is the one that the batch fold owes at the stream's time."""
     from pyspark.sql import functions as F
