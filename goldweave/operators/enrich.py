@@ -52,6 +52,23 @@ def attach(answers: DataFrame, asker_linkedin: Column, answer_linkedin: Column,
     return answers.withColumn("identity", F.when(differ, "discarded").when(weak, "dropped").otherwise("kept"))
 
 
+def attach_corroborated(answers: DataFrame) -> DataFrame:
+    """``answers`` with outcome and reason: kept, dropped (identity only) or discarded.
+
+    A row is an answer beside its asker: asker_linkedin, linkedin, rung, anchor, and the
+    texts asker_title, asker_employer, title, employer. Another profile is another person.
+    Who is anchored by name alone needs the same title or employer; that anchor and weak
+    rungs give facts but never an identity.
+    """
+    other = F.col("asker_linkedin").isNotNull() & F.col("linkedin").isNotNull() & (F.col("asker_linkedin") != F.col("linkedin"))
+    by_name = F.coalesce(F.col("anchor") == "name", F.lit(False))
+    same = F.coalesce(F.col("asker_title") == F.col("title"), F.lit(False)) | F.coalesce(F.col("asker_employer") == F.col("employer"), F.lit(False))
+    weak = ~F.coalesce(F.col("rung").isin("id", "linkedin", "email"), F.lit(False)) | by_name
+    reason = F.when(other, "other_profile").when(by_name & ~same, "uncorroborated").when(by_name, "by_name").when(weak, "weak_rung")
+    outcome = F.when(other | (by_name & ~same), "discarded").when(weak, "dropped").otherwise("kept")
+    return answers.withColumns({"outcome": outcome, "reason": reason})
+
+
 def withheld(rows: DataFrame, question: str) -> DataFrame:
     """(question, reason): why a requester's identity is not echoed; null where it is."""
     n = rows.groupBy(question).agg(F.count_distinct("linkedin").alias("urls"), F.count_distinct("name").alias("names"), F.count_distinct("contact").alias("contacts"))

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("scalars", "identity", "resolution", "evidence", "sequences", "reports", "storage", "providers", "assembly", "incremental", "phrases", "people")
+MODULES = ("scalars", "identity", "resolution", "evidence", "sequences", "reports", "storage", "providers", "assembly", "incremental", "phrases", "people", "checks")
 
 
 def load() -> None:

@@ -10,7 +10,6 @@ from __future__ import annotations
 import importlib
 import inspect
 import pkgutil
-import re
 from abc import ABC, abstractmethod
 from collections.abc import Mapping
 from dataclasses import dataclass
@@ -19,10 +18,10 @@ from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from goldweave.functions.endpoints import sending_words
+
 COST_CLASSES = ("free", "paid")
 CHARGE_UNITS = ("none", "request", "record", "credit")
-#: Paths that could send something to a person: refused unless read-only posts are named.
-SENDING = re.compile(r"(^|[/_.-])(send|email|emails|message|messages|invite|invites|campaign|campaigns|sequence|sequences|publish|notify)([/_.-]|$)", re.IGNORECASE)
 
 
 @dataclass(frozen=True)
@@ -76,7 +75,7 @@ class Source(ABC):
         asked = {p.removeprefix("target.") for p in cls.surfaces if p.startswith("target.")}
         named = {t for t, words in cls.vocabulary.items() if words}
         out += [f"target term {t} lacks a surface or a vocabulary" for t in sorted(asked ^ named)]
-        out += [f"endpoint {k} can send" for k, e in cls.endpoints.items() if SENDING.search(e.path) or (e.method.upper() != "GET" and not e.reads_only)]
+        out += [f"endpoint {k} can send" for k, e in cls.endpoints.items() if sending_words(e.path) or (e.method.upper() != "GET" and not e.reads_only)]
         out += ["a bucket holds nothing"] * any(b.capacity < 1 or b.seconds <= 0 for b in cls.rates)
         return out
 
