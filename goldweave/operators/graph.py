@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from goldweave.storage import discard, materialize
@@ -16,8 +16,12 @@ def star_edges(rows: DataFrame, node: str, *keys: str | Column) -> DataFrame:
     return held.join(least, "k").filter("u <> v").select("u", "v").distinct()
 
 
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """``edges`` as a stored table, with its size and sum of hashes, which are counted while it is written."""
+    seen = Observation()
+    counted = edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+    out = materialize(counted, "edges")
+    return out, (seen.get["n"], seen.get["h"])
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -26,20 +30,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating stars: larger neighbours, then smaller ones, hang on the smallest; each
     round is stored, and hubs are only ever aggregated and joined.
     """
-    now = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
-    seen = _signature(now)
+    now, seen = _stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     for _ in range(max_rounds):
         if not seen[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = materialize(large, "edges")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        older, now = now, materialize(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        discard(older, large)
-        last, seen = seen, _signature(now)
+        older, last = now, seen
+        now, seen = _stored(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(older)
         if seen == last:
             break
     else:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from goldweave.functions.text import is_role_address
 from goldweave.operators.graph import connected_components, label_all, star_edges
+from goldweave.storage import materialize
 
 SEPARATOR = "\u001f"
 
@@ -41,9 +42,9 @@ def ambiguous_names(c: DataFrame, addresses: DataFrame) -> DataFrame:
     return several.unionByName(conflict(bare, "candidate")).distinct()
 
 
-def match_keys(c: DataFrame) -> DataFrame:
+def match_keys(c: DataFrame, addresses: DataFrame | None = None) -> DataFrame:
     """(id, kind, value, barred): kinds 1 profile, 2 verified address, 3 name and domain."""
-    addresses = shared_addresses(c)
+    addresses = shared_addresses(c) if addresses is None else addresses
     names = ambiguous_names(c, addresses)
     keys = c.select(
         "id",
@@ -66,8 +67,9 @@ def email_links(c: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def link_edges(c: DataFrame, keys: DataFrame | None = None) -> DataFrame:
-    """(u, v): all links of the three kinds as stars."""
-    keys = match_keys(c) if keys is None else keys
+    """(u, v): all links of the three kinds as stars; what several of them need is stored once."""
+    addresses = materialize(shared_addresses(c), "addresses")
+    keys = materialize(match_keys(c, addresses), "keys") if keys is None else keys
     usable = keys.filter(~F.col("barred"))
     bare = c.filter(F.col("linkedin").isNull()).select("id")
     by_profile = star_edges(usable.filter("kind = 1"), "id", "value")
@@ -76,9 +78,9 @@ def link_edges(c: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     named = usable.filter("kind = 3").join(bare, "id", "left_semi").join(c.select("id", "title", "employer"), "id")
     kinds = F.array(F.struct(F.lit("title").alias("k"), F.col("title").alias("x")), F.struct(F.lit("employer").alias("k"), F.col("employer").alias("x")))
     buckets = named.select("id", "value", F.explode(kinds).alias("b")).filter("b.x is not null")
-    near = star_edges(buckets, "id", "value", F.col("b.k"), F.col("b.x"))
+    near = materialize(star_edges(buckets, "id", "value", F.col("b.k"), F.col("b.x")), "near")
     groups = connected_components(near).withColumnRenamed("node", "id")
-    stated = c.join(shared_addresses(c), "email", "left_anti").select("id", "email", "verified")
+    stated = c.join(addresses, "email", "left_anti").select("id", "email", "verified")
     split = conflict(groups.join(stated, "id"), "component")
     by_name = near.join(groups.join(split, "component", "left_semi").select(F.col("id").alias("u")), "u", "left_anti")
     return by_profile.unionByName(by_mail).unionByName(by_name).distinct()
