@@ -6,6 +6,8 @@ confidence. Grades are one grouped aggregation after one for the newest past use
 
 from __future__ import annotations
 
+import re
+from html.entities import html5
 from html.parser import HTMLParser
 
 import numpy as np
@@ -59,10 +61,24 @@ class Events(HTMLParser):
         self.list.append((0, data))
 
 
-def page_text(page: str) -> str:
-    """What stands at depth 0, where an end tag without its start changes nothing."""
+#: An ampersand, with the whole reference where one follows.
+AMPERSAND = re.compile(r"&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[A-Za-z][A-Za-z0-9]*;)?")
+
+
+def _closed_reference(found: re.Match) -> str:
+    """The reference where its semicolon stands and its name is known; else its ampersand is text."""
+    name = found[1]
+    return found[0] if name and (name[0] == "#" or name in html5) else "&amp;" + (name or "")
+
+
+def page_text(page: str, open_references: bool = True) -> str:
+    """What stands at depth 0, where an end tag without its start changes nothing.
+
+    Old names like ``&amp`` are references without their semicolon too, as the standard has
+    it, unless ``open_references`` is false.
+    """
     events = Events()
-    events.feed(page)
+    events.feed(page if open_references else AMPERSAND.sub(_closed_reference, page))
     if not events.list:
         return ""
     steps = np.cumsum([step for step, _ in events.list])
@@ -70,10 +86,14 @@ def page_text(page: str) -> str:
     return " ".join(" ".join([text for (_, text), d in zip(events.list, depth.tolist(), strict=True) if d == 0]).split())
 
 
-@F.pandas_udf(T.StringType())
-def html_to_text(html: pd.Series) -> pd.Series:
+def html_to_text(html: Column | str, open_references: bool = True) -> Column:
     """Text of a page without scripts, styles and tags, references resolved, white space collapsed."""
-    return html.map(lambda page: None if page is None else page_text(page))
+
+    @F.pandas_udf(T.StringType())
+    def text(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda page: None if page is None else page_text(page, open_references))
+
+    return text(html)
 
 
 def skip_reason(host: Column, url: Column, snippet_named: Column, disallowed: Column, within_budget: Column, size: Column, limit: int) -> Column:

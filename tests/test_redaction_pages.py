@@ -72,3 +72,14 @@ def test_page_text(spark):
     every = [n for n in html.entities.html5 if n.endswith(";")]
     t = spark.createDataFrame([(" ".join("&" + n for n in every),)], "p string").select(html_to_text("p")).first()[0]
     assert t == " ".join(" ".join(html.entities.html5[n] for n in every).split())
+
+
+def test_page_text_with_closed_references_only(spark):
+    pages = {
+        "<title>a &amp; b&amp</title><a href='?x=1&copy=2'>c</a>": ("a & b& c", "a & b&amp c"),
+        "&amp;amp; &ampx; &notit; &#65; &#65 &#x41 &#x41; &copy<p>": ("&amp; &x; ¬it; A A A A ©", "&amp; &ampx; &notit; A &#65 &#x41 A &copy"),
+        "<!-- &amp --><script>x &lt</script>&nbsp;d&&lt;": ("d&<", "d&<"),
+    }
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, p string")
+    got = {r["i"]: (r["a"], r["b"]) for r in df.select("i", html_to_text("p").alias("a"), html_to_text("p", open_references=False).alias("b")).collect()}
+    assert got == dict(enumerate(pages.values()))
