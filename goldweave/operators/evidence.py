@@ -7,8 +7,10 @@ confidence. Grades are one grouped aggregation after one for the newest past use
 from __future__ import annotations
 
 import re
+from functools import reduce
 from html.entities import html5
 from html.parser import HTMLParser
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -141,10 +143,8 @@ def cue_rank(kind: Column) -> Column:
 
 
 def is_injection(text: Column) -> Column:
-    out = F.lit(False)
-    for m in INJECTION:
-        out = out | F.contains(F.lower(text), F.lit(m))
-    return out
+    """Whether any phrase stands in ``text``, which is put into lower case once for all of them."""
+    return F.exists(F.array(F.lower(text)), lambda low: reduce(or_, [F.contains(low, F.lit(m)) for m in INJECTION]))
 
 
 def classify(docs: DataFrame, key: str, text: str, alias: str) -> DataFrame:

@@ -57,3 +57,9 @@ def test_empty_dictionary_and_texts(spark):
     none = spark.createDataFrame([], "phrase string")
     assert phrases.find(df, ["i"], "t", none).collect() == []
     assert [(r["i"], r["phrase"]) for r in phrases.find(df, ["i"], "t", spark.createDataFrame([("B",)], "phrase string")).collect()] == [(1, "B")]
+
+
+def test_tokens_are_cut_once_and_runs_built_at_heads_only(spark):
+    df = spark.createDataFrame([(1, "a b")], "i int, t string")
+    plan = phrases.find(df, ["i"], "t", spark.createDataFrame([("B c",)], "phrase string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(lower(t") == 1 and "transform(" not in plan and "lambda" not in plan
