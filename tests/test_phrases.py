@@ -63,3 +63,13 @@ def test_tokens_are_cut_once_and_runs_built_at_heads_only(spark):
     df = spark.createDataFrame([(1, "a b")], "i int, t string")
     plan = phrases.find(df, ["i"], "t", spark.createDataFrame([("B c",)], "phrase string"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(lower(t") == 1 and "transform(" not in plan and "lambda" not in plan
+
+
+def test_dictionaries_that_are_not_sent(spark, monkeypatch):
+    """Neither the phrases nor their heads are sent; the rows are the same."""
+    monkeypatch.setattr(phrases, "SENT_PHRASES", 1)
+    texts = ["We use node.js and c++.", "nodexjs c", "a  b", "été, go", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for made in (["Node.js", "c++", "été", "go", "x y"], [" b", "a", "c"]):
+        got = {(r["i"], r["phrase"]) for r in phrases.find(df, ["i"], "t", spark.createDataFrame([(p,) for p in made], "phrase string")).collect()}
+        assert got == {(i, p) for i, t in enumerate(texts) if t for p in made if stands(t, p)}
