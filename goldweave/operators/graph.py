@@ -9,19 +9,23 @@ from goldweave.storage import discard, materialize
 
 
 def star_edges(rows: DataFrame, node: str, *keys: str | Column) -> DataFrame:
-    """(u, v): every holder of a key beside the smallest holder; n edges, never n squared."""
+    """(u, v): every holder of a key beside the smallest holder; n edges, never n squared.
+
+    Repeated rows give repeated edges, which are dropped once, at the end.
+    """
     named = [k if isinstance(k, Column) else F.col(k) for k in keys]
-    held = rows.select(F.col(node).alias("v"), F.struct(*named).alias("k")).distinct()
+    held = rows.select(F.col(node).alias("v"), F.struct(*named).alias("k"))
     least = held.groupBy("k").agg(F.min("v").alias("u"))
     return held.join(least, "k").filter("u <> v").select("u", "v").distinct()
 
 
-def _stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """``edges`` as a stored table, with its size and sum of hashes, which are counted while it is written."""
+def _stored(edges: DataFrame) -> tuple[DataFrame, tuple, DataFrame]:
+    """``edges`` as a stored table, its size and sum of hashes, which are counted while it is written, and the table to discard."""
     seen = Observation()
     counted = edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
     out = materialize(counted, "edges")
-    return out, (seen.get["n"], seen.get["h"])
+    # Stated, as a join would infer it on one side only, and what two branches share would be computed twice.
+    return out.filter("u is not null and v is not null"), (seen.get["n"], seen.get["h"]), out
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -30,7 +34,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating stars: larger neighbours, then smaller ones, hang on the smallest; each
     round is stored, and hubs are only ever aggregated and joined.
     """
-    now, seen = _stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    now, seen, table = _stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v"))  # every round drops repeated edges
     for _ in range(max_rounds):
         if not seen[0]:
             break
@@ -39,8 +43,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        older, last = now, seen
-        now, seen = _stored(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        older, last = table, seen
+        now, seen, table = _stored(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         discard(older)
         if seen == last:
             break

@@ -29,11 +29,17 @@ class Changes:
 
 
 def compare(nodes_before: DataFrame, links_before: DataFrame, nodes: DataFrame, links: DataFrame) -> Changes:
-    """What changed between two snapshots; a null key links nothing."""
-    old, new = (x.filter("key is not null").distinct() for x in (links_before, links))
-    less = lambda a, b, on: a.join(b, on, "left_anti")
-    was, now = nodes_before.select("node").distinct(), nodes.select("node").distinct()
-    return Changes(less(new, old, ["node", "key"]), less(old, new, ["node", "key"]), less(now, was, "node"), less(was, now, "node"))
+    """What changed between two snapshots, stored; a null key links nothing."""
+    pairs = _came_and_went(links_before.filter("key is not null"), links.filter("key is not null"), ["node", "key"])
+    alone = _came_and_went(nodes_before, nodes, ["node"])
+    came, went = F.col("side") == 2, F.col("side") == 1
+    return Changes(*[x.filter(side).drop("side") for x in (pairs, alone) for side in (came, went)])
+
+
+def _came_and_went(before: DataFrame, after: DataFrame, on: list[str]) -> DataFrame:
+    """(*on, side): rows of one snapshot only, 1 the first and 2 the second, by one aggregation of both."""
+    both = before.select(*on, F.lit(1).alias("side")).unionByName(after.select(*on, F.lit(2).alias("side")))
+    return materialize(both.groupBy(*on).agg(F.bit_or("side").alias("side")).filter("side < 3"), "changes")
 
 
 def update_components(labels: DataFrame, links: DataFrame, changes: Changes) -> DataFrame:
@@ -42,25 +48,23 @@ def update_components(labels: DataFrame, links: DataFrame, changes: Changes) ->
     A component is its smallest node, as a full run would say.  ``touched`` marks nodes of
     components that lost or gained a link or a node.
     """
-    links = links.filter("key is not null").select("node", "key").distinct()
-    broken = changes.withdrawn.select("node").unionByName(changes.gone).distinct().join(labels, "node").select("component").distinct()
-    broken = materialize(broken, "broken")
-    left = labels.join(changes.gone, "node", "left_anti").unionByName(changes.born.select("node", F.col("node").alias("component")))
+    links = links.filter("key is not null").select("node", "key")
+    broken = changes.withdrawn.select("node").unionByName(changes.gone).distinct().join(labels, "node").select("component").distinct().withColumn("broken", F.lit(True))
+    left = labels.select("node", "component", F.lit(False).alias("fresh")).join(changes.gone, "node", "left_anti")
+    left = left.unionByName(changes.born.select("node", F.col("node").alias("component"), F.lit(True).alias("fresh")))
+    left = materialize(left.join(broken, "component", "left").select("node", "component", "fresh", F.coalesce("broken", F.lit(False)).alias("broken")), "left")
     # Inside broken components the links that stay are run again; new links come later, on labels.
-    loose = left.join(broken, "component", "left_semi").select("node")
-    stays = links.join(loose, "node", "left_semi").join(changes.added, ["node", "key"], "left_anti")
+    stays = links.join(left.filter("broken").select("node"), "node", "left_semi").join(changes.added, ["node", "key"], "left_anti")
     again = connected_components(star_edges(stays, "node", "key")).withColumnRenamed("component", "part")
-    settled = left.join(broken.withColumn("broken", F.lit(True)), "component", "left").join(again, "node", "left")
     part = F.when(F.col("broken"), F.coalesce("part", "node")).otherwise(F.col("component"))
-    fresh = changes.born.select("node", F.lit(True).alias("fresh"))
-    settled = materialize(settled.join(fresh, "node", "left").select("node", part.alias("label"), (F.coalesce("broken", F.lit(False)) | F.coalesce("fresh", F.lit(False))).alias("moved")), "settled")
+    settled = materialize(left.join(again, "node", "left").select("node", part.alias("label"), (F.col("broken") | F.col("fresh")).alias("moved")), "settled")
     # All holders of a key that someone gained belong together: a graph over labels.
     gained = changes.added.select("key").distinct()
-    meets = links.join(gained, "key", "left_semi").join(settled, "node").select("label", "key").distinct()
+    meets = materialize(links.join(gained, "key", "left_semi").join(settled, "node").select("label", "key").distinct(), "meets")
     joined = connected_components(star_edges(meets, "label", "key")).select(F.col("node").alias("label"), F.col("component").alias("joined"))
-    out = settled.join(joined, "label", "left").select("node", F.coalesce("joined", "label").alias("component"), (F.col("moved") | F.col("joined").isNotNull()).alias("moved"))
-    gained_by = meets.select("label").join(settled.select("label", "node"), "label").select("node").distinct().withColumn("gains", F.lit(True))
-    out = materialize(out.join(gained_by, "node", "left").select("node", "component", (F.col("moved") | F.col("gains").isNotNull()).alias("moved")), "labels")
+    gains = meets.select("label").distinct().join(joined, "label", "left").select("label", F.coalesce("joined", "label").alias("joined"))
+    out = settled.join(gains, "label", "left").select("node", F.coalesce("joined", "label").alias("component"), (F.col("moved") | F.col("joined").isNotNull()).alias("moved"))
+    out = materialize(out, "labels")
     touched = out.filter("moved").select("component").distinct().withColumn("touched", F.lit(True))
     return out.join(touched, "component", "left").select("node", "component", F.coalesce("touched", F.lit(False)).alias("touched"))
 

@@ -9,6 +9,7 @@ from goldweave.operators import incremental as N
 from goldweave.operators.graph import label_all, star_edges
 from goldweave.plans.identity import C_SQL, CLOSURE_SQL, contributions
 from goldweave.plans.registry import Tables, query
+from goldweave.storage import materialize
 
 # Two snapshots of the log: later rows are new, some rows and some addresses have been withdrawn.
 BEFORE, GONE, SILENT = "fetched_at < TIMESTAMP '1996-01-01'", "id % 50 = 1", "id % 45 = 2"
@@ -38,7 +39,7 @@ def snapshots(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
 def updated(t: Tables) -> tuple[DataFrame, DataFrame, tuple]:
     """Labels before by a full run, labels now by an update of them, and the snapshots."""
     old_nodes, old_links, nodes, links = found = snapshots(t)
-    before = label_all(old_nodes.select("node"), "node", star_edges(old_links, "node", "key"))
+    before = materialize(label_all(old_nodes.select("node"), "node", star_edges(old_links, "node", "key")), "before")
     return before, N.update_components(before, links, N.compare(old_nodes, old_links, nodes, links)), found
 
 
@@ -51,10 +52,10 @@ def j9b(t: Tables) -> DataFrame:
 def _reproject(t: Tables, flagged: str) -> N.Reprojection:
     before, now, (old_nodes, old_links, nodes, links) = updated(t)
     flags = nodes.filter(flagged).select("node", F.lit("opt_out").alias("flag"), (F.col("id") % 3).alias("source"))
-    merged = links.join(old_nodes.select("node"), "node", "left_semi")
+    merged = flags.join(old_nodes.select("node"), "node", "left_semi")  # a flag blocked keys before where its node was there
     stored = before.select(F.col("node").alias("key"), F.col("component").alias("lead"), F.when(F.col("component") % 7 == 0, 1).otherwise(2).alias("version"))
     none = nodes.select("node").limit(0)
-    return N.reproject(now.select(F.col("node").alias("key"), F.col("component").alias("cluster")), stored, 2, (N.blocked_keys(merged, flags), N.blocked_keys(links, flags)), (none, none))
+    return N.reproject(now.select(F.col("node").alias("key"), F.col("component").alias("cluster")), stored, 2, (N.blocked_keys(links, merged), N.blocked_keys(links, flags)), (none, none))
 
 
 @query("j9c_reprojected_clusters", f"WITH RECURSIVE {SNAPSHOT_SQL}, {MOVED_SQL} SELECT cluster, 'members changed' AS why FROM moved UNION ALL SELECT cluster, 'older version' FROM old WHERE cluster NOT IN (SELECT cluster FROM moved)")

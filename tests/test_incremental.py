@@ -72,3 +72,13 @@ def test_reasons_in_order(spark):
     assert rows(run(blocked=(some, none))) == {(c, "compliance reports changed") for c in (1, 3, 4)}
     assert run(ties=(none, some)).full == "tie answer stored"
     assert run(blocked=(some, none), basis_changed=True).full == "basis changed"
+
+
+def test_changes_are_stored_once_and_take_repeated_rows(spark):
+    """Reading what changed compares nothing again."""
+    old, old_links = frames(spark, [1, 2, 2, 3], [(1, "a"), (1, "a"), (2, "b"), (3, None)])
+    new, new_links = frames(spark, [2, 3, 4, 4], [(2, "b"), (2, "b"), (3, "c"), (3, "c")])
+    found = incremental.compare(old, old_links, new, new_links)
+    sides = (found.added, found.withdrawn, found.born, found.gone)
+    assert [sorted(map(tuple, d.collect())) for d in sides] == [[(3, "c")], [(1, "a")], [(4,)], [(1,)]]
+    assert not any(word in d._jdf.queryExecution().optimizedPlan().toString() for d in sides for word in ("Join", "Aggregate"))
