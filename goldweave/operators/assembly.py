@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from goldweave.functions.values import still_employed
 from goldweave.operators.reports import capped
 from goldweave.operators.resolve import assign_leads
+from goldweave.storage import materialize
 
 
 def employments(jobs: DataFrame, key: str, company: str) -> DataFrame:
@@ -74,15 +75,16 @@ def merge_tables(c: DataFrame, labels: DataFrame, keys: DataFrame, prior: DataFr
     ``c`` are contributions (id, fetched_at, ...), ``labels`` (id, cluster), ``keys`` (id, kind,
     value, barred), ``prior`` (key, lead, seniority) and ``won`` the winners (cluster, path,
     source, value). A cluster without a lead of old gets a new one, behind the last.
+    What several of the tables need is stored once.
     """
     assigned, retired = assign_leads(labels.withColumnRenamed("id", "key"), prior)
     last = prior.agg(F.coalesce(F.max("lead"), F.lit(0)).alias("last"))
-    leads = assigned.join(F.broadcast(last)).select("cluster", F.coalesce("lead", F.col("cluster") + F.col("last") + 1).alias("lead"))
-    mapping = labels.join(leads, "cluster").select("id", "lead")
+    leads = materialize(assigned.join(F.broadcast(last)).select("cluster", F.coalesce("lead", F.col("cluster") + F.col("last") + 1).alias("lead")), "leads")
+    mapping = materialize(labels.join(leads, "cluster").select("id", "lead"), "mapping")
     members = c.select("id", "fetched_at").join(mapping, "id").groupBy("lead")
     identities = members.agg(F.count("*").alias("members"), F.min("fetched_at").alias("first_seen"), F.max("fetched_at").alias("last_seen"))
     succession = retired.join(leads, retired["successor"] == leads["cluster"]).select(retired["lead"].alias("retired"), leads["lead"].alias("successor")).distinct()
-    held = won.join(leads, "cluster")
+    held = materialize(won.join(leads, "cluster").select("lead", "path", "source", "value"), "held")
     index = keys.filter(~F.col("barred")).join(mapping, "id").select("lead", "kind", "value").distinct()
     return {
         "identities": identities, "succession": succession, "mapping": mapping, "canonical": held.select("lead", "path", "value"),

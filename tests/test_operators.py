@@ -332,3 +332,18 @@ def test_a_merge_is_stored_whole(spark, tmp_path):
     assert {r[0]: r[1] for r in read("identities")} == {14: 2, 11: 2, 12: 1, 19: 1}
     assert read("canonical") == [(12, "name", "Bob"), (14, "name", "Ann")] and read("provenance") == [(12, "name", "s2"), (14, "name", "s1")]
     assert read("index") == [(12, 2, "c"), (14, 1, "a")]
+
+
+def test_tables_of_a_merge_share_what_is_stored(spark):
+    """Leads are assigned once, not for each table."""
+    from goldweave.operators import assembly
+
+    c = spark.createDataFrame([(1, 5), (2, 6)], "id long, fetched_at long")
+    labels = spark.createDataFrame([(1, 1), (2, 1)], "id long, cluster long")
+    keys = spark.createDataFrame([(1, 1, "a", False)], "id long, kind int, value string, barred boolean")
+    prior = spark.createDataFrame([(2, 9, 9)], "key long, lead long, seniority long")
+    won = spark.createDataFrame([(1, "name", "s", "n")], "cluster long, path string, source string, value string")
+    made = assembly.merge_tables(c, labels, keys, prior, won)
+    for name, rows in {"mapping": [(1, 9), (2, 9)], "canonical": [(9, "name", "n")], "provenance": [(9, "name", "s")]}.items():
+        assert sorted(map(tuple, made[name].collect())) == rows
+        assert not any(word in made[name]._jdf.queryExecution().optimizedPlan().toString() for word in ("Join", "Aggregate"))
