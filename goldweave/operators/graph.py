@@ -28,13 +28,34 @@ def _stored(edges: DataFrame) -> tuple[DataFrame, tuple, DataFrame]:
     return out.filter("u is not null and v is not null"), (seen.get["n"], seen.get["h"]), out
 
 
+def _merge(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, parent) of the nodes of ``edges``, stored, a parent being the smallest of a node and its neighbours; and the edges between parents, once each."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    parents = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("parent")), "parents")
+    end = lambda name, out: parents.select(F.col("node").alias(name), F.col("parent").alias(out))
+    ends = edges.join(end("u", "a"), "u").join(end("v", "b"), "v").filter("a <> b")
+    return parents, ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of the nodes of ``edges`` (u, v); a component is its smallest node.
 
-    Alternating stars: larger neighbours, then smaller ones, hang on the smallest; each
-    round is stored, and hubs are only ever aggregated and joined.
+    Nodes are merged into their smallest neighbour as long as that leaves half of the edges
+    at most, so that all rounds together cost little more than the first; members get the
+    component of what they were merged into.  What does not shrink so (long paths) is
+    settled by alternating stars: larger neighbours, then smaller ones, hang on the
+    smallest.  Each round is stored, and hubs are only ever aggregated and joined.
     """
     now, seen, table = _stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v"))  # every round drops repeated edges
+    merged = []
+    halved = True
+    while seen[0] and halved:
+        parents, left = _merge(now)
+        merged.append(parents)
+        older, last = table, seen
+        now, seen, table = _stored(left)
+        discard(older)
+        halved = 2 * seen[0] <= last[0]
     for _ in range(max_rounds):
         if not seen[0]:
             break
@@ -51,7 +72,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components have not settled")
     tips = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return tips.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    found = tips.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    if merged and not seen[0]:
+        found = merged.pop().withColumnRenamed("parent", "component")
+    for parents in reversed(merged):
+        above = parents.join(found.withColumnRenamed("node", "parent"), "parent", "left")
+        found = above.select("node", F.coalesce("component", "parent").alias("component"))
+    return found
 
 
 def label_all(nodes: DataFrame, node: str, edges: DataFrame, label: str = "component") -> DataFrame:

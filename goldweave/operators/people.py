@@ -66,20 +66,23 @@ def ask_people(records: DataFrame, lookups: Column, anchor: Column) -> tuple[Dat
     strongest anchor of a record that has lookups of its own; a component with two
     profiles or two names is nobody, and each of its records asks for itself.
     """
-    rank = lambda names, c: F.array_position(F.array(*map(F.lit, names)), c)
-    rows = records.select("id", "linkedin", "name", lookups.alias("lookups"), anchor.alias("anchor")).join(person_labels(records), "id")
-    rows = materialize(rows, "people")
-    guard = rows.groupBy("person").agg(F.count("*").alias("n"), F.count_distinct("linkedin").alias("profiles"), F.count_distinct("name").alias("names"), F.max("linkedin").alias("profile"))
-    one = guard.filter("n > 1 and profiles <= 1 and names <= 1").select("person", "profile", F.lit(True).alias("one"))
-    grouped = rows.join(one, "person", "left").withColumn("one", F.coalesce("one", F.lit(False)))
-    grouped = materialize(grouped.withColumn("asks", F.when(F.col("one"), F.col("person")).otherwise(F.col("id"))), "asks")
-    able = grouped.filter(F.size("lookups") > 0)
-    best = F.min_by(F.struct("id", "anchor"), F.struct(rank(ANCHORS, F.col("anchor")), "id"))
-    found = able.filter("anchor is not null").groupBy("asks").agg(best.alias("b"), F.first("person").alias("person"), F.max(F.when(F.col("one"), F.col("profile")).otherwise(F.col("linkedin"))).alias("linkedin"))
-    askers = found.select("asks", F.col("b.id").alias("asker"), "person", "b.anchor", "linkedin")
-    ladder = able.select("asks", F.inline("lookups")).distinct().join(askers.select("asks", "asker"), "asks").select("asker", "rung", "lookup")
-    lost = able.select("asks", "person").distinct().join(askers, "asks", "left_anti").select("person").distinct()
-    return askers.drop("asks"), ladder, lost
+    asked = records.select("id", lookups.alias("lookups"))
+    rank = F.array_position(F.array(*map(F.lit, ANCHORS)), anchor)
+    stated = records.select("id", "linkedin", "name", (F.size(lookups) > 0).alias("able"), anchor.alias("anchor"), rank.alias("rank"))
+    rows = materialize(stated.join(person_labels(records), "id"), "people")
+    # Of values that are all equal the least is the greatest; counting different ones would shuffle each row three times.
+    alike = lambda c: F.coalesce(F.min(c) == F.max(c), F.lit(True))
+    best = F.min(F.when(F.col("able") & F.col("anchor").isNotNull(), F.struct("rank", "id", "anchor")))
+    sums = rows.groupBy("person").agg(F.count("*").alias("n"), alike("linkedin").alias("profiles"), alike("name").alias("names"), F.max("linkedin").alias("profile"), F.max("able").alias("any"), best.alias("best"))
+    one = materialize(sums.filter("n > 1 and profiles and names").select("person", "profile", "any", "best"), "one")
+    own = rows.filter("able").join(one, "person", "left_anti")
+    shared = one.filter("best is not null").select(F.col("best.id").alias("asker"), "person", "best.anchor", F.col("profile").alias("linkedin"))
+    askers = shared.unionByName(own.filter("anchor is not null").select(F.col("id").alias("asker"), "person", "anchor", "linkedin"))
+    asks = rows.filter("able").join(one.select("person", "best", F.lit(True).alias("one")), "person", "left")
+    asks = asks.select("id", F.when(F.col("one"), F.col("best.id")).when(F.col("anchor").isNotNull(), F.col("id")).alias("asker")).filter("asker is not null")
+    ladder = asks.join(asked, "id").select("asker", F.inline("lookups")).distinct()
+    lost = one.filter("any and best is null").select("person").unionByName(own.filter("anchor is null").select("person")).distinct()
+    return askers, ladder, lost
 
 
 def role_contacts(stated: DataFrame, cluster: str, email: str, chosen: str) -> DataFrame:

@@ -6,7 +6,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from goldweave.operators import buckets, graph, identity, resolve, sequence, sinks
+from goldweave import storage
+from goldweave.operators import buckets, graph, identity, people, resolve, sequence, sinks
 from goldweave.plans import registry
 from goldweave.plans import resolution as bound
 from goldweave.sources import catalog, fixtures
@@ -80,6 +81,51 @@ def test_components(spark, shape):
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
 
 
+def test_components_cost_little_more_than_their_first_round(spark, monkeypatch):
+    """Stars of stars: members leave in the first round, and only hubs are linked again; a path of stars is settled too."""
+    stars = [(100 * h, 100 * h + i) for h in range(30) for i in range(1, 20)] + [(100 * (h - h % 3), 100 * h + 7) for h in range(30) if h % 3]
+    path = [(10_000 + 100 * h, 10_000 + 100 * h + i) for h in range(30) for i in range(1, 4)] + [(10_000 + 100 * h, 10_100 + 100 * h) for h in range(29)]
+    stored = []
+
+    def materialize(df, name):
+        out = storage.materialize(df, name)
+        stored.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(graph, "materialize", materialize)
+    got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(stars, "u long, v long")).collect()}
+    assert got == {x: x // 300 * 300 for e in stars for x in e}
+    assert sum(n for name, n in stored if name == "edges") < 1.2 * len(stars) and sum(n for name, n in stored if name == "parents") < 1.2 * len(got)
+    got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(stars + path, "u long, v long")).collect()}
+    assert got == {x: x // 300 * 300 if x < 10_000 else 10_000 for e in stars + path for x in e}
+
+
+def test_people_are_asked_once(spark, monkeypatch):
+    """Whom to ask, with anchors that only some records have; no row is shuffled once for each count, and ladders are not stored."""
+    rows = [
+        (1, "a", None, None, True), (2, "a", "m", "n", False), (3, None, "m", "n", True),  # one person: 3 has an anchor of its own, 1 a stronger one
+        (4, "b", "x", None, True), (5, "c", "x", None, True), (6, None, "x", None, True),  # two profiles: each asks for itself, 6 has no anchor
+        (7, None, "y", "k", False), (8, None, "y", None, True),  # its anchor is on a record without lookups: nobody is asked
+        (9, None, None, "z", True), (10, "e", None, None, False),
+    ]
+    records = spark.createDataFrame(rows, "id long, linkedin string, email string, name string, able boolean")
+    step = F.struct(F.lit("id").alias("rung"), F.concat(F.lit("r"), F.col("id")).alias("lookup"))
+    lookups = F.when(F.col("able"), F.array(step)).otherwise(F.array().cast("array<struct<rung:string,lookup:string>>"))
+    anchor = F.when(F.col("linkedin").isNotNull(), "linkedin_url").when(F.col("name").isNotNull(), "name")
+    stored = []
+
+    def materialize(df, name):
+        stored.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString()))
+        return storage.materialize(df, name)
+
+    monkeypatch.setattr(people, "materialize", materialize)
+    askers, ladder, lost = people.ask_people(records, lookups, anchor)
+    assert sorted(map(tuple, askers.collect())) == [(1, 1, "linkedin_url", "a"), (4, 4, "linkedin_url", "b"), (5, 4, "linkedin_url", "c"), (9, 9, "name", None)]
+    assert sorted((r["asker"], r["lookup"]) for r in ladder.collect()) == [(1, "r1"), (1, "r3"), (4, "r4"), (5, "r5"), (9, "r9")]
+    assert sorted(r["person"] for r in lost.collect()) == [4, 7]
+    assert stored and not any("Expand" in plan or "lookups" in columns for columns, plan in stored)
+
+
 def test_walk_ends_on_cycles(spark):
     steps = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (4, 4)], "node long, next long")
     starts = spark.createDataFrame([(1,), (4,)], "node long")
