@@ -41,7 +41,7 @@ def find(rows: DataFrame, keys: list[str], text: str, phrases: DataFrame, phrase
     Runs are built only where a token is the head of some phrase; a list of heads that is
     too long to be sent is left out, and every token tried.
     """
-    held = index(phrases, phrase)
+    held = materialize(index(phrases, phrase), "phrases")  # stored, as it is counted and read for heads and for phrases
     sent = lambda df: F.broadcast(df) if df.limit(SENT_PHRASES + 1).count() <= SENT_PHRASES else df
     heads = held.select("head", "_size").distinct()
     few = heads.limit(SENT_PHRASES + 1).count() <= SENT_PHRASES

@@ -73,3 +73,21 @@ def test_dictionaries_that_are_not_sent(spark, monkeypatch):
     for made in (["Node.js", "c++", "été", "go", "x y"], [" b", "a", "c"]):
         got = {(r["i"], r["phrase"]) for r in phrases.find(df, ["i"], "t", spark.createDataFrame([(p,) for p in made], "phrase string")).collect()}
         assert got == {(i, p) for i, t in enumerate(texts) if t for p in made if stands(t, p)}
+
+
+def test_a_dictionary_is_indexed_once(spark, monkeypatch):
+    """Counting, sending and looking up read what was stored; the whole dictionary is made different and cut into tokens once."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    words = spark.createDataFrame([("spark",), ("node.js",), ("c++",)], "phrase string").mapInPandas(seen, "phrase string")
+    for most in (200_000, 1):
+        monkeypatch.setattr(phrases, "SENT_PHRASES", most)
+        read.value = 0
+        df = spark.createDataFrame([(1, "We use Spark and C++")], "i int, t string")
+        assert sorted(r["phrase"] for r in phrases.find(df, ["i"], "t", words).collect()) == ["c++", "spark"]
+        assert read.value == 3
