@@ -37,9 +37,13 @@ def compare(nodes_before: DataFrame, links_before: DataFrame, nodes: DataFrame,
 
 
 def _came_and_went(before: DataFrame, after: DataFrame, on: list[str]) -> DataFrame:
+    return materialize(_on_one_side(before, after, on), "changes")
+
+
+def _on_one_side(before: DataFrame, after: DataFrame, on: list[str]) -> DataFrame:
     """(*on, side): rows of one snapshot only, 1 the first and 2 the second, by one aggregation of both."""
     both = before.select(*on, F.lit(1).alias("side")).unionByName(after.select(*on, F.lit(2).alias("side")))
-    return materialize(both.groupBy(*on).agg(F.bit_or("side").alias("side")).filter("side < 3"), "changes")
+    return both.groupBy(*on).agg(F.bit_or("side").alias("side")).filter("side < 3")
 
 
 def update_components(labels: DataFrame, links: DataFrame, changes: Changes) -> DataFrame:
@@ -70,10 +74,8 @@ def update_components(labels: DataFrame, links: DataFrame, changes: Changes) ->
 
 
 def _differ(before: DataFrame, after: DataFrame) -> bool:
-    """Whether two sets of rows are not the same, by their number and sums of two hashes of different rows."""
-    columns = sorted(before.columns)
-    sums = [F.count("*"), *(F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)")) for seed in (1, 2))]
-    return tuple(before.distinct().agg(*sums).first()) != tuple(after.select(*before.columns).distinct().agg(*sums).first())
+    """Whether two sets of rows are not the same."""
+    return not _on_one_side(before, after, before.columns).isEmpty()
 
 
 @dataclass(frozen=True)
@@ -84,6 +86,28 @@ class Reprojection:
     full: str | None
 
 
+def full_reason(blocked: tuple[DataFrame, DataFrame], ties: tuple[DataFrame, DataFrame], basis_changed: bool = False) -> str | None:
+    """Why everything is to be projected, or None; known before any cluster is.
+
+    ``blocked`` and ``ties`` are the blocked identities and the answers to ties, before and
+    now: any lead may depend on these.
+    """
+    return "basis changed" if basis_changed else "compliance reports changed" if _differ(*blocked) else "tie answer stored" if _differ(*ties) else None
+
+
+def project_all(clusters: DataFrame, why: str) -> Reprojection:
+    """All clusters (key, cluster); what is stored is not looked at."""
+    return Reprojection(clusters.select("cluster").distinct().withColumn("why", F.lit(why)), why)
+
+
+def project_changed(clusters: DataFrame, stored: DataFrame, version: int) -> Reprojection:
+    """Clusters (key, cluster) whose members are not exactly a lead's, and those whose lead has an older version; ``stored`` (key, lead, version) are the active leads."""
+    moved = changed_clusters(stored.select("key", F.col("lead").alias("cluster")), clusters).select("cluster", F.lit("members changed").alias("why"))
+    old = stored.filter(F.col("version") < version).select("key").distinct()
+    stale = clusters.join(old, "key", "left_semi").select("cluster").distinct().join(moved, "cluster", "left_anti")
+    return Reprojection(moved.unionByName(stale.select("cluster", F.lit("older version").alias("why"))), None)
+
+
 def reproject(
     clusters: DataFrame,
     stored: DataFrame,
@@ -92,22 +116,9 @@ def reproject(
     ties: tuple[DataFrame, DataFrame],
     basis_changed: bool = False,
 ) -> Reprojection:
-    """Clusters that need projecting, against what is stored.
-
-    ``clusters`` is (key, cluster) now, ``stored`` (key, lead, version) of active leads;
-    ``blocked`` and ``ties`` are the blocked identities and the answers to ties, before and
-    now.  Everything is projected where the basis, a compliance report or an answer
-    changed, as any lead may depend on these; else clusters whose members are not exactly
-    a lead's, and those whose lead has an older version.
-    """
-    every = clusters.select("cluster").distinct()
-    full = "basis changed" if basis_changed else "compliance reports changed" if _differ(*blocked) else "tie answer stored" if _differ(*ties) else None
-    if full:
-        return Reprojection(every.withColumn("why", F.lit(full)), full)
-    moved = changed_clusters(stored.select("key", F.col("lead").alias("cluster")), clusters).select("cluster", F.lit("members changed").alias("why"))
-    old = stored.filter(F.col("version") < version).select("key").distinct()
-    stale = clusters.join(old, "key", "left_semi").select("cluster").distinct().join(moved, "cluster", "left_anti")
-    return Reprojection(moved.unionByName(stale.select("cluster", F.lit("older version").alias("why"))), None)
+    """Clusters that need projecting, against what is stored: all for a ``full_reason``, else those that ``project_changed`` names."""
+    full = full_reason(blocked, ties, basis_changed)
+    return project_all(clusters, full) if full else project_changed(clusters, stored, version)
 
 
 def blocked_keys(links: DataFrame, flags: DataFrame) -> DataFrame:

@@ -29,33 +29,37 @@ def snapshots(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         F.when(F.col("linkedin").isNotNull(), F.concat(F.lit("l:"), "linkedin")),
         F.when(F.col("verified") & F.col("email").startswith("p"), F.concat(F.lit("e:"), "email")),
     )
-    rows = c.select(F.col("id").alias("node"), "id", "fetched_at", F.explode(F.array_compact(held)).alias("key"))
+    rows = c.select(F.col("id").alias("node"), "id", "fetched_at", F.explode(held).alias("key")).filter("key is not null")
     now = f"NOT ({GONE})"
     silent = f"NOT ({SILENT} AND key LIKE 'e:%')"
     nodes = c.select(F.col("id").alias("node"), "id", "fetched_at")
     return nodes.filter(BEFORE), rows.filter(BEFORE).select("node", "key"), nodes.filter(now), rows.filter(f"{now} AND {silent}").select("node", "key")
 
 
-def updated(t: Tables) -> tuple[DataFrame, DataFrame, tuple]:
-    """Labels before by a full run, labels now by an update of them, and the snapshots."""
-    old_nodes, old_links, nodes, links = found = snapshots(t)
+def updated(found: tuple[DataFrame, DataFrame, DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Labels before by a full run over a snapshot, and labels now by an update of them."""
+    old_nodes, old_links, nodes, links = found
     before = materialize(label_all(old_nodes.select("node"), "node", star_edges(old_links, "node", "key")), "before")
-    return before, N.update_components(before, links, N.compare(old_nodes, old_links, nodes, links)), found
+    return before, N.update_components(before, links, N.compare(old_nodes, old_links, nodes, links))
 
 
 @query("j9b_incremental_components", f"WITH RECURSIVE {SNAPSHOT_SQL} SELECT id, cluster AS component FROM g1")
 def j9b(t: Tables) -> DataFrame:
     """Equal to a full run over the new snapshot."""
-    return updated(t)[1].select(F.col("node").alias("id"), "component")
+    return updated(snapshots(t))[1].select(F.col("node").alias("id"), "component")
 
 
 def _reproject(t: Tables, flagged: str) -> N.Reprojection:
-    before, now, (old_nodes, old_links, nodes, links) = updated(t)
+    found = old_nodes, _, nodes, links = snapshots(t)
     flags = nodes.filter(flagged).select("node", F.lit("opt_out").alias("flag"), (F.col("id") % 3).alias("source"))
     merged = flags.join(old_nodes.select("node"), "node", "left_semi")  # a flag blocked keys before where its node was there
-    stored = before.select(F.col("node").alias("key"), F.col("component").alias("lead"), F.when(F.col("component") % 7 == 0, 1).otherwise(2).alias("version"))
     none = nodes.select("node").limit(0)
-    return N.reproject(now.select(F.col("node").alias("key"), F.col("component").alias("cluster")), stored, 2, (N.blocked_keys(links, merged), N.blocked_keys(links, flags)), (none, none))
+    why = N.full_reason((N.blocked_keys(links, merged), N.blocked_keys(links, flags)), (none, none))
+    if why:  # all clusters of now, whatever they were before
+        return N.project_all(label_all(nodes.select(F.col("node").alias("key")), "key", star_edges(links, "node", "key"), "cluster"), why)
+    before, now = updated(found)
+    stored = before.select(F.col("node").alias("key"), F.col("component").alias("lead"), F.when(F.col("component") % 7 == 0, 1).otherwise(2).alias("version"))
+    return N.project_changed(now.select(F.col("node").alias("key"), F.col("component").alias("cluster")), stored, 2)
 
 
 @query("j9c_reprojected_clusters", f"WITH RECURSIVE {SNAPSHOT_SQL}, {MOVED_SQL} SELECT cluster, 'members changed' AS why FROM moved UNION ALL SELECT cluster, 'older version' FROM old WHERE cluster NOT IN (SELECT cluster FROM moved)")

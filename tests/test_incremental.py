@@ -4,8 +4,11 @@ import random
 
 import pytest
 
+from goldweave import plans, storage
 from goldweave.operators import incremental
 from goldweave.operators.graph import label_all, star_edges
+from goldweave.plans import incremental as queries
+from goldweave.plans import registry
 
 
 def plain(nodes, links):
@@ -82,3 +85,20 @@ def test_changes_are_stored_once_and_take_repeated_rows(spark):
     sides = (found.added, found.withdrawn, found.born, found.gone)
     assert [sorted(map(tuple, d.collect())) for d in sides] == [[(3, "c")], [(1, "a")], [(4,)], [(1,)]]
     assert not any(word in d._jdf.queryExecution().optimizedPlan().toString() for d in sides for word in ("Join", "Aggregate"))
+
+
+def test_a_full_reprojection_updates_nothing(spark, monkeypatch):
+    """Why all is projected is known before any label is; labels of before and changes are for the other case only."""
+    plans.load()
+    stored = []
+
+    def materialize(df, name):
+        stored.append(name)
+        return storage.materialize(df, name)
+
+    for module in (incremental, queries):
+        monkeypatch.setattr(module, "materialize", materialize)
+    rows = registry.QUERIES["j9d_full_reprojection"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and {r["why"] for r in rows} == {"compliance reports changed"} and not stored
+    assert {r["why"] for r in registry.QUERIES["j9c_reprojected_clusters"](spark, "/root/testdata/sf0.001").collect()} == {"members changed", "older version"}
+    assert {"before", "changes"} <= set(stored)
