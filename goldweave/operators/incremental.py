@@ -1,9 +1,10 @@
 """Components and projections kept up to date under added and withdrawn links.
 
 Links are rows (node, key): nodes that hold a key belong together.  A batch of changes
-touches the components that lose a link and those that gain one.  The first are run
-again from their own remaining links; the others are joined as wholes, by components over
-labels.  No other component is read but for its label.
+touches the components that lose a link and those that gain one.  Nodes of the first
+start again, each with a label of its own; all other components keep theirs and are joined
+as wholes.  One pass over the links finds the keys that hold several labels, and one run
+of components over these labels settles both.
 """
 
 from __future__ import annotations
@@ -54,21 +55,16 @@ def update_components(labels: DataFrame, links: DataFrame, changes: Changes) ->
     """
     links = links.filter("key is not null").select("node", "key")
     broken = changes.withdrawn.select("node").unionByName(changes.gone).distinct().join(labels, "node").select("component").distinct().withColumn("broken", F.lit(True))
+    gained = changes.added.select("node").distinct().withColumn("gained", F.lit(True))
     left = labels.select("node", "component", F.lit(False).alias("fresh")).join(changes.gone, "node", "left_anti")
     left = left.unionByName(changes.born.select("node", F.col("node").alias("component"), F.lit(True).alias("fresh")))
-    left = materialize(left.join(broken, "component", "left").select("node", "component", "fresh", F.coalesce("broken", F.lit(False)).alias("broken")), "left")
-    # Inside broken components the links that stay are run again; new links come later, on labels.
-    stays = links.join(left.filter("broken").select("node"), "node", "left_semi").join(changes.added, ["node", "key"], "left_anti")
-    again = connected_components(star_edges(stays, "node", "key")).withColumnRenamed("component", "part")
-    part = F.when(F.col("broken"), F.coalesce("part", "node")).otherwise(F.col("component"))
-    settled = materialize(left.join(again, "node", "left").select("node", part.alias("label"), (F.col("broken") | F.col("fresh")).alias("moved")), "settled")
-    # All holders of a key that someone gained belong together: a graph over labels.
-    gained = changes.added.select("key").distinct()
-    meets = materialize(links.join(gained, "key", "left_semi").join(settled, "node").select("label", "key").distinct(), "meets")
-    joined = connected_components(star_edges(meets, "label", "key")).select(F.col("node").alias("label"), F.col("component").alias("joined"))
-    gains = meets.select("label").distinct().join(joined, "label", "left").select("label", F.coalesce("joined", "label").alias("joined"))
-    out = settled.join(gains, "label", "left").select("node", F.coalesce("joined", "label").alias("component"), (F.col("moved") | F.col("joined").isNotNull()).alias("moved"))
-    out = materialize(out, "labels")
+    moved = F.col("fresh") | F.coalesce("broken", "gained", F.lit(False))
+    label = F.when(F.col("broken"), F.col("node")).otherwise(F.col("component"))
+    left = materialize(left.join(broken, "component", "left").join(gained, "node", "left").select("node", label.alias("label"), moved.alias("moved")), "left")
+    # A key whose holders have one label links nothing; what is left is a graph over labels.
+    held = materialize(links.join(left, "node").select("label", "key"), "held")
+    joined = connected_components(star_edges(held, "label", "key")).withColumnRenamed("node", "label")
+    out = materialize(left.join(joined, "label", "left").select("node", F.coalesce("component", "label").alias("component"), "moved"), "labels")
     touched = out.filter("moved").select("component").distinct().withColumn("touched", F.lit(True))
     return out.join(touched, "component", "left").select("node", "component", F.coalesce("touched", F.lit(False)).alias("touched"))
 

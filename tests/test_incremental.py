@@ -6,7 +6,7 @@ import pytest
 
 from goldweave import plans, storage
 from goldweave.operators import incremental
-from goldweave.operators.graph import label_all, star_edges
+from goldweave.operators.graph import connected_components, label_all, star_edges
 from goldweave.plans import incremental as queries
 from goldweave.plans import registry
 
@@ -102,3 +102,23 @@ def test_a_full_reprojection_updates_nothing(spark, monkeypatch):
     assert rows and {r["why"] for r in rows} == {"compliance reports changed"} and not stored
     assert {r["why"] for r in registry.QUERIES["j9c_reprojected_clusters"](spark, "/root/testdata/sf0.001").collect()} == {"members changed", "older version"}
     assert {"before", "changes"} <= set(stored)
+
+
+def test_broken_and_joined_components_settle_in_one_run(spark, monkeypatch):
+    """Only labels that a key joins become edges: components that stay give none, however many links they have."""
+    nodes, links = range(40), {(n, f"k{n // 10}") for n in range(40)}
+    old_nodes, old_links = frames(spark, nodes, links)
+    labels = label_all(old_nodes, "node", star_edges(old_links, "node", "key"))
+    new = (links - {(0, "k0"), (5, "k0")}) | {(40, "k1"), (15, "k9"), (25, "k9")}  # the first breaks, the next two meet, the last stays
+    new_nodes, new_links = frames(spark, range(41), new)
+    runs = []
+
+    def components(edges):
+        runs.append({tuple(r) for r in edges.collect()})
+        return connected_components(edges)
+
+    monkeypatch.setattr(incremental, "connected_components", components)
+    found = incremental.update_components(labels, new_links, incremental.compare(old_nodes, old_links, new_nodes, new_links)).collect()
+    assert {r["node"]: r["component"] for r in found} == plain(range(41), new)
+    assert {r["component"] for r in found if not r["touched"]} == {30}
+    assert runs == [{(1, n) for n in (2, 3, 4, 6, 7, 8, 9)} | {(10, 40), (10, 20)}]
